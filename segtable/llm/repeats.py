@@ -1,0 +1,95 @@
+"""Removal of repeated byte strings (suffix buckets) and of repeated word windows (super-k-mers)."""
+
+from __future__ import annotations
+
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import DataFrame
+
+from .base import Block
+from .windows import Shape, mark
+
+BYTE_SCHEMA = "doc_id long, n_bytes long, n_removed long, starts array<long>, ends array<long>, kept binary"
+WORD_SCHEMA = "doc_id long, n_words long, n_removed long, kept string"
+
+
+def _edges(covered: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Starts and ends of the runs of True, which end at documents' ends."""
+    begin, end = covered.copy(), covered.copy()
+    if len(covered):
+        begin[1:] &= ~covered[:-1]
+        end[:-1] &= ~covered[1:]
+        cut = off[(off > 0) & (off < off[-1])]
+        begin[cut] = covered[cut]
+        end[cut - 1] = covered[cut - 1]
+    return np.flatnonzero(begin), np.flatnonzero(end) + 1
+
+
+def remove_repeated_bytes(docs: DataFrame, length: int = 50, gram: int = 20) -> DataFrame:
+    """Remove each byte that lies in a ``length``-byte string which also starts in a smaller doc_id.
+
+    Bucket-pointer refinement: suffixes of the text are put into buckets by the q-gram at
+    their minimiser; a bucket with one content is final; the others are refined by sorting
+    on the bucket pointers of later offsets, whose updates serve the next round, until the
+    pointers cover ``length`` bytes (``windows.exact_ids``).  Strings are judged on the input.
+
+    Returns doc_id, n_bytes, n_removed, the maximal removed runs as byte offsets (starts,
+    ends) and the kept bytes, which need not be valid UTF-8.  A null or empty text has no
+    bytes; a text shorter than ``length`` loses none.  Rows with one doc_id do not remove
+    bytes from each other; a null doc_id is smaller than any other.  Other columns are not
+    looked at.  An empty table gives an empty result.
+    """
+
+    def finish(block: Block, parts: Iterator[tuple]) -> pa.Table:
+        removed, starts, ends, counts, kept = [], [], [], [], []
+        for a, b, off, covered, _ in parts:
+            begin, end = _edges(covered, off)
+            cut = np.searchsorted(begin, off)
+            counts.append(np.diff(cut))
+            base = np.repeat(off[:-1], np.diff(cut))
+            starts.append(begin - base)
+            ends.append(end - base)
+            sums = np.concatenate([[0], np.cumsum(covered)])
+            removed.append(np.diff(sums[off]))
+            buf = block.buf[block.off[a] : block.off[b]]
+            for i, r in enumerate(removed[-1].tolist()):
+                x = block.text(a + i)
+                kept.append(x if not r else buf[off[i] : off[i + 1]][~covered[off[i] : off[i + 1]]].tobytes() if r < len(x) else b"")
+        at = pa.array(np.concatenate([[0], np.cumsum(np.concatenate(counts))]).astype(np.int32) if counts else [0], pa.int32())
+        spans = [pa.ListArray.from_arrays(at, pa.array(np.concatenate(x) if x else [], pa.int64())) for x in (starts, ends)]
+        return pa.table([block.id_column(), pa.array(np.diff(block.off)), pa.array(np.concatenate(removed) if removed else [], pa.int64()), *spans, pa.array(kept, pa.binary())], names=["doc_id", "n_bytes", "n_removed", "starts", "ends", "kept"])
+
+    return mark(docs, Shape(length, gram, False), False, finish, BYTE_SCHEMA)
+
+
+def remove_repeated_words(docs: DataFrame, length: int = 20, gram: int = 4) -> DataFrame:
+    """Remove each word covered by a window of ``length`` words that also starts earlier.
+
+    Super-k-mer partitioning: consecutive windows that share a minimiser travel as one packed
+    string to its bucket, where sorting finds equal windows exactly.  Earlier: in a smaller
+    doc_id, or at a smaller place of the same document.  Windows are judged on the input.
+
+    Returns doc_id, n_words, n_removed and the kept words joined by one space.  A null or
+    empty text has no words; a text of fewer than ``length`` words loses none.  Rows with one
+    doc_id count as one document, in which equal places are not earlier than each other; a
+    null doc_id is smaller than any other.  An empty table gives an empty result.
+    """
+
+    def finish(block: Block, parts: Iterator[tuple]) -> pa.Table:
+        total, removed, kept = [], [], []
+        for a, _, off, covered, _ in parts:
+            sums = np.concatenate([[0], np.cumsum(covered)])
+            total.append(np.diff(off))
+            removed.append(np.diff(sums[off]))
+            for i, (r, n) in enumerate(zip(removed[-1].tolist(), total[-1].tolist(), strict=True)):
+                if r == n:
+                    kept.append(b"")
+                    continue
+                w = block.text(a + i).split()
+                kept.append(b" ".join(w if not r else [w[k] for k in np.flatnonzero(~covered[off[i] : off[i + 1]]).tolist()]))
+        flat = [pa.array(np.concatenate(x) if x else [], pa.int64()) for x in (total, removed)]
+        return pa.table([block.id_column(), *flat, pa.array(kept, pa.binary()).cast(pa.string())], names=["doc_id", "n_words", "n_removed", "kept"])
+
+    return mark(docs, Shape(length, gram, True), True, finish, WORD_SCHEMA)

@@ -1,0 +1,385 @@
+"""Which windows of the corpus occurred earlier: the engine of the two repeat removers.
+
+A window is ``size`` consecutive symbols (bytes or words) of one document.  Consecutive
+windows that share a minimiser form a *super-window*; equal windows have equal minimisers
+at equal offsets, so only super-windows of one minimiser bucket can share windows.
+
+1. Each block sends, for each distinct (bucket, content) among its super-windows, two
+   64-bit fingerprints and the smallest doc_id to the bucket's shard.  The shard answers:
+   *repeat* (the whole content occurs in a smaller document), or *mixed* (this is the first
+   occurrence, but the bucket has other contents, so parts may have occurred earlier).
+   Everything else needs no answer.
+2. First occurrences of mixed contents, a few per cent of the text, travel to their bucket
+   as packed strings, where their windows are compared exactly.  In buckets with more than
+   ``SPREAD`` contents each window travels on its own, keyed by a 128-bit fingerprint, so
+   that such a bucket spreads over all shards.  Answers are one bit per window.
+3. Each block combines the answers with what it knows of its own documents.
+
+Nothing is dropped or capped: each window is decided by one of these three ways.
+"""
+
+from __future__ import annotations
+
+from collections.abc import Callable, Iterator
+from dataclasses import dataclass
+
+import numpy as np
+import pyarrow as pa
+import xxhash
+from pyspark.sql import DataFrame
+
+from . import kernels as K
+from .base import PACKED, Block, blocks, deal, docs_of, even_keys, mix, pack, parts, payloads, rows, unpack
+
+_U = np.uint64
+SPREAD = 256
+REPEAT, MIXED, WIDE = 1, 2, 3
+_TRIM = ~_U(0xFFFF)
+
+
+@dataclass(frozen=True)
+class Shape:
+    """size: symbols in a window; gram: symbols in a minimiser; words: symbols are words, else bytes."""
+
+    size: int
+    gram: int
+    words: bool
+
+    def symbols(self, block: Block, a: int, b: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Symbols of documents a to b: values, documents' offsets, byte starts and ends of each."""
+        off = block.off[a : b + 1] - block.off[a]
+        buf = block.buf[block.off[a] : block.off[b] + 8]
+        if not self.words:
+            at = np.zeros(0, np.int64)
+            return K.byte_symbols(buf[: off[-1]]), off, at, at
+        starts, ends, first = K.words(buf, off)
+        return K.word_hashes(buf, starts, ends), first, starts, ends
+
+    def string(self, raw: bytes) -> bytes:
+        return b" ".join(raw.split()) if self.words else raw
+
+
+class Supers:
+    """The super-windows of a block: document, first window in it, count, fingerprints, and where the text is."""
+
+    def __init__(self, block: Block, shape: Shape):
+        self.block, self.shape = block, shape
+        got: list[list[np.ndarray]] = [[] for _ in range(7)]
+        for a, b in block.chunks(256 << 10):
+            values, off, starts, ends = shape.symbols(block, a, b)
+            doc, first, count, h, c = K.super_windows(off, shape.size, shape.gram, K.Rolling(values))
+            last = first + count + shape.size - 2
+            low, high = (starts[first], ends[last]) if shape.words else (first, last + 1)
+            base = block.off[a]
+            for to, x in zip(got, (doc + a, first - off[doc], count, h, c & _TRIM, low + base, high + base), strict=True):
+                to.append(x)
+        self.doc, self.first, self.count, self.h, self.c, self.low, self.high = (np.concatenate(x) if x else np.zeros(0, np.int64) for x in got)
+        self.h, self.c = self.h.astype(_U), self.c.astype(_U)
+        self.id = block.ids[self.doc.astype(np.int64)] if len(self.doc) else np.zeros(0, np.int64)
+        # Records are in order of (doc_id, first) but where one doc_id stands in several rows.
+        rank = np.arange(len(self.h))
+        if len(block.ids) > 1 and (block.ids[1:] == block.ids[:-1]).any():
+            rank[np.lexsort((self.first, self.id))] = np.arange(len(rank))
+        self.order = ordered(self.h, self.c, rank)
+        h, c = self.h[self.order], self.c[self.order]
+        new = np.ones(len(h), bool)
+        new[1:] = (h[1:] != h[:-1]) | (c[1:] != c[:-1])
+        self.heads = np.flatnonzero(new)
+        self.lead = self.order[self.heads]
+
+    def find(self, h: np.ndarray, c: np.ndarray) -> np.ndarray:
+        """Which of the leads have these fingerprints."""
+        mine = both(self.h[self.lead], self.c[self.lead])
+        by = np.argsort(mine)
+        return by[np.searchsorted(mine, both(h, c), sorter=by)] if len(h) else np.zeros(0, np.int64)
+
+    def windows(self, leads: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Each window of these leads: which lead (by place in ``leads``), its number, a 128-bit fingerprint."""
+        of, number, prints = [], [], []
+        size = self.shape.size
+        for k, r in enumerate(self.lead[leads]):
+            raw = self.block.bytes[self.low[r] : self.high[r]]
+            if self.shape.words:
+                w = raw.split()
+                texts = [b" ".join(w[j : j + size]) for j in range(int(self.count[r]))]
+            else:
+                texts = [raw[j : j + size] for j in range(int(self.count[r]))]
+            prints += map(xxhash.xxh3_128_digest, texts)
+            of.append(np.full(len(texts), k))
+            number.append(np.arange(len(texts)))
+        if not prints:
+            z = np.zeros(0, np.int64)
+            return z, z, np.zeros((0, 2), _U)
+        return np.concatenate(of), np.concatenate(number), np.frombuffer(b"".join(prints), _U).reshape(-1, 2)
+
+
+def both(h: np.ndarray, c: np.ndarray) -> np.ndarray:
+    return mix(h + mix(c + _U(1)))
+
+
+def ordered(h: np.ndarray, c: np.ndarray, *rest: np.ndarray) -> np.ndarray:
+    """Order by h, c, then the rest; only equal h are sorted on more than h."""
+    order = np.argsort(h)
+    s = h[order]
+    same = s[1:] == s[:-1]
+    tied = np.zeros(len(h), bool)
+    tied[1:] = same
+    tied[:-1] |= same
+    sub = order[tied]
+    order[tied] = sub[np.lexsort((*rest[::-1], c[sub], h[sub]) if not rest else (*(r[sub] for r in rest[::-1]), c[sub], h[sub]))]
+    return order
+
+
+def shard_of(h: np.ndarray, n: int) -> np.ndarray:
+    return (mix(h + _U(0x5851F42D4C957F2D)) % _U(n)).astype(np.int64)
+
+
+def firsts(keys: tuple[np.ndarray, ...]) -> np.ndarray:
+    """For sorted columns: whether each row starts a new group."""
+    new = np.ones(len(keys[0]), bool)
+    if len(new):
+        new[1:] = np.logical_or.reduce([k[1:] != k[:-1] for k in keys])
+    return new
+
+
+def exact_ids(values: np.ndarray, span: int, size: int, starts: np.ndarray) -> np.ndarray:
+    """Exact identities of the windows at ``starts``, by bucket-pointer refinement.
+
+    ``values[i]`` is the bucket of the ``span`` symbols at i.  Each round refines all buckets
+    by the bucket pointer ``span`` symbols later, so pointers cover twice as many symbols,
+    and the refined pointers serve the next round; the last round overlaps.
+    """
+    ids = dense(values)
+    while span * 2 <= size and span < size:
+        later = np.zeros_like(ids)
+        later[: len(ids) - span] = ids[span:]
+        ids = dense((ids << _U(32)) | later)
+        span *= 2
+    if span == size:
+        return ids[starts]
+    return dense((ids[starts] << _U(32)) | ids[starts + (size - span)])
+
+
+def dense(values: np.ndarray) -> np.ndarray:
+    """Equal values get equal numbers under 2**32, in sorted order."""
+    order = np.argsort(values)
+    s = values[order]
+    number = np.zeros(len(s), _U)
+    if len(s):
+        np.cumsum(s[1:] != s[:-1], out=number[1:])
+    out = np.empty_like(number)
+    out[order] = number
+    return out
+
+
+def _answers(src: np.ndarray, *columns: np.ndarray) -> Iterator[tuple[int, list[np.ndarray]]]:
+    order = np.argsort(src, kind="stable")
+    cut = K.runs(src[order])
+    for a, b in zip(cut[:-1], cut[1:], strict=True):
+        if a < b:
+            yield int(src[order[a]]), [x[order[a:b]] for x in columns]
+
+
+def _table(out: list[tuple[int, int, bytes]]) -> pa.Table:
+    return pa.Table.from_batches([rows([k for k, _, _ in out], [s for _, s, _ in out], [p for _, _, p in out])])
+
+
+def _gather(table: pa.Table, kind: int) -> list[tuple[np.ndarray, list]]:
+    """Unpacked rows of one kind, each with its src repeated for each entry."""
+    out = []
+    for src, raw in zip(table.column("src").to_pylist(), payloads(table), strict=True):
+        got = unpack(raw)
+        if int(got[0][0]) == kind:
+            out.append((np.full(len(got[1]), src, np.int64), got[1:]))
+    return out
+
+
+def _columns(got: list[tuple[np.ndarray, list]]) -> list:
+    return [np.concatenate([g[0] for g in got]), *(np.concatenate([g[1][k] for g in got]) if not isinstance(got[0][1][k], bytes) else b"".join(g[1][k] for g in got) for k in range(len(got[0][1])))]
+
+
+def mark(docs: DataFrame, shape: Shape, same_doc: bool, finish: Callable[[Block, Iterator[tuple[int, int, np.ndarray, np.ndarray, tuple]]], pa.Table], schema: str) -> DataFrame:
+    """``finish`` of each block and, chunk by chunk, which symbols a window covers that occurred earlier.
+
+    Earlier means in a smaller doc_id and, if ``same_doc``, also at a smaller place of the
+    same document.  ``finish`` gets tuples (a, b, offsets in symbols, covered, (starts, ends))
+    for the documents a to b.
+    """
+    n = parts(docs.sparkSession)
+    keys = even_keys(n)
+    dealt = blocks(docs, n)
+
+    def ask(table: pa.Table) -> pa.Table:
+        block = docs_of(table)
+        s = Supers(block, shape)
+        at = s.lead
+        out = [(int(keys[k]), int(table.column("key")[0].as_py()), pack(np.int8([0]), s.h[at[i]], s.c[at[i]], s.id[at[i]])) for k, i in deal(shard_of(s.h[at], n), n)]
+        return _table(out)
+
+    def judge(table: pa.Table) -> pa.Table:
+        src, h, c, ids = _columns(_gather(table, 0))
+        order = ordered(h, c, ids)
+        src, h, c, ids = src[order], h[order], c[order], ids[order]
+        new_h = firsts((h,))
+        new_c = firsts((h, c))
+        contents = np.add.reduceat(new_c, np.flatnonzero(new_h), dtype=np.int64) if len(h) else np.zeros(0, np.int64)
+        contents = contents[np.cumsum(new_h) - 1]
+        code = np.where(new_c, np.where(contents > SPREAD, WIDE, np.where(contents > 1, MIXED, 0)), REPEAT).astype(np.int8)
+        say = np.flatnonzero(code)
+        return _table([(to, 0, pack(np.int8([0]), *x)) for to, x in _answers(src[say], h[say], c[say], code[say])])
+
+    def send(left: pa.Table, right: pa.Table) -> pa.Table:
+        got = _gather(right, 0)
+        if not got or not left.num_rows:
+            return _table([])
+        me = int(left.column("key")[0].as_py())
+        _, h, c, code = _columns(got)
+        if not (code >= MIXED).any():
+            return _table([])
+        block = docs_of(left)
+        s = Supers(block, shape)
+        out = []
+        leads = s.find(h[code == MIXED], c[code == MIXED])
+        r = s.lead[leads]
+        for k, i in deal(shard_of(s.h[r], n), n):
+            x = r[i]
+            texts = [shape.string(block.bytes[a:b]) for a, b in zip(s.low[x].tolist(), s.high[x].tolist(), strict=True)]
+            out.append((int(keys[k]), me, pack(np.int8([1]), s.h[x], s.c[x], s.id[x], s.first[x].astype(np.int64), s.count[x].astype(np.int32), np.array([len(t) for t in texts], np.int64), b"".join(texts))))
+        leads = s.find(h[code == WIDE], c[code == WIDE])
+        if len(leads):
+            prints, _, ids, first, _ = _wide(s, leads)
+            for k, i in deal(shard_of(prints[:, 0], n), n):
+                out.append((int(keys[k]), me, pack(np.int8([2]), prints[i, 0], prints[i, 1], ids[i], first[i])))
+        return _table(out)
+
+    def refine(table: pa.Table) -> pa.Table:
+        out = []
+        if got := _gather(table, 1):
+            src, h, c, ids, first, count, size, text = _columns(got)
+            at = np.concatenate([[0], np.cumsum(size)])
+            order = np.argsort(h, kind="stable")
+            cut = K.runs(h[order])
+            mask = np.zeros(len(h), _U)
+            a = 0
+            total = np.cumsum(size[order])
+            while a < len(cut) - 1:
+                # Whole buckets, about 1 MB of text at a time.
+                done = total[cut[a] - 1] if cut[a] else 0
+                b = max(a + 1, int(np.searchsorted(total[cut[a + 1 :] - 1], done + (1 << 20), "right")) + a)
+                some = order[cut[a] : cut[b]]
+                mask[some] = _repeats([text[at[i] : at[i + 1]] for i in some], h[some], ids[some], first[some], count[some], shape, same_doc)
+                a = b
+            say = np.flatnonzero(mask)
+            out += [(to, 0, pack(np.int8([1]), *x)) for to, x in _answers(src[say], h[say], c[say], mask[say])]
+        if got := _gather(table, 2):
+            src, k1, k2, ids, first = _columns(got)
+            order = np.lexsort((first, ids, k2, k1))
+            src, k1, k2, ids, first = (x[order] for x in (src, k1, k2, ids, first))
+            say = np.flatnonzero(~firsts((k1, k2)))
+            out += [(to, 0, pack(np.int8([2]), *x)) for to, x in _answers(src[say], k1[say], k2[say])]
+        return _table(out)
+
+    def close(left: pa.Table, right: pa.Table) -> pa.Table:
+        block = docs_of(left)
+        s = Supers(block, shape)
+        full = np.zeros(len(s.lead), bool)
+        masks = np.zeros(len(s.lead), _U)
+        wide = np.zeros(0, np.int64)
+        if got := _gather(right, 0):
+            _, h, c, code = _columns(got)
+            full[s.find(h[code == REPEAT], c[code == REPEAT])] = True
+            wide = s.find(h[code == WIDE], c[code == WIDE])
+        if got := _gather(right, 1):
+            _, h, c, m = _columns(got)
+            masks[s.find(h, c)] = m
+        if len(wide):
+            prints, group, ids, first, (of, number, own_id, own_first) = _wide(s, wide)
+            elsewhere = np.zeros(len(prints), bool)
+            if got := _gather(right, 2):
+                _, k1, k2 = _columns(got)
+                mine = both(prints[:, 0], prints[:, 1])
+                elsewhere = np.isin(mine, both(k1, k2))
+            dup = elsewhere[group] | (own_id > ids[group])
+            if same_doc:
+                dup |= (own_id == ids[group]) & (own_first > first[group])
+            np.bitwise_or.at(masks, wide[of[dup]], _U(1) << number[dup].astype(_U))
+        # From leads to all super-windows of their content.
+        group = np.empty(len(s.order), np.int64)
+        group[s.order] = np.repeat(np.arange(len(s.lead)), np.diff(np.append(s.heads, len(s.order))))
+        lead = s.lead[group]
+        whole = full[group] | (s.id > s.id[lead])
+        if same_doc:
+            whole |= (s.id == s.id[lead]) & (s.first > s.first[lead])
+        mask = np.where(whole, ~_U(0), masks[group])
+
+        def covered() -> Iterator[tuple[int, int, np.ndarray, np.ndarray, tuple]]:
+            for a, b in block.chunks(1 << 20):
+                off = block.off[a : b + 1] - block.off[a]
+                places: tuple = ()
+                if shape.words:
+                    starts, ends, off = K.words(block.buf[block.off[a] : block.off[b] + 8], off)
+                    places = (starts, ends)
+                lo, hi = np.searchsorted(s.doc, (a, b))
+                step = np.zeros(off[-1] + 1, np.int32)
+                hit = np.flatnonzero(mask[lo:hi]) + lo
+                begin = s.first[hit] + off[s.doc[hit] - a]
+                all_of = whole[hit]
+                np.add.at(step, begin[all_of], 1)
+                np.add.at(step, begin[all_of] + s.count[hit[all_of]] + shape.size - 1, -1)
+                hit, begin = hit[~all_of], begin[~all_of]
+                for j in range(int(s.count[hit].max()) if len(hit) else 0):
+                    at = begin[(mask[hit] >> _U(j)) & _U(1) == 1] + j
+                    np.add.at(step, at, 1)
+                    np.add.at(step, at + shape.size, -1)
+                yield a, b, off, np.cumsum(step[:-1]) > 0, places
+
+        return finish(block, covered())
+
+    asked = dealt.groupBy("key").applyInArrow(ask, PACKED).repartition(n, "key")
+    judged = asked.groupBy("key").applyInArrow(judge, PACKED).repartition(n, "key")
+    sent = dealt.groupBy("key").cogroup(judged.groupBy("key")).applyInArrow(send, PACKED).repartition(n, "key")
+    refined = sent.groupBy("key").applyInArrow(refine, PACKED)
+    told = judged.union(refined.repartition(n, "key"))
+    return dealt.groupBy("key").cogroup(told.groupBy("key")).applyInArrow(close, schema)
+
+
+def _wide(s: Supers, leads: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, tuple]:
+    """Distinct windows of these leads with their smallest (doc_id, first) in the block, and each window's group."""
+    of, number, prints = s.windows(leads)
+    r = s.lead[leads[of]]
+    ids, first = s.id[r], s.first[r] + number
+    order = np.lexsort((first, ids, prints[:, 1], prints[:, 0]))
+    new = firsts((prints[order, 0], prints[order, 1]))
+    group = np.empty(len(order), np.int64)
+    group[order] = np.cumsum(new) - 1
+    at = order[new]
+    return prints[at], group, ids[at], first[at], (of, number, ids, first)
+
+
+def _repeats(texts: list[bytes], h: np.ndarray, ids: np.ndarray, first: np.ndarray, count: np.ndarray, shape: Shape, same_doc: bool) -> np.ndarray:
+    """For each packed string: a bit for each window that an earlier one of these strings holds too."""
+    if shape.words:
+        seen: dict[bytes, int] = {}
+        lists = [t.split(b" ") for t in texts]
+        values = np.array([seen.setdefault(w, len(seen)) for x in lists for w in x], _U)
+        begin, span = np.cumsum([0, *map(len, lists)])[:-1], 1
+    else:
+        buf = np.frombuffer(b"".join(texts) + b"\0" * 8, np.uint8)
+        values, span = np.array(np.ndarray((len(buf) - 8,), "<u8", buf, 0, (1,))), 8
+        begin = np.cumsum([0, *map(len, texts)])[:-1]
+    count = count.astype(np.int64)
+    of = np.repeat(np.arange(len(texts)), count)
+    number = np.arange(len(of)) - np.repeat(np.cumsum(count) - count, count)
+    win = exact_ids(values, span, shape.size, begin[of] + number)
+    place = first[of] + number
+    order = np.lexsort((place, ids[of], win))
+    w, d, p = win[order], ids[of][order], place[order]
+    new = firsts((w,))
+    head = np.maximum.accumulate(np.where(new, np.arange(len(w)), 0))
+    dup = d > d[head]
+    if same_doc:
+        dup |= (d == d[head]) & (p > p[head])
+    mask = np.zeros(len(texts), _U)
+    hit = order[dup]
+    np.bitwise_or.at(mask, of[hit], _U(1) << number[hit].astype(_U))
+    return mask
