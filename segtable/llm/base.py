@@ -18,7 +18,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import zstandard
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 PACKED = "key long, src long, payload binary"
@@ -172,11 +172,17 @@ def deal(to: np.ndarray, n: int) -> Iterator[tuple[int, np.ndarray]]:
             yield k, order[bounds[k] : bounds[k + 1]]
 
 
-def blocks(docs: DataFrame, n: int) -> DataFrame:
+def block_of(ids: np.ndarray, n: int) -> np.ndarray:
+    """Which of n blocks holds each document."""
+    return (mix(ids.view(np.uint64) + np.uint64(0x9E3779B97F4A7C15)) % np.uint64(n)).astype(np.int64)
+
+
+def blocks(docs: DataFrame, n: int, carry: Column | None = None) -> DataFrame:
     """The documents dealt into n blocks by a hash of doc_id: rows (key, src, payload).
 
     A document is in one block whole, and rows with one doc_id are together.  The
     exchange is written once and used again by each branch of the plan that reads it.
+    ``carry``: a string that travels with each document (``Block.carry``).
     """
     keys = even_keys(n)
 
@@ -185,17 +191,19 @@ def blocks(docs: DataFrame, n: int) -> DataFrame:
             if not batch.num_rows:
                 continue
             ids = batch.column(0).fill_null(NULL_ID).to_numpy(zero_copy_only=False).astype(np.int64)
-            to = (mix(ids.view(np.uint64) + np.uint64(0x9E3779B97F4A7C15)) % np.uint64(n)).astype(np.int64)
+            to = block_of(ids, n)
             order = np.argsort(to, kind="stable")
-            text = batch.column(1).cast(pa.large_string()).take(pa.array(order))
-            missing = text.is_null().to_numpy(zero_copy_only=False)
-            buf, off = text_parts(text)
-            ids, lens = ids[order], np.where(missing, NULL_LEN, np.diff(off)).astype(np.uint32)
+            ids, texts = ids[order], []
+            for c in range(1, batch.num_columns):
+                text = batch.column(c).cast(pa.large_string()).take(pa.array(order))
+                buf, off = text_parts(text)
+                texts.append((np.where(text.is_null().to_numpy(zero_copy_only=False), NULL_LEN, np.diff(off)).astype(np.uint32), buf, off))
             bounds = np.searchsorted(to[order], np.arange(n + 1))
-            out = [(int(keys[k]), pack(ids[a:b], lens[a:b], buf[off[a] : off[b]].tobytes())) for k, (a, b) in enumerate(zip(bounds[:-1], bounds[1:], strict=True)) if a < b]
+            out = [(int(keys[k]), pack(ids[a:b], *(x for size, buf, off in texts for x in (size[a:b], buf[off[a] : off[b]].tobytes())))) for k, (a, b) in enumerate(zip(bounds[:-1], bounds[1:], strict=True)) if a < b]
             yield rows([k for k, _ in out], 0, [p for _, p in out])
 
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, PACKED).repartition(n, "key")
+    more = [] if carry is None else [carry.cast("string").alias("carry")]
+    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"), *more).mapInArrow(run, PACKED).repartition(n, "key")
 
 
 class Block:
@@ -215,6 +223,12 @@ class Block:
         self.bytes = b"".join(view[off[i] : off[i + 1]] for i in order) + b"\0" * 8
         self.off = np.concatenate([[0], np.cumsum(lens[order])])
         self.buf = np.frombuffer(self.bytes, np.uint8)
+        self.carry: list[str | None] = []
+        if got and len(got[0]) > 3:
+            size = np.concatenate([g[3] for g in got])
+            none, size = size == NULL_LEN, np.where(size == NULL_LEN, 0, size).astype(np.int64)
+            more, at = b"".join(g[4] for g in got), np.concatenate([[0], np.cumsum(size)])
+            self.carry = [None if none[i] else more[at[i] : at[i + 1]].decode() for i in order]
 
     def __len__(self) -> int:
         return len(self.ids)
@@ -231,7 +245,15 @@ class Block:
             a = b
 
     def id_column(self) -> pa.Array:
-        return pa.array(self.ids, pa.int64(), mask=self.ids == NULL_ID)
+        return id_column(self.ids)
+
+    def with_carry(self, table: pa.Table) -> pa.Table:
+        """``table``, which has a row per document, with what the documents carry."""
+        return table.append_column("carry", pa.array(self.carry, pa.string()))
+
+
+def id_column(ids: np.ndarray) -> pa.Array:
+    return pa.array(ids, pa.int64(), mask=ids == NULL_ID)
 
 
 def payloads(table: pa.Table) -> list[bytes]:

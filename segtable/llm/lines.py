@@ -14,7 +14,7 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .base import NULL_ID, PACKED, Block, blocks, deal, docs_of, even_keys, pack, parts, payloads, unpack, written
@@ -101,7 +101,7 @@ def _ask(keys: np.ndarray, n: int, of: Callable[[pa.Table], tuple[np.ndarray, ..
     return ask
 
 
-def drop_repeated_lines(docs: DataFrame, least_chars: int = 20, least_docs: int = 3) -> DataFrame:
+def drop_repeated_lines(docs: DataFrame, least_chars: int = 20, least_docs: int = 3, carry: Column | None = None) -> DataFrame:
     """Drop the lines whose key stands in ``least_docs`` documents or more, but for the largest doc_id.
 
     Lines are cut at each \\n (a null or empty text is one empty line); the key is the line
@@ -111,11 +111,12 @@ def drop_repeated_lines(docs: DataFrame, least_chars: int = 20, least_docs: int
     Returns doc_id, n_lines (before dropping), n_dropped, and the kept lines joined by \\n.
     Documents are told apart by doc_id: rows with one doc_id are one document when counting,
     and all of them keep what the largest document keeps; a null doc_id is smaller than any
-    other.  Other columns are not looked at.  An empty table gives an empty result.
+    other.  Other columns are not looked at, but ``carry`` is returned with its row.  An empty
+    table gives an empty result.
     """
     n = parts(docs.sparkSession)
     keys = even_keys(n)
-    dealt = blocks(docs, n)
+    dealt = blocks(docs, n, carry)
 
     def judge(table: pa.Table) -> pa.Table:
         return _table([(to, 0, pack(*x)) for to, x in Shard(_entries(table)).answers(least_docs)])
@@ -134,12 +135,13 @@ def drop_repeated_lines(docs: DataFrame, least_chars: int = 20, least_docs: int
             total.append(len(lines))
             dropped.append(len(lines) - len(stay))
             kept.append(b"\n".join(stay))
-        return pa.table([block.id_column(), pa.array(total, pa.int64()), pa.array(dropped, pa.int64()), pa.array(kept, pa.binary()).cast(pa.string())], names=["doc_id", "n_lines", "n_dropped", "kept"])
+        got = pa.table([block.id_column(), pa.array(total, pa.int64()), pa.array(dropped, pa.int64()), pa.array(kept, pa.binary()).cast(pa.string())], names=["doc_id", "n_lines", "n_dropped", "kept"])
+        return got if carry is None else block.with_carry(got)
 
     ask = _ask(keys, n, lambda t: references(docs_of(t), least_chars))
     asked = dealt.groupBy("key").applyInArrow(ask, PACKED).repartition(n, "key")
     judged = asked.groupBy("key").applyInArrow(judge, PACKED).repartition(n, "key")
-    return dealt.groupBy("key").cogroup(judged.groupBy("key")).applyInArrow(close, SCHEMA)
+    return dealt.groupBy("key").cogroup(judged.groupBy("key")).applyInArrow(close, SCHEMA + ("" if carry is None else ", carry string"))
 
 
 class LineIndex:

@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, lines, packing, repeats, rules, topk
+from . import bpe, langid, lines, minhash, packing, repeats, rules, topk
 
 
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -47,6 +47,15 @@ def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lines.drop_repeated_lines(_documents(spark, sf_dir)).select("doc_id", "n_lines", "n_dropped", _sha("kept", "kept_sha256"))
 
 
+def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _documents(spark, sf_dir).withColumn("held_out", langid.remainder("doc_id", 5) == 0)
+    return langid.predict(docs, langid.train(docs.where(~F.col("held_out")))).select("doc_id", (langid.remainder("doc_id", 5) == 0).alias("held_out"), "lang_pred", "score")
+
+
+def op4_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash.near_classes(_documents(spark, sf_dir))
+
+
 def op8_bpe_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     got = bpe.encode_decode(_documents(spark, sf_dir), tokenizer_path())
     ids = F.array_join(F.col("ids").cast("array<string>"), " ")
@@ -110,5 +119,5 @@ SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(len(w) - coalesce(n, 0) A
 FROM docs LEFT JOIN left_over USING (doc_id)
 """
 
-QUERIES = {f.__name__: f for f in (op1_top_k, op2_line_dedup, op5_suffix_dedup, op6_substring_dedup, op7_best_fit_packing, op8_bpe_tokens, op10_quality_rules)}
+QUERIES = {f.__name__: f for f in (op1_top_k, op2_line_dedup, op3_language_id, op4_near_dedup, op5_suffix_dedup, op6_substring_dedup, op7_best_fit_packing, op8_bpe_tokens, op10_quality_rules)}
 SQL = {"op1_top_k": OP1_SQL, "op2_line_dedup": OP2_SQL, "op5_suffix_dedup": OP5_SQL, "op6_substring_dedup": OP6_SQL}

@@ -6,7 +6,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 
 from .base import Block
 from .windows import Shape, mark
@@ -64,7 +64,7 @@ def remove_repeated_bytes(docs: DataFrame, length: int = 50, gram: int = 20) ->
     return mark(docs, Shape(length, gram, False), False, finish, BYTE_SCHEMA)
 
 
-def remove_repeated_words(docs: DataFrame, length: int = 20, gram: int = 4) -> DataFrame:
+def remove_repeated_words(docs: DataFrame, length: int = 20, gram: int = 4, carry: Column | None = None) -> DataFrame:
     """Remove each word covered by a window of ``length`` words that also starts earlier.
 
     Super-k-mer partitioning: consecutive windows that share a minimiser travel as one packed
@@ -74,7 +74,8 @@ def remove_repeated_words(docs: DataFrame, length: int = 20, gram: int = 4) -> D
     Returns doc_id, n_words, n_removed and the kept words joined by one space.  A null or
     empty text has no words; a text of fewer than ``length`` words loses none.  Rows with one
     doc_id count as one document, in which equal places are not earlier than each other; a
-    null doc_id is smaller than any other.  An empty table gives an empty result.
+    null doc_id is smaller than any other.  ``carry`` is returned with its row.  An empty table
+    gives an empty result.
     """
 
     def finish(block: Block, parts: Iterator[tuple]) -> pa.Table:
@@ -92,4 +93,4 @@ def remove_repeated_words(docs: DataFrame, length: int = 20, gram: int = 4) -> D
         flat = [pa.array(np.concatenate(x) if x else [], pa.int64()) for x in (total, removed)]
         return pa.table([block.id_column(), *flat, pa.array(kept, pa.binary()).cast(pa.string())], names=["doc_id", "n_words", "n_removed", "kept"])
 
-    return mark(docs, Shape(length, gram, True), True, finish, WORD_SCHEMA)
+    return mark(docs, Shape(length, gram, True), True, finish, WORD_SCHEMA, carry)

@@ -26,7 +26,7 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 
 from . import kernels as K
 from .base import PACKED, Block, blocks, deal, docs_of, even_keys, mix, pack, parts, payloads, rows, unpack
@@ -198,16 +198,16 @@ def _columns(got: list[tuple[np.ndarray, list]]) -> list:
     return [np.concatenate([g[0] for g in got]), *(np.concatenate([g[1][k] for g in got]) if not isinstance(got[0][1][k], bytes) else b"".join(g[1][k] for g in got) for k in range(len(got[0][1])))]
 
 
-def mark(docs: DataFrame, shape: Shape, same_doc: bool, finish: Callable[[Block, Iterator[tuple[int, int, np.ndarray, np.ndarray, tuple]]], pa.Table], schema: str) -> DataFrame:
+def mark(docs: DataFrame, shape: Shape, same_doc: bool, finish: Callable[[Block, Iterator[tuple[int, int, np.ndarray, np.ndarray, tuple]]], pa.Table], schema: str, carry: Column | None = None) -> DataFrame:
     """``finish`` of each block and, chunk by chunk, which symbols a window covers that occurred earlier.
 
     Earlier means in a smaller doc_id and, if ``same_doc``, also at a smaller place of the
     same document.  ``finish`` gets tuples (a, b, offsets in symbols, covered, (starts, ends))
-    for the documents a to b.
+    for the documents a to b.  ``carry`` is returned with each row.
     """
     n = parts(docs.sparkSession)
     keys = even_keys(n)
-    dealt = blocks(docs, n)
+    dealt = blocks(docs, n, carry)
 
     def ask(table: pa.Table) -> pa.Table:
         block = docs_of(table)
@@ -333,14 +333,15 @@ def mark(docs: DataFrame, shape: Shape, same_doc: bool, finish: Callable[[Block,
                     np.add.at(step, at + shape.size, -1)
                 yield a, b, off, np.cumsum(step[:-1]) > 0, places
 
-        return finish(block, covered())
+        got = finish(block, covered())
+        return got if carry is None else block.with_carry(got)
 
     asked = dealt.groupBy("key").applyInArrow(ask, PACKED).repartition(n, "key")
     judged = asked.groupBy("key").applyInArrow(judge, PACKED).repartition(n, "key")
     sent = dealt.groupBy("key").cogroup(judged.groupBy("key")).applyInArrow(send, PACKED).repartition(n, "key")
     refined = sent.groupBy("key").applyInArrow(refine, PACKED)
     told = judged.union(refined.repartition(n, "key"))
-    return dealt.groupBy("key").cogroup(told.groupBy("key")).applyInArrow(close, schema)
+    return dealt.groupBy("key").cogroup(told.groupBy("key")).applyInArrow(close, schema + ("" if carry is None else ", carry string"))
 
 
 def _wide(s: Supers, leads: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, tuple]:
