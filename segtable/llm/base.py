@@ -132,7 +132,7 @@ def pack(*arrays: np.ndarray | bytes) -> bytes:
     out = []
     for a in arrays:
         if isinstance(a, (bytes, memoryview)):
-            kind, n, raw = b"B", len(a), bytes(a)
+            kind, n, raw = b"*", len(a), bytes(a)
         else:
             kind, n = a.dtype.char.encode(), len(a)
             raw = np.ascontiguousarray(a.view(np.uint8).reshape(n, a.itemsize).T).tobytes() if n and a.itemsize > 1 else a.tobytes()
@@ -149,7 +149,7 @@ def unpack(data: bytes) -> list[np.ndarray | bytes]:
         n, size = np.frombuffer(view, np.int64, 2, at + 1)
         raw = zstandard.decompress(view[at + 17 : at + 17 + size]) if size else b""
         at += 17 + int(size)
-        if kind == "B":
+        if kind == "*":
             out.append(raw)
         else:
             t = np.dtype(kind)

@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, langid, lines, minhash, packing, repeats, rules, topk
+from . import bpe, langid, lines, lm, minhash, packing, repeats, rules, topk
 
 
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -62,6 +62,10 @@ def op8_bpe_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     return got.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(ids.cast("binary"), 256).alias("ids_sha256"), _sha("decoded", "decoded_sha256"))
 
 
+def op9_lm_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm.score_documents(_documents(spark, sf_dir))
+
+
 def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     got = rules.judge_quality(_documents(spark, sf_dir))
     return got.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "quality")
@@ -119,5 +123,5 @@ SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(len(w) - coalesce(n, 0) A
 FROM docs LEFT JOIN left_over USING (doc_id)
 """
 
-QUERIES = {f.__name__: f for f in (op1_top_k, op2_line_dedup, op3_language_id, op4_near_dedup, op5_suffix_dedup, op6_substring_dedup, op7_best_fit_packing, op8_bpe_tokens, op10_quality_rules)}
+QUERIES = {f.__name__: f for f in (op1_top_k, op2_line_dedup, op3_language_id, op4_near_dedup, op5_suffix_dedup, op6_substring_dedup, op7_best_fit_packing, op8_bpe_tokens, op9_lm_scores, op10_quality_rules)}
 SQL = {"op1_top_k": OP1_SQL, "op2_line_dedup": OP2_SQL, "op5_suffix_dedup": OP5_SQL, "op6_substring_dedup": OP6_SQL}
