@@ -21,7 +21,6 @@ from pyspark.sql import functions as F
 
 from .base import text_parts
 
-SCHEMA = "doc_id long, lang_pred string, score double"
 SLOTS = 1 << 16
 ORDERS = (1, 2, 3, 4)
 UNKNOWN = "und"
@@ -125,19 +124,22 @@ def train(docs: DataFrame, per_lang: int = 500, landmarks: int = 192, ridge: flo
     return fit([(r["lang"], bytes(r["bits"])) for r in got], landmarks, ridge)
 
 
-def predict(docs: DataFrame, model: Model) -> DataFrame:
+def predict(docs: DataFrame, model: Model, keep: bool = False) -> DataFrame:
     """The language of each whole text, and how sure that is (0 to 1).
 
     A null text, or one without a letter, is ``und`` with score 0; so is every text if the
     model has learned no language.  Rows are judged one by one and nothing is shuffled: repeated
-    rows give repeated results, a null doc_id stays null, other columns are not looked at.
+    rows give repeated results, a null doc_id stays null.  With ``keep`` all columns of ``docs``
+    stay (of one named lang_pred or score the result takes the place), else doc_id alone.
     """
     shared = docs.sparkSession.sparkContext.broadcast(model)  # SLOTS times the number of languages
+    cols = [c for c in docs.columns if c not in ("lang_pred", "score")] if keep else ["doc_id"]
+    schema = docs.select(*(F.col(f"`{c}`") for c in cols)).schema if keep else docs.select(F.col("doc_id").cast("long")).schema
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = shared.value
         for batch in batches:
-            buf, off = text_parts(batch.column(1))
+            buf, off = text_parts(batch.column(batch.num_columns - 1))
             raw = memoryview(np.ascontiguousarray(buf))
             langs: list[str] = []
             scores: list[float] = []
@@ -152,6 +154,7 @@ def predict(docs: DataFrame, model: Model) -> DataFrame:
                     langs.append(m.langs[top[i]] if known else UNKNOWN)
                     scores.append(float(min(1.0, max(0.0, s[i, top[i]]))) if known else 0.0)
                 a = b
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(langs, pa.string()), pa.array(scores, pa.float64())], names=["doc_id", "lang_pred", "score"])
+            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(langs, pa.string()), pa.array(scores, pa.float64())], names=[*cols, "lang_pred", "score"])
 
-    return docs.selectExpr("cast(doc_id as long) doc_id", "cast(text as string) text").mapInArrow(run, SCHEMA)
+    given = [F.col(f"`{c}`") if keep else F.col(c).cast("long") for c in cols]
+    return docs.select(*given, F.col("text").cast("string").alias("text to judge")).mapInArrow(run, schema.add("lang_pred", "string").add("score", "double"))

@@ -116,7 +116,7 @@ def drop_repeated_lines(docs: DataFrame, least_chars: int = 20, least_docs: int
     """
     n = parts(docs.sparkSession)
     keys = even_keys(n)
-    dealt = blocks(docs, n, carry)
+    dealt, carried = blocks(docs, n, carry), carry is not None
 
     def judge(table: pa.Table) -> pa.Table:
         return _table([(to, 0, pack(*x)) for to, x in Shard(_entries(table)).answers(least_docs)])
@@ -136,12 +136,12 @@ def drop_repeated_lines(docs: DataFrame, least_chars: int = 20, least_docs: int
             dropped.append(len(lines) - len(stay))
             kept.append(b"\n".join(stay))
         got = pa.table([block.id_column(), pa.array(total, pa.int64()), pa.array(dropped, pa.int64()), pa.array(kept, pa.binary()).cast(pa.string())], names=["doc_id", "n_lines", "n_dropped", "kept"])
-        return got if carry is None else block.with_carry(got)
+        return block.with_carry(got) if carried else got
 
     ask = _ask(keys, n, lambda t: references(docs_of(t), least_chars))
     asked = dealt.groupBy("key").applyInArrow(ask, PACKED).repartition(n, "key")
     judged = asked.groupBy("key").applyInArrow(judge, PACKED).repartition(n, "key")
-    return dealt.groupBy("key").cogroup(judged.groupBy("key")).applyInArrow(close, SCHEMA + ("" if carry is None else ", carry string"))
+    return dealt.groupBy("key").cogroup(judged.groupBy("key")).applyInArrow(close, SCHEMA + ", carry string" * carried)
 
 
 class LineIndex:

@@ -207,7 +207,7 @@ def mark(docs: DataFrame, shape: Shape, same_doc: bool, finish: Callable[[Block,
     """
     n = parts(docs.sparkSession)
     keys = even_keys(n)
-    dealt = blocks(docs, n, carry)
+    dealt, carried = blocks(docs, n, carry), carry is not None
 
     def ask(table: pa.Table) -> pa.Table:
         block = docs_of(table)
@@ -334,14 +334,14 @@ def mark(docs: DataFrame, shape: Shape, same_doc: bool, finish: Callable[[Block,
                 yield a, b, off, np.cumsum(step[:-1]) > 0, places
 
         got = finish(block, covered())
-        return got if carry is None else block.with_carry(got)
+        return block.with_carry(got) if carried else got
 
     asked = dealt.groupBy("key").applyInArrow(ask, PACKED).repartition(n, "key")
     judged = asked.groupBy("key").applyInArrow(judge, PACKED).repartition(n, "key")
     sent = dealt.groupBy("key").cogroup(judged.groupBy("key")).applyInArrow(send, PACKED).repartition(n, "key")
     refined = sent.groupBy("key").applyInArrow(refine, PACKED)
     told = judged.union(refined.repartition(n, "key"))
-    return dealt.groupBy("key").cogroup(told.groupBy("key")).applyInArrow(close, schema + ("" if carry is None else ", carry string"))
+    return dealt.groupBy("key").cogroup(told.groupBy("key")).applyInArrow(close, schema + ", carry string" * carried)
 
 
 def _wide(s: Supers, leads: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, tuple]:
