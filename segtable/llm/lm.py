@@ -258,17 +258,19 @@ class _Share:
         self.tokens += len(sym)
         key = np.sort(context << 11 | sym)
         cut = K.runs(key)
-        self.pairs.append((key[cut[:-1]], np.diff(cut)))
-        if len(self.pairs) >= 8:
+        self.pairs.append((key[cut[:-1]], np.diff(cut).astype(np.int32)))
+        if sum(len(k) for k, _ in self.pairs[1:]) > max(1 << 19, len(self.pairs[0][0]) // 2):
             self.settle()
 
     def settle(self) -> tuple[np.ndarray, np.ndarray]:
         if not self.pairs:
-            return np.zeros(0, np.int64), np.zeros(0, np.int64)
+            return np.zeros(0, np.int64), np.zeros(0, np.int32)
         key, n = (np.concatenate(x) for x in zip(*self.pairs, strict=True))
         order = np.argsort(key, kind="stable")
-        cut = np.flatnonzero(firsts((key[order],)))
-        self.pairs = [(key[order[cut]], np.add.reduceat(n[order], cut) if len(cut) else n)]
+        key, n = key[order], n[order]
+        del order
+        cut = np.flatnonzero(firsts((key,)))
+        self.pairs = [(key[cut], np.add.reduceat(n, cut) if len(cut) else n)]
         return self.pairs[0]
 
 
@@ -319,23 +321,22 @@ def train_share(share: _Share, words: Vocabulary, start: Weights, passes: int, r
     """Weights after steps on one share."""
     key, n = share.settle()
     w = Weights(start.classes.copy(), start.members.copy())
-    context, sym = key >> 11, key & 2047
-    cls = np.where(sym < HEAD, sym // WIDE, HEAD // WIDE + sym - HEAD)
-    pair = context << 7 | cls
-    first = np.flatnonzero(firsts((pair,))) if len(pair) else np.zeros(0, np.int64)
+    sym = (key & 2047).astype(np.int16)
+    cls = np.where(sym < HEAD, sym // WIDE, HEAD // WIDE + sym - HEAD).astype(np.int16)
     # Symbols are in order of class within a history.
+    first = np.flatnonzero(firsts((key >> 11, cls)))
     count = np.add.reduceat(n, first) if len(first) else n
-    c, k = context[first], cls[first]
+    c, k = key[first] >> 11, cls[first]
     new = firsts((c,))
     _descend(w.classes, np.cumsum(new) - 1, k, count, _rows1(c[new]), words.bias1, passes, rate, ridge)
     on = sym < HEAD
-    context, sym, cls, n = context[on], sym[on], cls[on], n[on]
-    new = firsts((context, cls))
-    _descend(w.members, np.cumsum(new) - 1, sym % WIDE, n, _rows2(context[new], cls[new]), words.bias2[cls[new]], passes, rate, ridge)
+    c, sym, cls, n = key[on] >> 11, sym[on], cls[on], n[on]
+    new = firsts((c, cls))
+    _descend(w.members, np.cumsum(new) - 1, sym % WIDE, n, _rows2(c[new], cls[new]), words.bias2[cls[new]], passes, rate, ridge)
     return w
 
 
-def _share_rows(raw: bytes, words: Vocabulary, chunk: int = 1 << 20) -> Iterator[tuple]:
+def _share_rows(raw: bytes, words: Vocabulary, chunk: int = 1 << 18) -> Iterator[tuple]:
     """A coded block in chunks of documents: first document, ids, learned, tokens' offsets, codes, symbols, counts."""
     ids, learn, size, code, h, total, tail = unpack(raw)
     sym = words.symbols(h, tail)
@@ -348,7 +349,7 @@ def _share_rows(raw: bytes, words: Vocabulary, chunk: int = 1 << 20) -> Iterator
         a = b
 
 
-def train(table: DataFrame, words: Vocabulary, rounds: int = 2, passes: int = 1, rate: float = 0.25, ridge: float = 0.05, share_tokens: int = 8 << 20, fan: int = 16) -> Weights:
+def train(table: DataFrame, words: Vocabulary, rounds: int = 2, passes: int = 1, rate: float = 0.25, ridge: float = 0.05, share_tokens: int = 4 << 20, fan: int = 16) -> Weights:
     """Rounds of local steps and averaging.  A share has about ``share_tokens`` tokens."""
     spark = table.sparkSession
     groups = max(1, math.ceil(words.total / share_tokens))
