@@ -63,6 +63,16 @@ def _remove_written() -> None:
             return
 
 
+def few(df: DataFrame, docs: DataFrame, each: int = 8 << 20) -> DataFrame:
+    """``df``, made from ``docs``, in tasks and files that stand for about ``each`` bytes of input or more.
+
+    Tiny partitions are merged without a shuffle, but not to fewer than two for each core.  Where
+    partitions are of a usual size nothing changes.
+    """
+    size = int(str(docs._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return df.coalesce(max(2 * df.sparkSession.sparkContext.defaultParallelism, -(-size // each)))
+
+
 def parts(spark: SparkSession) -> int:
     """How many blocks and shards to use: the session's shuffle partitions."""
     return int(spark.conf.get("spark.sql.shuffle.partitions"))

@@ -16,7 +16,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .base import written
+from .base import few, written
 
 BLANK = "[\\x20\\x09-\\x0D]+"
 WINDOW = 8
@@ -158,7 +158,7 @@ def judge_quality(docs: DataFrame, threshold: float = 0.5) -> DataFrame:
     The votes of all documents enter the estimate; for an empty table the result is empty.
     """
     rules = votes()
-    seen = written(features(docs)).select("*", *(v.alias(k) for k, v in rules.items()))
+    seen = written(features(few(docs, docs))).select("*", *(v.alias(k) for k, v in rules.items()))
     counted = seen.groupBy(*rules).count().collect()  # at most 3**len(rules) rows
     counts = sorted((tuple(r[k] for k in rules), r["count"]) for r in counted)
     model = estimate(counts, list(rules))
