@@ -29,7 +29,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 
 from . import kernels as K
-from .base import PACKED, Block, blocks, deal, docs_of, even_keys, mix, pack, parts, payloads, rows, unpack
+from .base import PACKED, Block, blocks, deal, docs_of, even_keys, few, mix, pack, parts, payloads, rows, unpack
 
 _U = np.uint64
 SPREAD = 256
@@ -341,7 +341,7 @@ def mark(docs: DataFrame, shape: Shape, same_doc: bool, finish: Callable[[Block,
     sent = dealt.groupBy("key").cogroup(judged.groupBy("key")).applyInArrow(send, PACKED).repartition(n, "key")
     refined = sent.groupBy("key").applyInArrow(refine, PACKED)
     told = judged.union(refined.repartition(n, "key"))
-    return dealt.groupBy("key").cogroup(told.groupBy("key")).applyInArrow(close, schema + ", carry string" * carried)
+    return few(dealt.groupBy("key").cogroup(told.groupBy("key")).applyInArrow(close, schema + ", carry string" * carried), docs)
 
 
 def _wide(s: Supers, leads: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, tuple]:
