@@ -17,7 +17,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .base import NULL_ID, PACKED, Block, blocks, deal, docs_of, even_keys, pack, parts, payloads, unpack, written
+from .base import NULL_ID, PACKED, Block, blocks, deal, docs_of, even_keys, few, pack, parts, payloads, unpack, written
 from .cuckoo import CuckooFilter
 from .windows import _answers, _table, both, firsts, shard_of
 
@@ -141,7 +141,7 @@ def drop_repeated_lines(docs: DataFrame, least_chars: int = 20, least_docs: int
     ask = _ask(keys, n, lambda t: references(docs_of(t), least_chars))
     asked = dealt.groupBy("key").applyInArrow(ask, PACKED).repartition(n, "key")
     judged = asked.groupBy("key").applyInArrow(judge, PACKED).repartition(n, "key")
-    return dealt.groupBy("key").cogroup(judged.groupBy("key")).applyInArrow(close, SCHEMA + ", carry string" * carried)
+    return few(dealt.groupBy("key").cogroup(judged.groupBy("key")).applyInArrow(close, SCHEMA + ", carry string" * carried), docs)
 
 
 class LineIndex:
