@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .base import PACKED, block_of, deal, pack, payloads, unpack, written
+from .base import PACKED, block_of, deal, few, pack, payloads, unpack, written
 from .windows import _table
 
 STATE = -1  # in column src: the row is a block's state, else a message from that block
@@ -97,14 +97,14 @@ def _step(table: pa.Table, keys: np.ndarray) -> pa.Table:
     return _table(out)
 
 
-def components(state: DataFrame, keys: np.ndarray) -> DataFrame:
+def components(state: DataFrame, keys: np.ndarray, docs: DataFrame) -> DataFrame:
     """Supersteps until no message is left; the states then hold each owned node's final label.
 
-    ``state``: a ``state_row`` for each block.  Each superstep is written to the shared folder.
+    ``state``: a ``state_row`` for each block of ``docs``.  Each superstep is written to the shared folder.
     """
     n = len(keys)
     while True:
-        state = written(state.repartition(n, "key").groupBy("key").applyInArrow(lambda t: _step(t, keys), PACKED))
+        state = written(few(state.repartition(n, "key").groupBy("key").applyInArrow(lambda t: _step(t, keys), PACKED), docs))
         if state.where(F.col("src") != STATE).isEmpty():
             return state
 

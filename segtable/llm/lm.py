@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import kernels as K
-from .base import NULL_ID, PACKED, Block, blocks, deal, docs_of, even_keys, id_column, mix, pack, parts, payloads, unpack, written
+from .base import NULL_ID, PACKED, Block, blocks, deal, docs_of, even_keys, few, id_column, mix, pack, parts, payloads, unpack, written
 from .windows import _table, firsts, shard_of
 
 _U = np.uint64
@@ -144,7 +144,7 @@ def coded(docs: DataFrame, modulus: int, out: int) -> DataFrame:
     out_ = out
     asked = dealt.groupBy("key").applyInArrow(ask, PACKED).repartition(n, "key")
     judged = asked.groupBy("key").applyInArrow(judge, PACKED).repartition(n, "key")
-    return written(dealt.groupBy("key").cogroup(judged.groupBy("key")).applyInArrow(close, PACKED))
+    return written(few(dealt.groupBy("key").cogroup(judged.groupBy("key")).applyInArrow(close, PACKED), docs))
 
 
 @dataclass

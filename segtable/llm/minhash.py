@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import kernels as K
-from .base import PACKED, Block, block_of, blocks, deal, docs_of, even_keys, id_column, mix, pack, parts, payloads, unpack, written
+from .base import PACKED, Block, block_of, blocks, deal, docs_of, even_keys, few, id_column, mix, pack, parts, payloads, unpack, written
 from .components import STATE, components, label_of, state_row
 from .windows import _answers, _table, firsts, shard_of
 
@@ -267,15 +267,15 @@ def near_classes(docs: DataFrame, size: int = 5, threshold: float = 0.8, bands:
     served = dealt.groupBy("key").cogroup(linked.groupBy("key")).applyInArrow(serve, PACKED)
     told = linked.union(served.repartition(n, "key"))
     state = dealt.groupBy("key").cogroup(told.groupBy("key")).applyInArrow(verify, PACKED)
-    first = written(state)
-    final = components(first.where(F.col("src") == STATE), keys).where(F.col("src") == STATE)
+    first = written(few(state, docs))
+    final = components(first.where(F.col("src") == STATE), keys, docs).where(F.col("src") == STATE)
 
     def result(table: pa.Table) -> pa.Table:
         by = dict(zip(table.column("src").to_pylist(), payloads(table), strict=True))
         (ids,) = unpack(by[IDS])
         return pa.table([id_column(ids), id_column(label_of(ids, by.get(STATE)))], names=["doc_id", "class_id"])
 
-    return first.where(F.col("src") == IDS).union(final).repartition(n, "key").groupBy("key").applyInArrow(result, SCHEMA)
+    return few(first.where(F.col("src") == IDS).union(final).repartition(n, "key").groupBy("key").applyInArrow(result, SCHEMA), docs)
 
 
 def _salted(ids: np.ndarray, band: np.ndarray) -> np.ndarray:
