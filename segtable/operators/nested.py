@@ -100,9 +100,8 @@ def shred(df: DataFrame, record: str, key: str) -> DataFrame:
         cells = []
         for i, path, t, x, _ in leaves:
             value = _at(F.col("r"), path)
-            stored = scalars.encode_integer(F.coalesce(F.size(value), F.lit(0)), "Q") if isinstance(t, T.ArrayType) else _encode(value, t, x)
-            if isinstance(t, T.ArrayType):
-                stored = scalars.encode_integer(F.when(value.isNull(), 0).otherwise(F.size(value)), "Q")
+            size = F.when(value.isNull(), 0).otherwise(F.size(value)) if isinstance(t, T.ArrayType) else None
+            stored = scalars.encode_integer(size, "Q") if size is not None else _encode(value, t, x)
             cells.append(F.struct(F.lit(i).cast("long").alias("id"), stored.alias("v")))
         if cells:
             out.append(rows.select("key", "pos", F.inline(F.array(*cells))))
@@ -121,27 +120,42 @@ def shred(df: DataFrame, record: str, key: str) -> DataFrame:
 def assemble(streams: DataFrame, kind: T.StructType) -> DataFrame:
     """Records (key, record) from their streams.
 
-    Streams are grouped once by record, so a record's lists never meet another's; one shuffle.
+    Streams are dealt by record once.  From the innermost lists outwards, the cells of one place
+    become a value, and the values of one list an array: one aggregation for each list level,
+    linear in the cells.
     """
+    streams = streams.repartition("key")
+
+    def level(kind: T.DataType, letter: str | None, start: int, depth: int) -> DataFrame:
+        """Values (key, pos, value) of a type whose numbers begin at ``start`` and whose places have ``depth`` parts."""
+        struct = isinstance(kind, T.StructType)
+        leaves = [x for x in (_leaves(kind, start) if struct else [(start, (), kind, letter, False)]) if not x[4]]
+        lists = {i: level(t.elementType, x, i + 1, depth + 1) for i, _, t, x, _ in leaves if isinstance(t, T.ArrayType)}
+        rows = streams.where(F.col("id").isin([i for i, *_ in leaves])).select("key", "pos", "id", "v")
+        for i, below in lists.items():
+            item = F.struct(F.element_at("pos", -1).alias("n"), "value").alias(f"list{i}")
+            rows = rows.unionByName(below.select("key", F.slice("pos", 1, depth).alias("pos"), F.lit(i).cast("long").alias("id"), item), allowMissingColumns=True)
+        cells = {
+            i: F.sort_array(F.collect_list(F.when(F.col("id") == i, F.col(f"list{i}")))) if i in lists else F.max(F.when(F.col("id") == i, F.col("v")))
+            for i, *_ in leaves
+        }
+        got = rows.groupBy("key", "pos").agg(*(c.alias(f"cell{i}") for i, c in cells.items()))
+        found = {}
+        for i, path, t, x, _ in leaves:
+            cell = F.col(f"cell{i}")
+            found[path] = F.transform(cell, lambda e: e["value"]) if i in lists else _decode(cell, t, x)
 
-    def build(kind: T.DataType, letter: str | None, start: int, cells: Column, pos: Column) -> Column:
-        """The value at ``pos``; ``cells``: map from (id, pos) to v of one record."""
-        if isinstance(kind, T.NullType):
-            return F.lit(None)
-        if isinstance(kind, T.StructType):
-            fields, at = [], start
+        def value(kind: T.StructType, path: tuple[str, ...]) -> Column:
+            fields = []
             for f in kind:
-                below = F.lit(None).cast(f.dataType) if f.metadata.get("union") else build(f.dataType, f.metadata.get("letter"), at, cells, pos)
-                fields.append(below.alias(f.name))
-                at += field_count(f.dataType)
+                here = (*path, f.name)
+                if f.metadata.get("union") or isinstance(f.dataType, T.NullType):
+                    col = F.lit(None).cast(f.dataType)
+                else:
+                    col = value(f.dataType, here) if isinstance(f.dataType, T.StructType) else found[here]
+                fields.append(col.alias(f.name))
             return F.struct(*fields)
-        stored = F.element_at(cells, F.concat_ws(",", F.lit(start).cast("string"), pos.cast("array<string>")))
-        if isinstance(kind, T.ArrayType):
-            count = F.coalesce(scalars.decode_integer(stored, "q"), F.lit(0)).cast("int")
-            places = F.when(count > 0, F.sequence(F.lit(0), count - 1)).otherwise(F.array().cast("array<int>"))
-            return F.transform(places, lambda k: build(kind.elementType, letter, start + 1, cells, F.concat(pos, F.array(k))))
-        return _decode(stored, kind, letter)
-
-    place = F.concat_ws(",", F.col("id").cast("string"), F.col("pos").cast("array<string>"))
-    grouped = streams.groupBy("key").agg(F.map_from_entries(F.collect_list(F.struct(place, F.col("v")))).alias("cells"))
-    return grouped.select("key", build(kind, None, 0, F.col("cells"), F.array().cast("array<int>")).alias("record"))
+
+        return got.select("key", "pos", (value(kind, ()) if struct else found[()]).alias("value"))
+
+    return level(kind, None, 0, 0).select("key", F.col("value").alias("record"))

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import os
 import tempfile
 import uuid
 
@@ -39,3 +40,12 @@ def _remove() -> None:
             where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
         except Exception:  # noqa: BLE001  the JVM may be gone already; the folder is the cluster's to clean
             return
+
+
+def share_code(spark: SparkSession) -> None:
+    """Let local workers import this package wherever the driver was started; a cluster gets it by --py-files."""
+    top = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    env = spark.sparkContext.environment
+    have = env.get("PYTHONPATH", "")
+    if top not in have.split(os.pathsep):
+        env["PYTHONPATH"] = os.pathsep.join(x for x in (top, have) if x)

@@ -119,7 +119,9 @@ class _Reader(D.DataSourceReader):
                     out += [_Part(path, s) for _, s in codec.segments(f)]
         return out
 
-    def read(self, partition: _Part) -> Iterator[pa.RecordBatch]:
+    def read(self, partition: _Part | None) -> Iterator[pa.RecordBatch]:
+        if partition is None:  # Spark's task for a table without partitions
+            return
         segment = partition.segment
         have = {i for i, _, _ in segment.columns}
         if self.strict and self.ids and not have & set(self.ids):
@@ -131,8 +133,7 @@ class _Reader(D.DataSourceReader):
         if self.exact:
             yield pa.RecordBatch.from_arrays([exact_rows(codec.read_segment(f, segment, self.ids))], names=["row"])
             return
-        # Rows of a segment: the longest of all its columns, so a count doesn't depend on what is read.
-        columns, stay = {}, None
+        stay = None
         for test in self.tests:
             data = segment.read(f, test.column)
             got = list(codec.runs(data)) if data is not None else []
@@ -145,17 +146,14 @@ class _Reader(D.DataSourceReader):
             stay = good if stay is None else stay & good
             if not stay.any() and not any(t.of(None) for t in self.tests):
                 return
-        columns = codec.read_segment(f, segment, None if not self.ids else set(self.ids) | {self._longest(segment)})
+        # Rows are counted by the asked columns and the segment's first: headers hold no counts, and
+        # what this source writes has columns of one length.  Without columns all of them count.
+        columns = codec.read_segment(f, segment, {*self.ids, segment.columns[0][0]} if self.ids and segment.columns else None)
         rows = max(map(len, columns.values()), default=0)
         arrays = padded(columns, self.ids, rows)
         names = [model.name(i) for i in self.ids]
         yield pa.RecordBatch.from_arrays(arrays, names=names) if names else pa.RecordBatch.from_struct_array(pa.array([{}] * rows, pa.struct([])))
 
-    @staticmethod
-    def _longest(segment: codec.Segment) -> int:
-        """A column to count rows by: columns of one segment differ in length only if rows are ragged."""
-        return segment.columns[0][0] if segment.columns else 0
-
 
 class _FilteringReader(_Reader):
     """With ``push``, which the session must allow by spark.sql.python.filterPushdown.enabled."""
