@@ -70,7 +70,7 @@ def few(df: DataFrame, docs: DataFrame, each: int = 8 << 20) -> DataFrame:
     partitions are of a usual size nothing changes.
     """
     size = int(str(docs._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
-    return df.coalesce(max(2 * df.sparkSession.sparkContext.defaultParallelism, -(-size // each)))
+    return df.coalesce(min(2**31 - 1, max(2 * df.sparkSession.sparkContext.defaultParallelism, -(-size // each))))
 
 
 def parts(spark: SparkSession) -> int:
