@@ -42,7 +42,7 @@ class Select:
 
     def where(self, i: int, test: Callable[[Column], Column]) -> Select:
         """Add a predicate as an expression of the cell, which stays in the JVM and can be pushed down."""
-        self.tests.append((i, F.coalesce(test(self._cell(i)), F.lit(False))))
+        self.tests.append((i, test(self._cell(i))))  # a filter takes an unknown answer for no
         return self
 
     def where_contains(self, i: int, pattern: bytes | str) -> Select:
