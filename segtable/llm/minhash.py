@@ -10,26 +10,34 @@ change a register.
 Registers form bands.  In each band's bucket two documents lead, those of least and of largest
 hash of (doc_id, band), so leaders differ from band to band; every other document of the bucket is
 verified against both with the exact J_P of whole shingle counts.  That is linear in a bucket's
-size: no pairs are emitted and no bucket is cut.  Classes are the connected components of the
-verified links.
+size, and joins most of what belongs together.
+
+The rest is settled exactly.  Where the members of a bucket that don't lead are not all in one
+component yet, they are compared with each other, in tiles of ``TILE`` by ``TILE`` documents that
+spread over all shards.  Products of count and presence matrices bound J_P from above; pairs of
+different components that pass the bound are verified.  Classes are the connected components
+of all verified links.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import kernels as K
-from .base import PACKED, Block, block_of, blocks, deal, docs_of, even_keys, few, id_column, mix, pack, parts, payloads, unpack, written
+from .base import NULL_ID, PACKED, Block, block_of, blocks, deal, docs_of, even_keys, few, id_column, mix, pack, parts, payloads, unpack, written
 from .components import STATE, components, label_of, state_row
 from .windows import _answers, _table, firsts, shard_of
 
 _U = np.uint64
 SCHEMA = "doc_id long, class_id long"
 _HASH_BITS = 48
-IDS = -2  # in column src, like STATE: the row holds the block's doc_ids
+IDS, OPEN, EDGES = -2, -3, -4  # in column src, like STATE: a block's doc_ids, its members that don't lead, links
+TILE = 512
 
 
 def shingle_counts(block: Block, a: int, b: int, size: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -103,14 +111,87 @@ def prob_jaccard(h1: np.ndarray, c1: np.ndarray, h2: np.ndarray, c2: np.ndarray)
     return float((1 / (upto / x + after / y)).sum())
 
 
-class _Features:
-    """Shingle counts of chosen documents of a block, by row."""
+def _texts(block: Block, rows_: np.ndarray) -> bytes:
+    """Some rows of a block, to be read by ``Block``."""
+    return pack(block.ids[rows_], np.diff(block.off)[rows_].astype(np.uint32), b"".join(map(block.text, rows_.tolist())))
+
 
-    def __init__(self, block: Block, rows_: np.ndarray, size: int):
-        self.got: dict[int, tuple[np.ndarray, np.ndarray]] = {}
-        for i in rows_.tolist():
-            _, h, c = shingle_counts(block, i, i + 1, size)
-            self.got[i] = h, c
+def _rows_of(ids: np.ndarray, asked: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """All places of the asked ids in ordered ids, and of each which of the asked it is."""
+    lo, hi = np.searchsorted(ids, asked), np.searchsorted(ids, asked, "right")
+    of = np.repeat(np.arange(len(asked)), hi - lo)
+    return np.arange(len(of)) + np.repeat(lo - (np.cumsum(hi - lo) - (hi - lo)), hi - lo), of
+
+
+def _features(block: Block, size: int) -> list[tuple[np.ndarray, np.ndarray]]:
+    """Shingles and counts of each document."""
+    out = []
+    for a, b in block.chunks(1 << 20):
+        doc, h, c = shingle_counts(block, a, b, size)
+        cut = np.searchsorted(doc, np.arange(b - a + 1)).tolist()
+        out += [(h[x:y], c[x:y]) for x, y in zip(cut[:-1], cut[1:], strict=True)]
+    return out
+
+
+def upper_bounds(left: list[tuple[np.ndarray, np.ndarray]], right: list[tuple[np.ndarray, np.ndarray]], cells: int = 1 << 22) -> np.ndarray:
+    """For each pair a number that J_P doesn't exceed, and that is J_P if all counts are one.
+
+    With x and y the sums of counts, and x' and y' those of common shingles, J_P is at most
+    x'y' / (x y' + (y - y') x') and at most x'y' / ((x - x') y' + y x'): the terms of its sum are, with fewer
+    maxima, concave and homogeneous in (x_i, y_i), so their sum is no more than the term of the sums.
+    """
+    all_ = left + right
+    n, m = len(left), len(all_)
+    doc = np.repeat(np.arange(m), [len(h) for h, _ in all_])
+    count = np.concatenate([c for _, c in all_]).astype(np.float64)
+    _, col, often = np.unique(np.concatenate([h for h, _ in all_]), return_inverse=True, return_counts=True)
+    total = np.bincount(doc, count, m)
+    # What one document has alone is in no product.
+    on = np.flatnonzero(often[col] > 1)
+    on = on[np.argsort(col[on], kind="stable")]
+    doc, count = doc[on], count[on]
+    col = np.cumsum(firsts((col[on],))) - 1
+    kind = np.float32 if total.max(initial=0) < 1 << 24 else np.float64  # sums are exact
+    x, y = np.zeros((n, m - n)), np.zeros((n, m - n))
+    wide = max(1, cells // m)
+    for a in range(0, int(col[-1]) + 1 if len(col) else 0, wide):
+        i, j = np.searchsorted(col, (a, a + wide))
+        has, times = np.zeros((m, wide), kind), np.zeros((m, wide), kind)
+        has[doc[i:j], col[i:j] - a] = 1
+        times[doc[i:j], col[i:j] - a] = count[i:j]
+        x += times[:n] @ has[n:].T
+        y += has[:n] @ times[n:].T
+    sx, sy = total[:n, None], total[None, n:]
+    under = np.maximum(sx * y + (sy - y) * x, (sx - x) * y + sy * x)
+    return np.divide(x * y, under, out=np.zeros_like(x), where=under > 0)
+
+
+def settle(left: list, right: list | None, ids: list[np.ndarray], labels: list[np.ndarray], threshold: float) -> tuple[np.ndarray, np.ndarray]:
+    """Links that join all components (labels) with a pair of ``threshold`` or more between left and right.
+
+    Without ``right`` left is compared with itself.
+    """
+    other = left if right is None else right
+    bound = upper_bounds(left, other)
+    i, j = np.nonzero((bound >= threshold - 1e-9) & (labels[0][:, None] != labels[-1][None, :]))
+    if right is None:
+        i, j = i[i < j], j[i < j]
+    order = np.argsort(-bound[i, j], kind="stable")
+    root: dict[int, int] = {}
+
+    def find(x: int) -> int:
+        while (up := root.get(x, x)) != x:
+            root[x] = x = root.get(up, up)
+        return x
+
+    a, b = [], []
+    for i_, j_ in zip(i[order].tolist(), j[order].tolist(), strict=True):
+        x, y = find(int(labels[0][i_])), find(int(labels[-1][j_]))
+        if x != y and prob_jaccard(*left[i_], *other[j_]) >= threshold - 1e-12:
+            root[max(x, y)] = min(x, y)
+            a.append(ids[0][i_])
+            b.append(ids[-1][j_])
+    return np.array(a, np.int64), np.array(b, np.int64)
 
 
 def near_classes(docs: DataFrame, size: int = 5, threshold: float = 0.8, bands: int = 21, rows: int = 6) -> DataFrame:
@@ -118,7 +199,7 @@ def near_classes(docs: DataFrame, size: int = 5, threshold: float = 0.8, bands:
 
     Documents are linked if their shingles of ``size`` words have J_P of ``threshold`` or more
     and ``bands`` of ``rows`` registers make them meet: of pairs at 0.8 all but about 1 in 500, at
-    0.9 all but 1 in 10**7.  Words are what white space parts, unchanged.  Texts with equal
+    0.9 all but 1 in 10**7.  However crowded a bucket is, no pair that meets there is left out.  Words are what white space parts, unchanged.  Texts with equal
     shingle counts are equal here and take part once per block.
 
     A null or wordless text is like no other and a class of its own.  Rows with one doc_id are
@@ -167,7 +248,7 @@ def near_classes(docs: DataFrame, size: int = 5, threshold: float = 0.8, bands:
         rep[at] = at[first[back]]
         on = rep[row] == row
         row, key = row[on], key[on]
-        out = [(int(keys[me]), me, pack(np.int8([9]), block.ids, rep, row, key.ravel()))]
+        out = [(int(keys[me]), me, pack(np.int8([9]), block.ids, rep, row, key.ravel(), prints[row]))]
         out += _bucket_rows(key, block.ids[row], me, keys, bands)
         return _table(out)
 
@@ -201,8 +282,9 @@ def near_classes(docs: DataFrame, size: int = 5, threshold: float = 0.8, bands:
         if mine is None:
             return _table([])
         me = me_of(left)
-        ids, rep, row, key = mine[1:]
+        ids, rep, row, key, prints = mine[1:]
         a = b = np.zeros(0, np.int64)
+        rest: tuple[np.ndarray, ...] = (np.zeros(0, _U), a, np.zeros(0, _U))
         if right.num_rows:
             k, l1, l2 = (np.concatenate(x) for x in zip(*(unpack(p)[1:] for p in payloads(right)), strict=True))
             order = np.argsort(k)
@@ -215,9 +297,11 @@ def near_classes(docs: DataFrame, size: int = 5, threshold: float = 0.8, bands:
             on = own != lead
             a = np.concatenate([member[on], member[on & (own != last)]])
             b = np.concatenate([lead[on], last[on & (own != last)]])
+            on &= own != last
+            rest = key[hit[on]], own[on], prints[hit[on] // bands]
             pair = np.unique(np.stack([a, b], 1), axis=0)
             a, b = pair[:, 0].copy(), pair[:, 1].copy()
-        out = [(int(keys[me]), me, pack(np.int8([2]), ids, rep, a, b))]
+        out = [(int(keys[me]), me, pack(np.int8([2]), ids, rep, a, b, *rest))]
         asked = np.unique(b)
         out += [(int(keys[to]), me, pack(np.int8([3]), asked[i])) for to, i in deal(block_of(asked, n), n)]
         return _table(out)
@@ -227,39 +311,109 @@ def near_classes(docs: DataFrame, size: int = 5, threshold: float = 0.8, bands:
         if not asked or not left.num_rows:
             return _table([])
         block, me = docs_of(left), me_of(left)
-        on = np.flatnonzero(np.isin(block.ids, np.concatenate([x for _, x in asked])))
-        f = _Features(block, on, size).got
-        out = []
-        for src, ids in asked:
-            lo, hi = np.searchsorted(block.ids, ids), np.searchsorted(block.ids, ids, "right")
-            rows_ = [i for x, y in zip(lo.tolist(), hi.tolist(), strict=True) for i in range(x, y)]
-            out.append((int(keys[src]), me, pack(np.int8([4]), block.ids[rows_], np.array([len(f[i][0]) for i in rows_], np.int64), np.concatenate([f[i][0] for i in rows_]), np.concatenate([f[i][1] for i in rows_]).astype(np.int32))))
-        return _table(out)
+        return _table([(int(keys[src]), me, pack(np.int8([4]), _texts(block, _rows_of(block.ids, ids)[0]))) for src, ids in asked])
 
     def verify(left: pa.Table, right: pa.Table) -> pa.Table:
         if not left.num_rows:
             return _table([])
         got = [unpack(p) for p in payloads(right)]
-        _, ids, rep, a, b = next(g for g in got if g[0][0] == 2)
+        _, ids, rep, a, b, *rest = next(g for g in got if g[0][0] == 2)
         block, me = docs_of(left), me_of(left)
-        theirs: dict[int, list[tuple[np.ndarray, np.ndarray]]] = {}
-        for g in got:
-            if g[0][0] == 4:
-                at = np.concatenate([[0], np.cumsum(g[2])])
-                for k, x in enumerate(g[1].tolist()):
-                    theirs.setdefault(x, []).append((g[3][at[k] : at[k + 1]], g[4][at[k] : at[k + 1]]))
+        other = Block([g[1] for g in got if g[0][0] == 4])
+        theirs = _features(other, size)
         good = np.zeros(len(a), bool)
         last, mine = -1, None
-        for k, (i, j) in enumerate(zip(a.tolist(), b.tolist(), strict=True)):
+        lo, hi = np.searchsorted(other.ids, b).tolist(), np.searchsorted(other.ids, b, "right").tolist()
+        for k, i in enumerate(a.tolist()):
             if i != last:
                 _, h, c = shingle_counts(block, i, i + 1, size)
                 last, mine = i, (h, c)
-            good[k] = any(prob_jaccard(*mine, *x) >= threshold - 1e-12 for x in theirs.get(j, ()))
+            good[k] = any(prob_jaccard(*mine, *x) >= threshold - 1e-12 for x in theirs[lo[k] : hi[k]])
         # Copies hang on the row that stands for them.
         copy = np.flatnonzero(ids != ids[rep])
         x = np.concatenate([ids[a[good]], ids[copy]])
         y = np.concatenate([b[good], ids[rep[copy]]])
-        return _table([state_row(int(keys[me]), me, x, y), (int(keys[me]), IDS, pack(ids))])
+        return _table([state_row(int(keys[me]), me, x, y), (int(keys[me]), IDS, pack(ids)), (int(keys[me]), OPEN, pack(*rest))])
+
+    def scatter(table: pa.Table) -> pa.Table:
+        by = dict(zip(table.column("src").to_pylist(), payloads(table), strict=True))
+        key, ids, prints = unpack(by[OPEN])
+        label = label_of(ids, by.get(STATE))
+        return _table([(int(keys[to]), 0, pack(key[i], ids[i], prints[i], label[i])) for to, i in deal(shard_of(key, n), n)])
+
+    def crowd(table: pa.Table) -> pa.Table:
+        key, ids, prints, label = (np.concatenate(x) for x in zip(*map(unpack, payloads(table)), strict=True))
+        # Of equal texts of a bucket one is compared, the others hang on it.
+        order = np.lexsort((ids, prints, key))
+        key, ids, prints, label = (x[order] for x in (key, ids, prints, label))
+        new = firsts((key, prints))
+        head = np.flatnonzero(new)[np.cumsum(new) - 1]
+        copy = np.flatnonzero(label != label[head])
+        out = [(int(keys[to]), EDGES, pack(ids[copy[i]], ids[head[copy[i]]])) for to, i in deal(block_of(ids[copy], n), n)]
+        key, ids, label = key[new], ids[new], label[new]
+        cut = np.flatnonzero(firsts((key,)))
+        count = np.diff(np.append(cut, len(key)))
+        several = np.minimum.reduceat(label, cut) != np.maximum.reduceat(label, cut)
+        tiles, job, who, side, what = -(-count // TILE), [], [], [], []
+        for a, m, g in zip(cut[several].tolist(), count[several].tolist(), tiles[several].tolist()):
+            tile = np.arange(m) % g
+            for p in range(g):
+                for q in range(p, g):
+                    for on, k in ((p, 0), (q, 1)) if p < q else ((p, 2),):
+                        at = a + np.flatnonzero(tile == on)
+                        who.append(at)
+                        job.append(np.full(len(at), mix(key[a : a + 1] + _U(p << 32 | q))[0]))
+                        side.append(np.full(len(at), k, np.int8))
+        if who:
+            at, job_, side_ = (np.concatenate(x) for x in (who, job, side))
+            out += [(int(keys[to]), 0, pack(job_[i], ids[at[i]], label[at[i]], side_[i])) for to, i in deal(block_of(ids[at], n), n)]
+        return _table(out)
+
+    def wanted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for raw in batch.column(2).to_pylist():
+                yield pa.RecordBatch.from_arrays([pa.array(np.unique(unpack(raw)[1]))], names=["want"])
+
+    def ship(left: pa.Table, right: pa.Table) -> pa.Table:
+        if not left.num_rows or not right.num_rows:
+            return _table([])
+        block = docs_of(left)
+        job, ids, label, side = (np.concatenate(x) for x in zip(*map(unpack, payloads(right)), strict=True))
+        return _table([(int(keys[to]), 0, pack(job[i], ids[i], label[i], side[i], _texts(block, _rows_of(block.ids, np.unique(ids[i]))[0]))) for to, i in deal(shard_of(job, n), n)])
+
+    def compare(table: pa.Table) -> pa.Table:
+        got = [unpack(p) for p in payloads(table)]
+        job, ids, label, side = (np.concatenate([g[k] for g in got]) for k in range(4))
+        block = Block([g[4] for g in got])
+        have = _features(block, size)
+        order = np.argsort(job, kind="stable")
+        cut = K.runs(job[order])
+        a, b = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+        for lo, hi in zip(cut[:-1].tolist(), cut[1:].tolist(), strict=True):
+            some = order[lo:hi]
+            parts_ = []
+            for k in np.unique(side[some]).tolist():
+                mine = some[side[some] == k]
+                at, of = _rows_of(block.ids, ids[mine])
+                parts_.append(([have[x] for x in at.tolist()], ids[mine][of], label[mine][of]))
+            x, y = settle(parts_[0][0], parts_[1][0] if len(parts_) > 1 else None, [p[1] for p in parts_], [p[2] for p in parts_], threshold)
+            a.append(x)
+            b.append(y)
+        x, y = np.concatenate(a), np.concatenate(b)
+        return _table([(int(keys[to]), EDGES, pack(x[i], y[i])) for to, i in deal(block_of(x, n), n)])
+
+    def again(table: pa.Table) -> pa.Table:
+        key, state, x, y = int(table.column("key")[0].as_py()), None, [], []
+        for src, raw in zip(table.column("src").to_pylist(), payloads(table), strict=True):
+            got = unpack(raw)
+            if src == EDGES:
+                x.append(got[0])
+                y.append(got[1])
+            else:
+                state = got
+        own, label = state[5:7]
+        on = own != label
+        return _table([state_row(key, int(state[0][0]), np.concatenate([own[on], *x]), np.concatenate([label[on], *y]))])
 
     asked = dealt.groupBy("key").applyInArrow(ask, PACKED).repartition(n, "key")
     judged = asked.groupBy("key").applyInArrow(judge, PACKED).repartition(n, "key")
@@ -270,6 +424,20 @@ def near_classes(docs: DataFrame, size: int = 5, threshold: float = 0.8, bands:
     first = written(few(state, docs))
     final = components(first.where(F.col("src") == STATE), keys, docs).where(F.col("src") == STATE)
 
+    # What the leaders have not joined.
+    rest = final.union(first.where(F.col("src") == OPEN)).repartition(n, "key").groupBy("key").applyInArrow(scatter, PACKED)
+    crowded = written(few(rest.repartition(n, "key").groupBy("key").applyInArrow(crowd, PACKED), docs))
+    if not crowded.isEmpty():
+        jobs = crowded.where(F.col("src") == 0)
+        ids = jobs.mapInArrow(wanted, "want long").distinct()
+        some = docs.select("doc_id", "text").join(ids, F.coalesce(F.col("doc_id").cast("long"), F.lit(NULL_ID)) == F.col("want"), "left_semi")
+        shipped = blocks(some, n).groupBy("key").cogroup(jobs.repartition(n, "key").groupBy("key")).applyInArrow(ship, PACKED)
+        found = shipped.repartition(n, "key").groupBy("key").applyInArrow(compare, PACKED)
+        edges = written(few(crowded.where(F.col("src") == EDGES).union(found), docs))
+        if not edges.isEmpty():
+            state = final.union(edges).repartition(n, "key").groupBy("key").applyInArrow(again, PACKED)
+            final = components(written(few(state, docs)), keys, docs).where(F.col("src") == STATE)
+
     def result(table: pa.Table) -> pa.Table:
         by = dict(zip(table.column("src").to_pylist(), payloads(table), strict=True))
         (ids,) = unpack(by[IDS])

@@ -107,6 +107,44 @@ def test_large_group(spark):
     assert all(found[k] == 0 for k in range(600)) and all(found[1000 + k] == 1000 + k for k in range(50))
 
 
+@pytest.mark.parametrize("kind", ["template", "edits"])
+def test_crowded_near(spark, kind):
+    """Pairs at the threshold are found in buckets that their members don't lead."""
+    rng = random.Random(3)
+    base = [f"w{k}" for k in range(200)]
+    texts = []
+    if kind == "template":  # all at 0.76, planted pairs at 0.87
+        for k in range(700):
+            own = [f"o{k}x{j}" for j in range(31)]
+            if 200 <= k < 400 and k % 2:
+                own[:15] = [f"o{k - 1}x{j}" for j in range(15)]
+            texts.append(base + own)
+    else:  # three random edits each, around 0.8 or less
+        for k in range(500):
+            w = list(base)
+            for j in rng.sample(range(200), 3):
+                w[j] = f"e{k}x{j}"
+            texts.append(w)
+    sets = [{tuple(w[j : j + 5]) for j in range(len(w) - 4)} for w in texts]
+    label = list(range(len(texts)))
+    near = [(i, j) for j in range(len(texts)) for i in range(j) if len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j])]
+    for _ in range(20):
+        for i, j in near:
+            label[i] = label[j] = min(label[i], label[j])
+    found = got(minhash.near_classes(spark.createDataFrame([(k, " ".join(w)) for k, w in enumerate(texts)], "doc_id long, text string")), "doc_id", "class_id")
+    assert found == sorted(enumerate(label), key=repr)
+
+
+def test_upper_bounds():
+    rng = random.Random(4)
+    some = [Counter(rng.choices(range(30), k=rng.randrange(1, 60))) for _ in range(40)] + [Counter(rng.sample(range(30), 20)) for _ in range(10)]
+    rows = [(np.array(list(x), np.uint64), np.array(list(x.values()))) for x in some]
+    bound = minhash.upper_bounds(rows[:30], rows[30:], 300)
+    exact = np.array([[brute.prob_jaccard(a, b) for b in some[30:]] for a in some[:30]])
+    assert (bound >= exact - 1e-12).all()
+    assert minhash.upper_bounds(rows[40:], rows[40:]) == pytest.approx(np.array([[brute.prob_jaccard(a, b) for b in some[40:]] for a in some[40:]]))
+
+
 def test_prob_jaccard():
     rng = random.Random(4)
     for _ in range(50):
