@@ -21,22 +21,20 @@ of all verified links.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import kernels as K
-from .base import NULL_ID, PACKED, Block, block_of, blocks, deal, docs_of, even_keys, few, id_column, mix, pack, parts, payloads, unpack, written
+from .base import PACKED, Block, block_of, blocks, deal, docs_of, even_keys, few, id_column, mix, pack, parts, payloads, unpack, written
 from .components import STATE, components, label_of, state_row
 from .windows import _answers, _table, firsts, shard_of
 
 _U = np.uint64
 SCHEMA = "doc_id long, class_id long"
 _HASH_BITS = 48
-IDS, OPEN, EDGES = -2, -3, -4  # in column src, like STATE: a block's doc_ids, its members that don't lead, links
+IDS, OPEN, EDGES, TEXTS = -2, -3, -4, -5  # in column src, like STATE: a block's doc_ids, its members that don't lead, links, these members' texts
 TILE = 512
 
 
@@ -253,7 +251,7 @@ def near_classes(docs: DataFrame, size: int = 5, threshold: float = 0.8, bands:
         return _table(out)
 
     def judge(table: pa.Table) -> pa.Table:
-        src, key, low, high, more = [], [], [], [], []
+        src, key, low, high, band, here = [], [], [], [], [], []
         for s, raw in zip(table.column("src").to_pylist(), payloads(table), strict=True):
             got = unpack(raw)
             if got[0][0] == 0:
@@ -261,21 +259,22 @@ def near_classes(docs: DataFrame, size: int = 5, threshold: float = 0.8, bands:
                 key.append(got[1])
                 low.append(got[2])
                 high.append(got[3])
-                more.append(got[4])
+                band.append(got[4])
+                here.append(got[5])
         if not src:
             return _table([])
-        src, key, low, high, more = (np.concatenate(x) for x in (src, key, low, high, more))
+        src, key, low, high, band, here = (np.concatenate(x) for x in (src, key, low, high, band, here))
         order = np.argsort(key, kind="stable")
-        src, key, low, high, more = (x[order] for x in (src, key, low, high, more))
+        src, key, low, high, band, here = (x[order] for x in (src, key, low, high, band, here))
         cut = np.flatnonzero(firsts((key,)))
-        # The band is in more's upper bits; it salts the ids, so that leaders differ from band to band.
-        p_low, p_high = _salted(low, more >> 1), _salted(high, more >> 1)
+        # The band salts the ids, so that leaders differ from band to band.
+        p_low, p_high = _salted(low, band), _salted(high, band)
         count = np.diff(np.append(cut, len(key)))
         lead = _pick(p_low, low, cut, count, np.minimum)
         last = _pick(p_high, high, cut, count, np.maximum)
-        many = np.maximum.reduceat(more & 1, cut) > 0
-        say = np.repeat((lead != last) | many, count)
-        return _table([(int(keys[to]), 0, pack(np.int8([1]), *x)) for to, x in _answers(src[say], key[say], np.repeat(lead, count)[say], np.repeat(last, count)[say])])
+        all_ = np.repeat(np.add.reduceat(here, cut), count)
+        say = all_ > 1
+        return _table([(int(keys[to]), 0, pack(np.int8([1]), *x)) for to, x in _answers(src[say], key[say], np.repeat(lead, count)[say], np.repeat(last, count)[say], (all_[say] > 3).astype(np.int8))])
 
     def link(left: pa.Table, right: pa.Table) -> pa.Table:
         mine = next((got for p in payloads(left) if (got := unpack(p))[0][0] == 9), None)
@@ -286,9 +285,9 @@ def near_classes(docs: DataFrame, size: int = 5, threshold: float = 0.8, bands:
         a = b = np.zeros(0, np.int64)
         rest: tuple[np.ndarray, ...] = (np.zeros(0, _U), a, np.zeros(0, _U))
         if right.num_rows:
-            k, l1, l2 = (np.concatenate(x) for x in zip(*(unpack(p)[1:] for p in payloads(right)), strict=True))
+            k, l1, l2, more = (np.concatenate(x) for x in zip(*(unpack(p)[1:] for p in payloads(right)), strict=True))
             order = np.argsort(k)
-            k, l1, l2 = k[order], l1[order], l2[order]
+            k, l1, l2, more = k[order], l1[order], l2[order], more[order]
             at = np.minimum(np.searchsorted(k, key), len(k) - 1)
             hit = np.flatnonzero(k[at] == key)
             member, at = row[hit // bands], at[hit]
@@ -297,7 +296,7 @@ def near_classes(docs: DataFrame, size: int = 5, threshold: float = 0.8, bands:
             on = own != lead
             a = np.concatenate([member[on], member[on & (own != last)]])
             b = np.concatenate([lead[on], last[on & (own != last)]])
-            on &= own != last
+            on &= (own != last) & (more[at] > 0)  # there are others that don't lead
             rest = key[hit[on]], own[on], prints[hit[on] // bands]
             pair = np.unique(np.stack([a, b], 1), axis=0)
             a, b = pair[:, 0].copy(), pair[:, 1].copy()
@@ -333,7 +332,7 @@ def near_classes(docs: DataFrame, size: int = 5, threshold: float = 0.8, bands:
         copy = np.flatnonzero(ids != ids[rep])
         x = np.concatenate([ids[a[good]], ids[copy]])
         y = np.concatenate([b[good], ids[rep[copy]]])
-        return _table([state_row(int(keys[me]), me, x, y), (int(keys[me]), IDS, pack(ids)), (int(keys[me]), OPEN, pack(*rest))])
+        return _table([state_row(int(keys[me]), me, x, y), (int(keys[me]), IDS, pack(ids)), (int(keys[me]), OPEN, pack(*rest)), (int(keys[me]), TEXTS, _texts(block, _rows_of(block.ids, np.unique(rest[1]))[0]))])
 
     def scatter(table: pa.Table) -> pa.Table:
         by = dict(zip(table.column("src").to_pylist(), payloads(table), strict=True))
@@ -369,11 +368,6 @@ def near_classes(docs: DataFrame, size: int = 5, threshold: float = 0.8, bands:
             out += [(int(keys[to]), 0, pack(job_[i], ids[at[i]], label[at[i]], side_[i])) for to, i in deal(block_of(ids[at], n), n)]
         return _table(out)
 
-    def wanted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for raw in batch.column(2).to_pylist():
-                yield pa.RecordBatch.from_arrays([pa.array(np.unique(unpack(raw)[1]))], names=["want"])
-
     def ship(left: pa.Table, right: pa.Table) -> pa.Table:
         if not left.num_rows or not right.num_rows:
             return _table([])
@@ -429,9 +423,8 @@ def near_classes(docs: DataFrame, size: int = 5, threshold: float = 0.8, bands:
     crowded = written(few(rest.repartition(n, "key").groupBy("key").applyInArrow(crowd, PACKED), docs))
     if not crowded.isEmpty():
         jobs = crowded.where(F.col("src") == 0)
-        ids = jobs.mapInArrow(wanted, "want long").distinct()
-        some = docs.select("doc_id", "text").join(ids, F.coalesce(F.col("doc_id").cast("long"), F.lit(NULL_ID)) == F.col("want"), "left_semi")
-        shipped = blocks(some, n).groupBy("key").cogroup(jobs.repartition(n, "key").groupBy("key")).applyInArrow(ship, PACKED)
+        texts = first.where(F.col("src") == TEXTS).repartition(n, "key")
+        shipped = texts.groupBy("key").cogroup(jobs.repartition(n, "key").groupBy("key")).applyInArrow(ship, PACKED)
         found = shipped.repartition(n, "key").groupBy("key").applyInArrow(compare, PACKED)
         edges = written(few(crowded.where(F.col("src") == EDGES).union(found), docs))
         if not edges.isEmpty():
@@ -458,7 +451,7 @@ def _pick(order: np.ndarray, ids: np.ndarray, cut: np.ndarray, count: np.ndarray
 
 
 def _bucket_rows(key: np.ndarray, ids: np.ndarray, me: int, keys: np.ndarray, bands: int) -> list[tuple[int, int, bytes]]:
-    """To each shard the distinct band keys of a block, each with the two ids that would lead here."""
+    """To each shard the distinct band keys of a block, each with the two ids that would lead here, and how many are here."""
     if not len(ids):
         return []
     flat = key.ravel()
@@ -470,6 +463,6 @@ def _bucket_rows(key: np.ndarray, ids: np.ndarray, me: int, keys: np.ndarray, ba
     count = np.diff(np.append(cut, len(flat)))
     p = _salted(who, band)
     low, high = _pick(p, who, cut, count, np.minimum), _pick(p, who, cut, count, np.maximum)
-    flat, more = flat[cut], (band[cut] << 1 | (count > 1)).astype(np.int16)
-    return [(int(keys[to]), me, pack(np.int8([0]), flat[i], low[i], high[i], more[i])) for to, i in deal(shard_of(flat, len(keys)), len(keys))]
+    flat, band = flat[cut], band[cut].astype(np.int16)
+    return [(int(keys[to]), me, pack(np.int8([0]), flat[i], low[i], high[i], band[i], count[i])) for to, i in deal(shard_of(flat, len(keys)), len(keys))]
 
