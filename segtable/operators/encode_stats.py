@@ -10,10 +10,14 @@ LEAST_PREFIX, MOST_PREFIX = 3, 64
 
 
 def run_numbers(df: DataFrame, value: str, segment: list[str], order: list[str], name: str = "run") -> DataFrame:
-    """The run (from 1) that each row's value falls into, within its segment; nulls next to each other are one."""
-    w = Window.partitionBy(*segment).orderBy(*order)
-    new = F.when(F.row_number().over(w) == 1, 1).when(F.col(value).eqNullSafe(F.lag(value).over(w)), 0).otherwise(1)
-    return df.withColumn("_new", new).withColumn(name, F.sum("_new").over(w.rowsBetween(Window.unboundedPreceding, 0))).drop("_new")
+    """The run (from 1) that each row's value falls into, within its segment; nulls next to each other are one.
+
+    Rows are numbered once, so that rows which are equal in ``order`` have one order throughout.
+    """
+    rows = df.withColumn("_n", F.row_number().over(Window.partitionBy(*segment).orderBy(*order)))
+    w = Window.partitionBy(*segment).orderBy("_n")
+    new = F.when(F.col("_n") == 1, 1).when(F.col(value).eqNullSafe(F.lag(value).over(w)), 0).otherwise(1)
+    return rows.withColumn("_new", new).withColumn(name, F.sum("_new").over(w.rowsBetween(Window.unboundedPreceding, 0))).drop("_new", "_n")
 
 
 def runs(df: DataFrame, value: str, segment: list[str], order: list[str]) -> DataFrame:

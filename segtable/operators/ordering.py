@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from segtable import model
+from segtable.shared import shared_path
 
 from .setops import concat
 
@@ -33,21 +34,22 @@ def merge(*tables: DataFrame) -> DataFrame:
 def with_ordinals(df: DataFrame, column: str = "ordinal") -> DataFrame:
     """A sorted DataFrame with each row's place, from 1.
 
-    Rows are numbered within partitions; one count per partition goes to the driver and back, so
-    no window runs over the whole table.
+    Rows are numbered within partitions and written once to the shared folder, so that the sort is not
+    run again; one count per partition goes to the driver and back.  No window runs over the whole table.
     """
-    df = df.persist()
+    spark = df.sparkSession
+    path = shared_path(spark, "ordered")
     # Partitions of a sorted table follow each other; the lower 33 bits number their rows.
-    place = df.withColumn("_at", F.monotonically_increasing_id())
-    counts = {r["p"]: r["n"] for r in place.groupBy(F.shiftright("_at", 33).alias("p")).count().withColumnRenamed("count", "n").collect()}
-    before, total = {}, 0
+    df.withColumn("_at", F.monotonically_increasing_id()).write.parquet(path)
+    place = spark.read.schema(df.schema.add("_at", "long")).parquet(path).withColumn("_part", F.shiftright("_at", 33))
+    counts = {r["_part"]: r["count"] for r in place.groupBy("_part").count().collect()}
+    before, total = [], 0
     for p in sorted(counts):
-        before[p], total = total, total + counts[p]
-    if not before:
-        return place.select(*df.columns, F.lit(1).cast("long").alias(column))
-    start = F.create_map(*(F.lit(x).cast("long") for kv in before.items() for x in kv))
-    ordinal = F.element_at(start, F.shiftright("_at", 33)) + F.col("_at").bitwiseAND((1 << 33) - 1) + 1
-    return place.select(*df.columns, ordinal.alias(column))
+        before.append((p, total))
+        total += counts[p]
+    start = F.broadcast(spark.createDataFrame(before, "_part long, _before long"))  # a row for each partition
+    ordinal = F.col("_before") + F.col("_at").bitwiseAND((1 << 33) - 1) + 1
+    return place.join(start, "_part").select(*df.columns, ordinal.alias(column))
 
 
 def is_sorted(df: DataFrame) -> DataFrame:

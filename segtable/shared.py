@@ -15,10 +15,12 @@ _made: list[tuple[SparkSession, str]] = []
 def shared_dir(spark: SparkSession) -> str:
     """``spark.checkpoint.dir`` of the session.
 
-    Only where the session names none (tests on one machine) a temporary one is made.
+    Only where the session names none and all runs on one machine (tests) a temporary one is made.
     """
     named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not named:
+        if not (spark.sparkContext.master or "").startswith("local["):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         named = tempfile.mkdtemp(prefix="segtable-")
         spark.sparkContext.setCheckpointDir(named)
     return named.rstrip("/")

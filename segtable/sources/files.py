@@ -18,18 +18,23 @@ def open_store(path: str) -> tuple[fs.FileSystem, str]:
     return fs.LocalFileSystem(), path
 
 
-def listed(path: str) -> list[str]:
-    """The data files at a path, in order of name; a file is itself."""
+def sized(path: str) -> list[tuple[str, int]]:
+    """The data files at a path, in order of name, with their sizes; a file is itself."""
     store, at = open_store(path)
     info = store.get_file_info(at)
     if info.type == fs.FileType.File:
-        return [path]
+        return [(path, info.size)]
     if info.type == fs.FileType.NotFound:
         raise FileNotFoundError(path)
     found = store.get_file_info(fs.FileSelector(at, recursive=True))
-    names = sorted(f.path for f in found if f.type == fs.FileType.File and not posixpath.basename(f.path).startswith(HIDDEN))
+    names = sorted((f.path, f.size) for f in found if f.type == fs.FileType.File and not posixpath.basename(f.path).startswith(HIDDEN))
     prefix = path[: len(path) - len(at.rstrip("/"))] if path.rstrip("/").endswith(at.rstrip("/")) else ""
-    return [prefix + n for n in names]
+    return [(prefix + n, size) for n, size in names]
+
+
+def listed(path: str) -> list[str]:
+    """The data files at a path, in order of name; a file is itself."""
+    return [p for p, _ in sized(path)]
 
 
 def open_read(path: str) -> io.BufferedIOBase:
@@ -37,10 +42,15 @@ def open_read(path: str) -> io.BufferedIOBase:
     return store.open_input_file(at)
 
 
-def write_new(path: str, data: bytes) -> None:
+def open_new(path: str) -> io.RawIOBase:
+    """A new file to write to, in a folder that is made if need be."""
     store, at = open_store(path)
     store.create_dir(posixpath.dirname(at), recursive=True)
-    with store.open_output_stream(at) as f:
+    return store.open_output_stream(at)
+
+
+def write_new(path: str, data: bytes) -> None:
+    with open_new(path) as f:
         f.write(data)
 
 

@@ -6,18 +6,21 @@
 
 Options: ``columns`` (numbers, by comma: only these are read), ``mode`` (``wide``: a column c<N> for
 each number; ``exact``: one column ``row``), ``strict`` (true: a segment that has none of the asked
-columns is an error, else they are null), ``compression``, ``segment_bytes``.
+columns is an error, else they are null), ``tests`` (filters, see below), ``compression``, ``segment_bytes``.
 
-One partition of a read is one segment.  Only the asked columns' bytes are fetched.  Filters on
-cells are tried on the filters' columns first, run by run; the other columns are fetched
-only if a row is left.
+One partition of a read is a file, or a range of ``SPLIT`` bytes of a larger one; segments belong to
+the range in which they start, and headers are read in the tasks.  Only the asked columns' bytes are
+fetched.  Filters on cells are tried on the filters' columns first, run by run; the other
+columns are fetched only if a row is left.  Without ``columns`` the driver reads every header once for
+the schema, so name the columns of large tables.
 """
 
 from __future__ import annotations
 
 import json
 import uuid
-from collections.abc import Iterable, Iterator
+from collections.abc import Iterable, Iterator, Sequence
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
 from io import BytesIO
 
@@ -32,6 +35,8 @@ from segtable.errors import SegmentError
 
 from . import codec, files
 
+#: Bytes of a file that one task reads.
+SPLIT = 256 << 20
 ARROW_CELL = pa.struct([pa.field("id", pa.int64(), False), pa.field("v", pa.binary())])
 
 
@@ -74,33 +79,47 @@ def exact_rows(columns: dict[int, pa.Array]) -> pa.Array:
 
 @dataclass
 class _Part(D.InputPartition):
+    """A file's segments that start at a place or behind it, but before its end.
+
+    ``known``: a segment starts right there.
+    """
+
     path: str
-    segment: codec.Segment
+    start: int
+    end: int
+    known: bool = False
 
 
 class _Test:
-    """A pushed filter on one column's value."""
+    """A filter on one column's value: = (also of nulls: <=>), in a set, holding bytes, being null; or its contrary."""
 
-    def __init__(self, f: D.Filter):
-        self.negate = isinstance(f, D.Not)
-        self.f = f.child if self.negate else f
-        self.column = model.number_of(self.f.attribute[0])
+    def __init__(self, column: int, kind: str, value, negate: bool = False):
+        self.column, self.kind, self.value, self.negate = column, kind, value, negate
 
-    @staticmethod
-    def can(f: D.Filter) -> bool:
-        f = f.child if isinstance(f, D.Not) else f
-        kinds = (D.EqualTo, D.EqualNullSafe, D.In, D.IsNull, D.IsNotNull)
-        return isinstance(f, kinds) and len(f.attribute) == 1 and model.number_of(f.attribute[0]) is not None
+    @classmethod
+    def pushed(cls, f: D.Filter) -> _Test | None:
+        """What Spark pushes down, as far as it can be tried on runs."""
+        negate = isinstance(f, D.Not)
+        f = f.child if negate else f
+        kinds = {D.EqualTo: "=", D.EqualNullSafe: "<=>", D.In: "set", D.IsNull: "null", D.IsNotNull: "value"}
+        if type(f) not in kinds or len(f.attribute) != 1 or (i := model.number_of(f.attribute[0])) is None:
+            return None
+        return cls(i, kinds[type(f)], getattr(f, "value", None), negate)
 
     def of(self, v: bytes | None) -> bool:
-        f = self.f
-        if isinstance(f, (D.IsNull, D.IsNotNull)):
-            return ((v is None) == isinstance(f, D.IsNull)) != self.negate
-        if isinstance(f, D.EqualNullSafe):
-            return (v == f.value) != self.negate
+        if self.kind in ("null", "value"):
+            return ((v is None) == (self.kind == "null")) != self.negate
+        if self.kind == "<=>":
+            return (v == self.value) != self.negate
         if v is None:
             return False
-        return (v in f.value if isinstance(f, D.In) else v == f.value) != self.negate
+        return (v in self.value if self.kind == "set" else self.value in v if self.kind == "in" else v == self.value) != self.negate
+
+
+def headers(path: str, start: int = len(codec.MAGIC), end: int | None = None) -> list[codec.Segment]:
+    """The segments of a file that start in a range; those before it are stepped over."""
+    with files.open_read(path) as f:
+        return [s for at, s in codec.segments(f, None, end) if at >= start]
 
 
 class _Reader(D.DataSourceReader):
@@ -109,25 +128,29 @@ class _Reader(D.DataSourceReader):
         self.exact = options.get("mode", "wide") == "exact"
         self.strict = options.get("strict", "false").lower() == "true"
         self.ids = self.wanted if self.exact else [i for f in schema if (i := model.number_of(f.name)) is not None]
-        self.tests: list[_Test] = []
+        self.given = [] if self.exact else [_Test(i, kind, bytes.fromhex(v)) for i, kind, v in json.loads(options.get("tests", "[]"))]
+        self.tests = self.given
 
     def partitions(self) -> list[D.InputPartition]:
         out = []
         for top in self.paths:
-            for path in files.listed(top):
-                with files.open_read(path) as f:
-                    out += [_Part(path, s) for _, s in codec.segments(f)]
+            for path, size in files.sized(top):
+                first = len(codec.MAGIC)
+                cuts = [first, *range(SPLIT, size, SPLIT), max(size, first + 1)]
+                out += [_Part(path, a, b) for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
         return out
 
     def read(self, partition: _Part | None) -> Iterator[pa.RecordBatch]:
         if partition is None:  # Spark's task for a table without partitions
             return
-        segment = partition.segment
-        have = {i for i, _, _ in segment.columns}
-        if self.strict and self.ids and not have & set(self.ids):
-            raise SegmentError("a segment has none of the asked columns")
         with files.open_read(partition.path) as f:
-            yield from self._batches(f, segment)
+            for at, segment in codec.segments(f, partition.start if partition.known else None, partition.end):
+                if at < partition.start:
+                    continue
+                have = {i for i, _, _ in segment.columns}
+                if self.strict and self.ids and not have & set(self.ids):
+                    raise SegmentError("a segment has none of the asked columns")
+                yield from self._batches(f, segment)
 
     def _batches(self, f, segment: codec.Segment) -> Iterator[pa.RecordBatch]:
         if self.exact:
@@ -146,13 +169,16 @@ class _Reader(D.DataSourceReader):
             stay = good if stay is None else stay & good
             if not stay.any() and not any(t.of(None) for t in self.tests):
                 return
+        if not self.ids:  # rows are counted by the lengths of runs, no value is made
+            rows = max((sum(n for n, _ in codec.runs(segment.read(f, i))) for i, _, _ in segment.columns), default=0)
+            yield pa.RecordBatch.from_struct_array(pa.array([{}] * rows, pa.struct([])))
+            return
         # Rows are counted by the asked columns and the segment's first: headers hold no counts, and
-        # what this source writes has columns of one length.  Without columns all of them count.
-        columns = codec.read_segment(f, segment, {*self.ids, segment.columns[0][0]} if self.ids and segment.columns else None)
+        # what this source writes has columns of one length.
+        columns = codec.read_segment(f, segment, {*self.ids, segment.columns[0][0]} if segment.columns else None)
         rows = max(map(len, columns.values()), default=0)
         arrays = padded(columns, self.ids, rows)
-        names = [model.name(i) for i in self.ids]
-        yield pa.RecordBatch.from_arrays(arrays, names=names) if names else pa.RecordBatch.from_struct_array(pa.array([{}] * rows, pa.struct([])))
+        yield pa.RecordBatch.from_arrays(arrays, names=[model.name(i) for i in self.ids])
 
 
 class _FilteringReader(_Reader):
@@ -160,7 +186,7 @@ class _FilteringReader(_Reader):
 
     def pushFilters(self, filters: list[D.Filter]) -> Iterable[D.Filter]:
         """Those that can be tried on runs spare fetching segments; Spark applies all of them again."""
-        self.tests = [] if self.exact else [_Test(f) for f in filters if _Test.can(f)]
+        self.tests = self.given + ([] if self.exact else [t for f in filters if (t := _Test.pushed(f)) is not None])
         yield from filters
 
 
@@ -181,36 +207,40 @@ class _Writer(D.DataSourceArrowWriter):
         return i
 
     def write(self, iterator: Iterator[pa.RecordBatch]) -> D.WriterCommitMessage:
-        f = BytesIO()
-        w = codec.SegmentWriter(f, self.compression, True, self.segment_bytes)
-        held: list[pa.RecordBatch] = []
-        size = rows = 0
-
-        def flush() -> None:
-            nonlocal held, size
-            if held:
-                table = pa.Table.from_batches(held)
-                w.put_columns({i: table.column(k) for k, i in enumerate(self.ids)})
-                held, size = [], 0
-
-        for batch in iterator:
-            rows += batch.num_rows
-            if self.exact:
-                for row in batch.column(0).to_pylist():
-                    w.put_row((c["id"], c["v"]) for c in row)
-                continue
-            held.append(batch)
-            size += batch.nbytes
-            if size > self.segment_bytes:
-                flush()
-        flush()
-        w.finish()
-        if not rows:
-            return _Written("")
+        """One file of a task's rows, written segment by segment; none if there are no rows."""
         path = f"{self.path.rstrip('/')}/part-{uuid.uuid4().hex}.seg"
-        files.write_new(path, f.getvalue())
+        first = next((b for b in iterator if b.num_rows), None)
+        if first is None:
+            return _Written("")
+        held: list[pa.RecordBatch] = []
+        size = 0
+        with files.open_new(path) as f:
+            w = codec.SegmentWriter(f, self.compression, True, self.segment_bytes)
+
+            def flush() -> None:
+                nonlocal held, size
+                if held:
+                    table = pa.Table.from_batches(held)
+                    w.put_columns({i: table.column(k) for k, i in enumerate(self.ids)})
+                    held, size = [], 0
+
+            size += self._put(w, first, held)
+            for batch in iterator:
+                if size > self.segment_bytes:
+                    flush()
+                size += self._put(w, batch, held)
+            flush()
+            w.finish()
         return _Written(path)
 
+    def _put(self, w: codec.SegmentWriter, batch: pa.RecordBatch, held: list[pa.RecordBatch]) -> int:
+        if self.exact:
+            for row in batch.column(0).to_pylist():
+                w.put_row((c["id"], c["v"]) for c in row)
+            return 0
+        held.append(batch)
+        return batch.nbytes
+
     def commit(self, messages) -> None:
         """With overwrite, what was there before goes once all parts are written."""
         new = {m.path for m in messages if m is not None and m.path}
@@ -246,16 +276,13 @@ class SegcolSource(D.DataSource):
         wanted = _wanted(self.options)
         if wanted is not None:
             return model.wide_schema(wanted)
-        ids: set[int] = set()
-        for top in _paths(self.options):
-            for path in files.listed(top):
-                with files.open_read(path) as f:
-                    for _, s in codec.segments(f):
-                        ids |= {i for i, _, _ in s.columns}
-        return model.wide_schema(ids)
+        every = [path for top in _paths(self.options) for path in files.listed(top)]
+        with ThreadPoolExecutor(32) as pool:
+            found = pool.map(lambda path: {i for s in headers(path) for i, _, _ in s.columns}, every)
+            return model.wide_schema(set().union(*found))
 
     def reader(self, schema: T.StructType) -> D.DataSourceReader:
-        push = self.options.get("push", "false").lower() == "true"
+        push = self.options.get("push", "false").lower() == "true"  # Spark refuses sources that take filters unless the session allows it
         return (_FilteringReader if push else _Reader)(self.options, schema)
 
     def writer(self, schema: T.StructType, overwrite: bool) -> D.DataSourceWriter:
@@ -272,12 +299,18 @@ def register(spark: SparkSession) -> None:
     spark.dataSource.register(SegcolSource)
 
 
-def read_segments(spark: SparkSession, *paths: str, columns: Iterable[int] | None = None, mode: str = "wide", strict: bool = False) -> DataFrame:
-    """One or more tables of segment files, in the order given."""
+def read_segments(spark: SparkSession, *paths: str, columns: Iterable[int] | None = None, mode: str = "wide", strict: bool = False, tests: Sequence[tuple[int, str, bytes]] = ()) -> DataFrame:
+    """One or more tables of segment files, in the order given.
+
+    ``tests``: (column, "=" or "in", bytes).  They spare segments that have no such row; others'
+    rows come whole, so the caller filters again.
+    """
     register(spark)
     reader = spark.read.format("segcol").option("paths", json.dumps(list(paths))).option("mode", mode).option("strict", str(strict).lower())
     if spark.conf.get("spark.sql.python.filterPushdown.enabled", "false") == "true":
         reader = reader.option("push", "true")
+    if tests:
+        reader = reader.option("tests", json.dumps([(i, kind, v.hex()) for i, kind, v in tests]))
     if columns is not None:
         reader = reader.option("columns", ",".join(map(str, sorted(set(columns)))))
     return reader.load()

@@ -17,6 +17,7 @@ class SegmentStream(D.DataSourceStreamReader):
 
     def __init__(self, options, schema: T.StructType):
         self.paths, self.reader = _paths(options), _Reader(options, schema)
+        self._seen: dict[str, int] = {}  # whole segments so far, so that a trigger reads new headers only
 
     def initialOffset(self) -> dict:
         return {}
@@ -30,23 +31,18 @@ class SegmentStream(D.DataSourceStreamReader):
                     if size < len(codec.MAGIC):
                         continue
                     codec.check_magic(f)
-                    at = len(codec.MAGIC)
+                    at = self._seen.get(path, len(codec.MAGIC))
                     try:
                         while (s := codec.header(f, at)) is not None and s.end <= size:
                             at = s.end
                     except codec.SegmentError:
                         pass  # a header that is still being written
-                    out[path] = at
+                    out[path] = self._seen[path] = at
         return out
 
     def partitions(self, start: dict, end: dict) -> list[D.InputPartition]:
-        out = []
-        for path, stop in sorted(end.items()):
-            at = int(start.get(path, len(codec.MAGIC)))
-            if at < int(stop):
-                with files.open_read(path) as f:
-                    out += [_Part(path, s) for _, s in codec.segments(f, at, int(stop))]
-        return out
+        at = {path: int(start.get(path, len(codec.MAGIC))) for path in end}
+        return [_Part(path, at[path], int(stop), True) for path, stop in sorted(end.items()) if at[path] < int(stop)]
 
     def read(self, partition: D.InputPartition) -> Iterator[pa.RecordBatch]:
         return self.reader.read(partition)
