@@ -11,18 +11,26 @@ one request and one answer per block, never one per document.
 from __future__ import annotations
 
 import atexit
+import math
 import tempfile
 import uuid
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
 import zstandard
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 PACKED = "key long, src long, payload binary"
 PACKED_ARROW = pa.schema([("key", pa.int64()), ("src", pa.int64()), ("payload", pa.binary())])
+BUNDLE = -100  # in column src: the payload is letters (target or source, bytes) tied together
+#: Bytes of input files in a block (conf segtable.llm.block_bytes), and of payloads in an Arrow batch.
+BLOCK_BYTES, BATCH_BYTES = 128 << 20, 1 << 28
+#: Up to so many blocks write to each other without routers (conf segtable.llm.direct).
+DIRECT = 1024
 NULL_ID = -(2**63)
 NULL_LEN = 0xFFFFFFFF
 _written: list[tuple[SparkSession, str]] = []
@@ -31,10 +39,12 @@ _written: list[tuple[SparkSession, str]] = []
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: ``spark.checkpoint.dir`` of the session.
 
-    Only where the session names none (tests on one machine) a temporary one is made.
+    Only where the session names none and all runs on one machine (tests) a temporary one is made.
     """
     named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not named:
+        if not (spark.sparkContext.master or "").startswith("local["):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         named = tempfile.mkdtemp(prefix="segtable-")
         spark.sparkContext.setCheckpointDir(named)
     return named.rstrip("/")
@@ -43,41 +53,142 @@ def shared_dir(spark: SparkSession) -> str:
 def written(df: DataFrame) -> DataFrame:
     """``df`` written to the shared folder as Parquet and read again, so that lineage is cut.
 
-    The folder goes when the driver ends.
+    The folder goes by ``release``, or when the driver ends.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/segtable-{uuid.uuid4().hex}"
     _written.append((spark, path))
     df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    got = spark.read.schema(df.schema).parquet(path)
+    got.segtable_path = path
+    return got
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    """Delete a folder of the shared store."""
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
+
+
+def release(df: DataFrame) -> None:
+    """Delete what ``written`` wrote for this very DataFrame; nothing may read it any more."""
+    path = df.segtable_path
+    remove(df.sparkSession, path)
+    _written.remove((df.sparkSession, path))
 
 
 @atexit.register
 def _remove_written() -> None:
     for spark, path in _written:
         try:
-            jvm = spark.sparkContext._jvm
-            where = jvm.org.apache.hadoop.fs.Path(path)
-            where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
+            remove(spark, path)
         except Exception:  # noqa: BLE001  the JVM may be gone already; the folder is the cluster's to clean
             return
 
 
+def input_bytes(df: DataFrame) -> int | None:
+    """Bytes of the files and tables that a DataFrame is made from, as Spark knows them; None if it doesn't."""
+    leaves = df._jdf.queryExecution().optimizedPlan().collectLeaves()
+    total = sum(int(str(leaves.apply(k).stats().sizeInBytes())) for k in range(leaves.size()))
+    return total if total < 1 << 60 else None
+
+
 def few(df: DataFrame, docs: DataFrame, each: int = 8 << 20) -> DataFrame:
     """``df``, made from ``docs``, in tasks and files that stand for about ``each`` bytes of input or more.
 
     Tiny partitions are merged without a shuffle, but not to fewer than two for each core.  Where
     partitions are of a usual size nothing changes.
     """
-    size = int(str(docs._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
-    return df.coalesce(min(2**31 - 1, max(2 * df.sparkSession.sparkContext.defaultParallelism, -(-size // each))))
+    size = input_bytes(docs)
+    return df if size is None else df.coalesce(min(2**31 - 1, max(2 * df.sparkSession.sparkContext.defaultParallelism, -(-size // each))))
 
 
 def parts(spark: SparkSession) -> int:
-    """How many blocks and shards to use: the session's shuffle partitions."""
+    """The session's shuffle partitions."""
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
+@dataclass(frozen=True)
+class Net:
+    """n blocks and n shards: the key of each (rows with this key are in a partition of their own), and how letters go."""
+
+    n: int
+    keys: np.ndarray
+    direct: int
+    size: int
+
+    @property
+    def width(self) -> int:
+        """How many shards a group has."""
+        return math.isqrt(self.n - 1) + 1
+
+    def number(self, key: int) -> int:
+        return int(np.flatnonzero(self.keys == key)[0])
+
+    def me(self, table: pa.Table) -> int:
+        """Which block or shard a group of rows is for."""
+        return self.number(int(table.column("key")[0].as_py()))
+
+    def post(self, me: int, letters: list[tuple[int, bytes]], own: list[tuple[int, bytes]] = ()) -> pa.Table:
+        """Letters (to, bytes) of block ``me``; ``own`` are rows (src, bytes) that it keeps for itself."""
+        out = [(int(self.keys[me]), src, raw) for src, raw in own]
+        if self.n <= self.direct:
+            return table_of(out + [(int(self.keys[to]), me, raw) for to, raw in letters])
+        by: dict[int, list[tuple[int, bytes]]] = {}
+        for to, raw in letters:
+            by.setdefault(to // self.width, []).append((to, raw))
+        routers = [(me % self.width * self.width + group) % self.n for group in by]
+        return table_of(out + [(int(self.keys[r]), BUNDLE, bundle(me, some)) for r, some in zip(routers, by.values(), strict=True)])
+
+    def route(self, table: pa.Table) -> pa.Table:
+        """What a router does: letters of many blocks tied together for each shard."""
+        out, by = [], {}
+        for key, src, raw in zip(table.column("key").to_pylist(), table.column("src").to_pylist(), payloads(table), strict=True):
+            if src != BUNDLE:
+                out.append((key, src, raw))
+                continue
+            sender, some = unbundle(raw)
+            for to, letter in some:
+                by.setdefault(to, []).append((sender, letter))
+        return table_of(out + [(int(self.keys[to]), BUNDLE, bundle(-1, some)) for to, some in by.items()])
+
+    def exchange(self, df: DataFrame) -> DataFrame:
+        """Letters to where they go."""
+        if self.n > self.direct:
+            df = df.repartition(self.n, "key").groupBy("key").applyInArrow(lambda t: self.route(t), PACKED)
+        return df.repartition(self.n, "key")
+
+
+def bundle(sender: int, letters: list[tuple[int, bytes]]) -> bytes:
+    head = np.array([sender, len(letters), *(x for x, _ in letters), *(len(raw) for _, raw in letters)], np.int64).tobytes()
+    return head + b"".join(raw for _, raw in letters)
+
+
+def unbundle(raw: bytes) -> tuple[int, list[tuple[int, bytes]]]:
+    sender, n = np.frombuffer(raw, np.int64, 2).tolist()
+    who, size = np.frombuffer(raw, np.int64, 2 * n, 16).reshape(2, n)
+    at = 16 + 16 * n + np.concatenate([[0], np.cumsum(size)])
+    return sender, [(x, raw[a:b]) for x, a, b in zip(who.tolist(), at[:-1].tolist(), at[1:].tolist(), strict=True)]
+
+
+def mail(table: pa.Table) -> Iterator[tuple[int, bytes]]:
+    """Letters (sender, bytes), and rows that the block kept for itself (src, bytes)."""
+    for src, raw in zip(table.column("src").to_pylist(), payloads(table), strict=True):
+        if src == BUNDLE:
+            yield from unbundle(raw)[1]
+        else:
+            yield src, raw
+
+
+def net(docs: DataFrame, block_bytes: int | None = None) -> Net:
+    """As many blocks as the input has ``block_bytes``, but at least the session's shuffle partitions."""
+    conf = docs.sparkSession.conf
+    each = block_bytes or int(conf.get("segtable.llm.block_bytes", str(BLOCK_BYTES)))
+    size = input_bytes(docs)
+    n = max(parts(docs.sparkSession), math.ceil((size or 0) / each))
+    return Net(n, even_keys(n), int(conf.get("segtable.llm.direct", str(DIRECT))), size or 1 << 40)
+
+
 def _murmur_long(x: np.ndarray) -> np.ndarray:
     """Spark's hash of a long (Murmur3, seed 42), to find keys that fill partitions evenly."""
     u32 = np.uint32
@@ -168,18 +279,29 @@ def unpack(data: bytes) -> list[np.ndarray | bytes]:
     return out
 
 
-def rows(keys: list[int], src: int | list[int], payloads: list[bytes]) -> pa.RecordBatch:
-    src = src if isinstance(src, list) else [src] * len(keys)
-    return pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(src, pa.int64()), pa.array(payloads, pa.binary())], schema=PACKED_ARROW)
+def table_of(out: list[tuple[int, int, bytes]]) -> pa.Table:
+    """Rows (key, src, payload) in batches of bounded size: an Arrow binary array ends at 2 GiB."""
+    batches, a, size = [], 0, 0
+    for b, (_, _, raw) in enumerate(out):
+        if b > a and size + len(raw) > BATCH_BYTES:
+            batches.append(_batch(out[a:b]))
+            a, size = b, 0
+        size += len(raw)
+    return pa.Table.from_batches([*batches, _batch(out[a:])])
+
+
+def _batch(out: list[tuple[int, int, bytes]]) -> pa.RecordBatch:
+    columns = [pa.array([r[k] for r in out], t) for k, t in enumerate(PACKED_ARROW.types)]
+    return pa.RecordBatch.from_arrays(columns, schema=PACKED_ARROW)
 
 
 def deal(to: np.ndarray, n: int) -> Iterator[tuple[int, np.ndarray]]:
     """For each of n targets that occurs in ``to``: the target and its row numbers."""
     order = np.argsort(to, kind="stable")
-    bounds = np.searchsorted(to[order], np.arange(n + 1))
-    for k in range(n):
-        if bounds[k] < bounds[k + 1]:
-            yield k, order[bounds[k] : bounds[k + 1]]
+    sent = to[order]
+    cut = np.concatenate([[0], np.flatnonzero(sent[1:] != sent[:-1]) + 1, [len(sent)]]) if len(sent) else np.zeros(1, np.int64)
+    for a, b in zip(cut[:-1].tolist(), cut[1:].tolist(), strict=True):
+        yield int(sent[a]), order[a:b]
 
 
 def block_of(ids: np.ndarray, n: int) -> np.ndarray:
@@ -187,14 +309,14 @@ def block_of(ids: np.ndarray, n: int) -> np.ndarray:
     return (mix(ids.view(np.uint64) + np.uint64(0x9E3779B97F4A7C15)) % np.uint64(n)).astype(np.int64)
 
 
-def blocks(docs: DataFrame, n: int, carry: Column | None = None) -> DataFrame:
-    """The documents dealt into n blocks by a hash of doc_id: rows (key, src, payload).
+def blocks(docs: DataFrame, net_: Net, carry: Column | None = None) -> DataFrame:
+    """The documents dealt into blocks by a hash of doc_id: rows (key, src, payload).
 
     A document is in one block whole, and rows with one doc_id are together.  The
     exchange is written once and used again by each branch of the plan that reads it.
-    ``carry``: a string that travels with each document (``Block.carry``).
+    ``carry``: a value of any type that travels with each document (``Block.carry``), as it is.
     """
-    keys = even_keys(n)
+    n, keys, carried = net_.n, net_.keys, carry is not None
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -203,17 +325,33 @@ def blocks(docs: DataFrame, n: int, carry: Column | None = None) -> DataFrame:
             ids = batch.column(0).fill_null(NULL_ID).to_numpy(zero_copy_only=False).astype(np.int64)
             to = block_of(ids, n)
             order = np.argsort(to, kind="stable")
-            ids, texts = ids[order], []
-            for c in range(1, batch.num_columns):
-                text = batch.column(c).cast(pa.large_string()).take(pa.array(order))
-                buf, off = text_parts(text)
-                texts.append((np.where(text.is_null().to_numpy(zero_copy_only=False), NULL_LEN, np.diff(off)).astype(np.uint32), buf, off))
-            bounds = np.searchsorted(to[order], np.arange(n + 1))
-            out = [(int(keys[k]), pack(ids[a:b], *(x for size, buf, off in texts for x in (size[a:b], buf[off[a] : off[b]].tobytes())))) for k, (a, b) in enumerate(zip(bounds[:-1], bounds[1:], strict=True)) if a < b]
-            yield rows([k for k, _ in out], 0, [p for _, p in out])
+            ids, sent, by = ids[order], to[order], pa.array(order)
+            text = batch.column(1).cast(pa.large_binary()).take(by)
+            buf, off = text_parts(text)
+            size = np.where(text.is_null().to_numpy(zero_copy_only=False), NULL_LEN, np.diff(off)).astype(np.uint32)
+            more = batch.select(["carry"]).take(by) if carried else None
+            cut = np.concatenate([[0], np.flatnonzero(sent[1:] != sent[:-1]) + 1, [len(sent)]]).tolist()
+            out = []
+            for a, b in zip(cut[:-1], cut[1:], strict=True):
+                rest = [] if more is None else [_stream(more.slice(a, b - a))]
+                out.append((int(keys[sent[a]]), 0, pack(ids[a:b], size[a:b], buf[off[a] : off[b]].tobytes(), *rest)))
+            yield from table_of(out).to_batches()
+
+    given = [] if carry is None else [carry.alias("carry")]
+    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"), *given).mapInArrow(run, PACKED).repartition(n, "key")
+
+
+def _stream(batch: pa.RecordBatch) -> bytes:
+    sink = pa.BufferOutputStream()
+    with pa.ipc.new_stream(sink, batch.schema) as f:
+        f.write_batch(batch)
+    return sink.getvalue().to_pybytes()
+
 
-    more = [] if carry is None else [carry.cast("string").alias("carry")]
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"), *more).mapInArrow(run, PACKED).repartition(n, "key")
+def carrying(docs: DataFrame, schema: str, carry: Column | None) -> T.StructType:
+    """The schema of a result that has what each document carries besides."""
+    kind = T.StructType.fromDDL(schema)
+    return kind if carry is None else kind.add("carry", docs.select(carry.alias("carry")).schema["carry"].dataType)
 
 
 class Block:
@@ -233,12 +371,9 @@ class Block:
         self.bytes = b"".join(view[off[i] : off[i + 1]] for i in order) + b"\0" * 8
         self.off = np.concatenate([[0], np.cumsum(lens[order])])
         self.buf = np.frombuffer(self.bytes, np.uint8)
-        self.carry: list[str | None] = []
+        self.carry: pa.ChunkedArray | None = None
         if got and len(got[0]) > 3:
-            size = np.concatenate([g[3] for g in got])
-            none, size = size == NULL_LEN, np.where(size == NULL_LEN, 0, size).astype(np.int64)
-            more, at = b"".join(g[4] for g in got), np.concatenate([[0], np.cumsum(size)])
-            self.carry = [None if none[i] else more[at[i] : at[i + 1]].decode() for i in order]
+            self.carry = pa.concat_tables(pa.ipc.open_stream(g[3]).read_all() for g in got).column("carry").take(pa.array(order))
 
     def __len__(self) -> int:
         return len(self.ids)
@@ -259,7 +394,7 @@ class Block:
 
     def with_carry(self, table: pa.Table) -> pa.Table:
         """``table``, which has a row per document, with what the documents carry."""
-        return table.append_column("carry", pa.array(self.carry, pa.string()))
+        return table.append_column("carry", self.carry)
 
 
 def id_column(ids: np.ndarray) -> pa.Array:

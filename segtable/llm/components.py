@@ -14,18 +14,17 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .base import PACKED, block_of, deal, few, pack, payloads, unpack, written
-from .windows import _table
+from .base import PACKED, Net, block_of, deal, few, mail, pack, release, unpack, written
 
 STATE = -1  # in column src: the row is a block's state, else a message from that block
 _Z = np.zeros(0, np.int64)
 
 
-def state_row(key: int, me: int, a: np.ndarray, b: np.ndarray) -> tuple[int, int, bytes]:
-    """The first state of a block: edges (a[i], b[i])."""
+def state_row(me: int, a: np.ndarray, b: np.ndarray) -> tuple[int, bytes]:
+    """The first state of a block, for ``Net.post``: edges (a[i], b[i])."""
     nodes, index = np.unique(np.concatenate([a, b]), return_inverse=True)
     index = index.astype(np.int64)
-    return key, STATE, pack(np.int64([me, 0]), nodes, nodes, index[: len(a)], index[len(a) :], _Z, _Z, _Z, _Z)
+    return STATE, pack(np.int64([me, 0]), nodes, nodes, index[: len(a)], index[len(a) :], _Z, _Z, _Z, _Z)
 
 
 def joined(label: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -40,22 +39,21 @@ def joined(label: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return label
 
 
-def _step(table: pa.Table, keys: np.ndarray) -> pa.Table:
+def _step(table: pa.Table, net: Net) -> pa.Table:
     """One superstep of one block: its state and the messages to it."""
-    n = len(keys)
-    key = int(table.column("key")[0].as_py())
+    n = net.n
     state, told, asked = None, [], []
-    for src, raw in zip(table.column("src").to_pylist(), payloads(table), strict=True):
+    for src, raw in mail(table):
         got = unpack(raw)
         if src == STATE:
             state = got
         else:
             (asked if got[0][0] == 0 else told).append((src, got[1], got[2]))
     if state is None:  # messages go to blocks that have documents only
-        return _table([])
+        return net.post(0, [])
     head, nodes, label, a, b, own, own_label, sub_node, sub_block = state
     me, turn = int(head[0]), int(head[1])
-    out: list[tuple[int, int, bytes]] = []
+    out: list[tuple[int, bytes]] = []
     # As owner: take the lowest label proposed; the blocks that ask about a node hear of it from then on.
     if asked:
         node, low = (np.concatenate([x[k] for x in asked]) for k in (1, 2))
@@ -72,7 +70,7 @@ def _step(table: pa.Table, keys: np.ndarray) -> pa.Table:
         changed[at[low > own_label[at]]] = True
         x = np.searchsorted(own, sub_node)
         x, blocks = x[changed[x]], sub_block[changed[x]]
-        out += [(int(keys[to]), me, pack(np.int8([1]), own[x[i]], own_label[x[i]])) for to, i in deal(blocks, n)]
+        out += [(to, pack(np.int8([1]), own[x[i]], own_label[x[i]])) for to, i in deal(blocks, n)]
     # As holder of edges.
     old = label
     if told:
@@ -92,19 +90,22 @@ def _step(table: pa.Table, keys: np.ndarray) -> pa.Table:
             first = np.r_[True, pairs[1:, 0] != pairs[:-1, 0]]
             pairs = pairs[first]  # the lowest label of each node
             for to, i in deal(block_of(pairs[:, 0].copy(), n), n):
-                out.append((int(keys[to]), me, pack(np.int8([0]), pairs[i, 0].copy(), pairs[i, 1].copy())))
-    out.append((key, STATE, pack(np.int64([me, turn + 1]), nodes, label, a, b, own, own_label, sub_node, sub_block)))
-    return _table(out)
+                out.append((to, pack(np.int8([0]), pairs[i, 0].copy(), pairs[i, 1].copy())))
+    return net.post(me, out, [(STATE, pack(np.int64([me, turn + 1]), nodes, label, a, b, own, own_label, sub_node, sub_block))])
 
 
-def components(state: DataFrame, keys: np.ndarray, docs: DataFrame) -> DataFrame:
+def components(state: DataFrame, net: Net, docs: DataFrame) -> DataFrame:
     """Supersteps until no message is left; the states then hold each owned node's final label.
 
-    ``state``: a ``state_row`` for each block of ``docs``.  Each superstep is written to the shared folder.
+    ``state``: a ``state_row`` for each block of ``docs``.  Each superstep is written to the shared
+    folder, and the one before it deleted.
     """
-    n = len(keys)
+    last = None
     while True:
-        state = written(few(state.repartition(n, "key").groupBy("key").applyInArrow(lambda t: _step(t, keys), PACKED), docs))
+        state = written(few(net.exchange(state).groupBy("key").applyInArrow(lambda t: _step(t, net), PACKED), docs))
+        if last is not None:
+            release(last)
+        last = state
         if state.where(F.col("src") != STATE).isEmpty():
             return state
 

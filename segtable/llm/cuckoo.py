@@ -26,6 +26,19 @@ class CuckooFilter:
         self.spill = np.zeros(0, _U)
         self._random = np.random.default_rng(7)
 
+    @classmethod
+    def of(cls, table: np.ndarray, spill: np.ndarray) -> CuckooFilter:
+        """A filter from what another held."""
+        out = cls(0)
+        out.table, out.spill = table.reshape(-1, SLOTS).copy(), spill
+        out.buckets = len(out.table)
+        return out
+
+    @property
+    def capacity(self) -> int:
+        """How many keys it holds well."""
+        return int(self.buckets * SLOTS * 0.8)
+
     def _places(self, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         h = mix(keys + _U(0x632BE59BD9B4E019))
         print_ = ((h >> _U(48)).astype(np.uint16) % np.uint16(65535)) + np.uint16(1)
@@ -57,7 +70,7 @@ class CuckooFilter:
         return order[~fits]
 
     def add(self, keys: np.ndarray) -> None:
-        """Add distinct keys that the filter does not hold yet."""
+        """Add keys; a fingerprint that is there already is there once more."""
         p, a, b = self._places(keys)
         left = self._put(p, a) if len(keys) else np.zeros(0, np.int64)
         left = left[self._put(p[left], b[left])] if len(left) else left

@@ -29,8 +29,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import kernels as K
-from .base import NULL_ID, PACKED, Block, blocks, deal, docs_of, even_keys, few, id_column, mix, pack, parts, payloads, unpack, written
-from .windows import _table, firsts, shard_of
+from .base import NULL_ID, PACKED, Block, Net, blocks, deal, docs_of, few, id_column, mail, mix, net, pack, payloads, table_of, unpack, written
+from .buckets import firsts, shard_of, spans
 
 _U = np.uint64
 SCHEMA = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
@@ -95,55 +95,52 @@ def _learned(block: Block, modulus: int, out: int) -> np.ndarray:
     return np.array([zlib.crc32(b"" if i == NULL_ID else b"%d" % i) % modulus != out for i in block.ids.tolist()], bool)
 
 
-def coded(docs: DataFrame, modulus: int, out: int) -> DataFrame:
+def coded(docs: DataFrame, modulus: int, out: int, net_: Net | None = None) -> DataFrame:
     """The documents as dictionary numbers with corpus counts, and each shard's statistics; written."""
-    n = parts(docs.sparkSession)
-    keys = even_keys(n)
-    number = {int(k): i for i, k in enumerate(keys)}
-    dealt = blocks(docs, n)
+    to_all = net_ or net(docs)
+    n, me_of = to_all.n, to_all.me
+    dealt = blocks(docs, to_all)
 
     def ask(table: pa.Table) -> pa.Table:
         block = docs_of(table)
         c = _Coded(block, _learned(block, modulus, out))
-        me = number[int(table.column("key")[0].as_py())]
-        return _table([(int(keys[k]), me, pack(c.hash[i], c.count[i], c.tail[i])) for k, i in deal(shard_of(c.hash, n), n)])
+        return to_all.post(me_of(table), [(k, pack(c.hash[i], c.count[i], c.tail[i])) for k, i in deal(shard_of(c.hash, n), n)])
 
     def judge(table: pa.Table) -> pa.Table:
-        src, got = table.column("src").to_pylist(), [unpack(p) for p in payloads(table)]
-        me = number[int(table.column("key")[0].as_py())]
-        h, c, t = (np.concatenate(x) for x in zip(*got, strict=True))
+        got = [(src, unpack(raw)) for src, raw in mail(table)]
+        if not got:
+            return to_all.post(0, [])
+        h, c, t = (np.concatenate(x) for x in zip(*(x for _, x in got), strict=True))
         order = np.argsort(h)
         cut = np.flatnonzero(firsts((h[order],)))
         total = np.add.reduceat(c[order], cut)
         size = np.diff(np.append(cut, len(h)))
         each = np.empty(len(h), np.int64)
         each[order] = np.repeat(total, size)
-        at = np.concatenate([[0], np.cumsum([len(g[0]) for g in got])])
-        out = [(int(keys[s]), me, pack(each[at[k] : at[k + 1]])) for k, s in enumerate(src)]
+        at = np.concatenate([[0], np.cumsum([len(g[0]) for _, g in got])])
+        letters = [(src, pack(each[at[k] : at[k + 1]])) for k, (src, _) in enumerate(got)]
         known = total > 0
         lead, tail, total = h[order[cut]][known], t[order[cut]][known], total[known]
         top = np.lexsort((lead, -total))[:HEAD]
         sums = np.bincount(tail, total, TAILS).astype(np.int64), np.bincount(tail, minlength=TAILS).astype(np.int64)
-        return _table([*out, (int(keys[me]), -1, pack(*sums, lead[top], total[top], tail[top]))])
+        return to_all.post(me_of(table), letters, [(STATS, pack(*sums, lead[top], total[top], tail[top]))])
 
     def close(left: pa.Table, right: pa.Table) -> pa.Table:
-        key = (left if left.num_rows else right).column("key")[0].as_py()
-        told = list(zip(right.column("src").to_pylist(), payloads(right), strict=True))
-        out = [(key, STATS, raw) for src, raw in told if src == -1]
+        me, told = me_of(left if left.num_rows else right), list(mail(right))
+        own = [(STATS, raw) for src, raw in told if src == STATS]
         if left.num_rows:
             block = docs_of(left)
-            learn = _learned(block, modulus, out_)
+            learn = _learned(block, modulus, out)
             c = _Coded(block, learn)
             total = np.zeros(len(c.hash), np.int64)
             answer = {src: unpack(raw)[0] for src, raw in told if src >= 0}
             for k, i in deal(shard_of(c.hash, n), n):
                 total[i] = answer[k]
-            out.append((key, CODED, pack(block.ids, learn.astype(np.uint8), np.diff(c.off).astype(np.int32), c.code, c.hash, total, c.tail)))
-        return _table(out)
+            own.append((CODED, pack(block.ids, learn.astype(np.uint8), np.diff(c.off).astype(np.int32), c.code, c.hash, total, c.tail)))
+        return to_all.post(me, [], own)
 
-    out_ = out
-    asked = dealt.groupBy("key").applyInArrow(ask, PACKED).repartition(n, "key")
-    judged = asked.groupBy("key").applyInArrow(judge, PACKED).repartition(n, "key")
+    asked = to_all.exchange(dealt.groupBy("key").applyInArrow(ask, PACKED))
+    judged = to_all.exchange(asked.groupBy("key").applyInArrow(judge, PACKED))
     return written(few(dealt.groupBy("key").cogroup(judged.groupBy("key")).applyInArrow(close, PACKED), docs))
 
 
@@ -310,13 +307,6 @@ def _descend(table: np.ndarray, groups: np.ndarray, member: np.ndarray, n: np.nd
                 table[u] = w - g
 
 
-def spans(start: np.ndarray, stop: np.ndarray) -> np.ndarray:
-    """start[0] .. stop[0]-1, start[1] .. stop[1]-1 and so on."""
-    count = stop - start
-    begin = np.cumsum(count) - count
-    return np.arange(int(count.sum())) + np.repeat(start - begin, count)
-
-
 def train_share(share: _Share, words: Vocabulary, start: Weights, passes: int, rate: float, ridge: float) -> Weights:
     """Weights after steps on one share."""
     key, n = share.settle()
@@ -372,7 +362,7 @@ def train(table: DataFrame, words: Vocabulary, rounds: int = 2, passes: int = 1,
                 got = train_share(share, words_, start, passes, rate, ridge)
                 moved = np.concatenate([(got.classes - start.classes).ravel(), (got.members - start.members).ravel()]).astype(np.float16)
                 node = TaskContext.get().partitionId() // fan
-                yield from _table([(k * (groups + 1) + node, share.tokens, pack(moved[edge[k] : edge[k + 1]])) for k in range(SLICES)]).to_batches()
+                yield from table_of([(k * (groups + 1) + node, share.tokens, pack(moved[edge[k] : edge[k + 1]])) for k in range(SLICES)]).to_batches()
 
         return run
 
@@ -380,7 +370,7 @@ def train(table: DataFrame, words: Vocabulary, rounds: int = 2, passes: int = 1,
         weight = np.array(some.column("src").to_pylist(), np.float64)
         total = sum(x * unpack(p)[0].astype(np.float64) for x, p in zip(weight, payloads(some), strict=True)) / weight.sum()
         k, node = divmod(int(some.column("key")[0].as_py()), groups + 1)
-        return _table([(k * (groups + 1) + node // fan, int(weight.sum()), pack(total.astype(np.float32)))])
+        return table_of([(k * (groups + 1) + node // fan, int(weight.sum()), pack(total.astype(np.float32)))])
 
     for _ in range(rounds if words.total else 0):
         shared = spark.sparkContext.broadcast((words, w))  # fixed numbers of rows and columns

@@ -27,14 +27,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import kernels as K
-from .base import PACKED, Block, block_of, blocks, deal, docs_of, even_keys, few, id_column, mix, pack, parts, payloads, unpack, written
+from .base import PACKED, Block, Net, block_of, blocks, deal, docs_of, few, id_column, mail, mix, net, pack, payloads, release, unpack, written
+from .buckets import firsts, shard_of
 from .components import STATE, components, label_of, state_row
-from .windows import _answers, _table, firsts, shard_of
 
 _U = np.uint64
 SCHEMA = "doc_id long, class_id long"
 _HASH_BITS = 48
-IDS, OPEN, EDGES, TEXTS = -2, -3, -4, -5  # in column src, like STATE: a block's doc_ids, its members that don't lead, links, these members' texts
+IDS, OPEN, TEXTS, MINE = -2, -3, -5, -6  # in column src, like STATE: a block's doc_ids, its members that don't lead, these members' texts, what it keeps
+EDGES = -4  # the first number of a letter with links
 TILE = 512
 
 
@@ -192,7 +193,7 @@ def settle(left: list, right: list | None, ids: list[np.ndarray], labels: list[n
     return np.array(a, np.int64), np.array(b, np.int64)
 
 
-def near_classes(docs: DataFrame, size: int = 5, threshold: float = 0.8, bands: int = 21, rows: int = 6) -> DataFrame:
+def near_classes(docs: DataFrame, size: int = 5, threshold: float = 0.8, bands: int = 21, rows: int = 6, net_: Net | None = None) -> DataFrame:
     """The near-duplicate class of each document: the least doc_id that it is linked to.
 
     Documents are linked if their shingles of ``size`` words have J_P of ``threshold`` or more
@@ -204,14 +205,10 @@ def near_classes(docs: DataFrame, size: int = 5, threshold: float = 0.8, bands:
     one document, so in one class, and each gets a row; a null doc_id is such a document too,
     and smaller than any other.  Other columns are not looked at.  An empty table gives none.
     """
-    n = parts(docs.sparkSession)
-    keys = even_keys(n)
-    number = {int(k): i for i, k in enumerate(keys)}
+    to_all = net_ or net(docs)
+    n, me_of, post = to_all.n, to_all.me, to_all.post
     registers = bands * rows
-    dealt = blocks(docs, n)
-
-    def me_of(table: pa.Table) -> int:
-        return number[int(table.column("key")[0].as_py())]
+    dealt = blocks(docs, to_all)
 
     def ask(table: pa.Table) -> pa.Table:
         block, me = docs_of(table), me_of(table)
@@ -246,23 +243,18 @@ def near_classes(docs: DataFrame, size: int = 5, threshold: float = 0.8, bands:
         rep[at] = at[first[back]]
         on = rep[row] == row
         row, key = row[on], key[on]
-        out = [(int(keys[me]), me, pack(np.int8([9]), block.ids, rep, row, key.ravel(), prints[row]))]
-        out += _bucket_rows(key, block.ids[row], me, keys, bands)
-        return _table(out)
+        return post(me, _bucket_rows(key, block.ids[row], n, bands), [(MINE, pack(block.ids, rep, row, key.ravel(), prints[row]))])
 
     def judge(table: pa.Table) -> pa.Table:
         src, key, low, high, band, here = [], [], [], [], [], []
-        for s, raw in zip(table.column("src").to_pylist(), payloads(table), strict=True):
-            got = unpack(raw)
-            if got[0][0] == 0:
-                src.append(np.full(len(got[1]), s))
-                key.append(got[1])
-                low.append(got[2])
-                high.append(got[3])
-                band.append(got[4])
-                here.append(got[5])
+        for s, raw in mail(table):
+            if s != MINE:
+                got = unpack(raw)
+                src.append(np.full(len(got[0]), s))
+                for to, x in zip((key, low, high, band, here), got, strict=True):
+                    to.append(x)
         if not src:
-            return _table([])
+            return post(0, [])
         src, key, low, high, band, here = (np.concatenate(x) for x in (src, key, low, high, band, here))
         order = np.argsort(key, kind="stable")
         src, key, low, high, band, here = (x[order] for x in (src, key, low, high, band, here))
@@ -274,18 +266,19 @@ def near_classes(docs: DataFrame, size: int = 5, threshold: float = 0.8, bands:
         last = _pick(p_high, high, cut, count, np.maximum)
         all_ = np.repeat(np.add.reduceat(here, cut), count)
         say = all_ > 1
-        return _table([(int(keys[to]), 0, pack(np.int8([1]), *x)) for to, x in _answers(src[say], key[say], np.repeat(lead, count)[say], np.repeat(last, count)[say], (all_[say] > 3).astype(np.int8))])
+        answer = key[say], np.repeat(lead, count)[say], np.repeat(last, count)[say], (all_[say] > 3).astype(np.int8)
+        return post(me_of(table), [(to, pack(*(x[i] for x in answer))) for to, i in deal(src[say], n)])
 
     def link(left: pa.Table, right: pa.Table) -> pa.Table:
-        mine = next((got for p in payloads(left) if (got := unpack(p))[0][0] == 9), None)
+        mine = next((unpack(raw) for src, raw in mail(left) if src == MINE), None)
         if mine is None:
-            return _table([])
+            return post(0, [])
         me = me_of(left)
-        ids, rep, row, key, prints = mine[1:]
+        ids, rep, row, key, prints = mine
         a = b = np.zeros(0, np.int64)
         rest: tuple[np.ndarray, ...] = (np.zeros(0, _U), a, np.zeros(0, _U))
         if right.num_rows:
-            k, l1, l2, more = (np.concatenate(x) for x in zip(*(unpack(p)[1:] for p in payloads(right)), strict=True))
+            k, l1, l2, more = (np.concatenate(x) for x in zip(*(unpack(raw) for _, raw in mail(right)), strict=True))
             order = np.argsort(k)
             k, l1, l2, more = k[order], l1[order], l2[order], more[order]
             at = np.minimum(np.searchsorted(k, key), len(k) - 1)
@@ -300,25 +293,23 @@ def near_classes(docs: DataFrame, size: int = 5, threshold: float = 0.8, bands:
             rest = key[hit[on]], own[on], prints[hit[on] // bands]
             pair = np.unique(np.stack([a, b], 1), axis=0)
             a, b = pair[:, 0].copy(), pair[:, 1].copy()
-        out = [(int(keys[me]), me, pack(np.int8([2]), ids, rep, a, b, *rest))]
         asked = np.unique(b)
-        out += [(int(keys[to]), me, pack(np.int8([3]), asked[i])) for to, i in deal(block_of(asked, n), n)]
-        return _table(out)
+        return post(me, [(to, pack(asked[i])) for to, i in deal(block_of(asked, n), n)], [(MINE, pack(ids, rep, a, b, *rest))])
 
     def serve(left: pa.Table, right: pa.Table) -> pa.Table:
-        asked = [(src, got[1]) for src, p in zip(right.column("src").to_pylist(), payloads(right), strict=True) if (got := unpack(p))[0][0] == 3]
+        asked = [(src, unpack(raw)[0]) for src, raw in mail(right) if src != MINE]
         if not asked or not left.num_rows:
-            return _table([])
-        block, me = docs_of(left), me_of(left)
-        return _table([(int(keys[src]), me, pack(np.int8([4]), _texts(block, _rows_of(block.ids, ids)[0]))) for src, ids in asked])
+            return post(0, [])
+        block = docs_of(left)
+        return post(me_of(left), [(src, _texts(block, _rows_of(block.ids, ids)[0])) for src, ids in asked])
 
     def verify(left: pa.Table, right: pa.Table) -> pa.Table:
         if not left.num_rows:
-            return _table([])
-        got = [unpack(p) for p in payloads(right)]
-        _, ids, rep, a, b, *rest = next(g for g in got if g[0][0] == 2)
+            return post(0, [])
+        got = list(mail(right))
+        ids, rep, a, b, *rest = next(unpack(raw) for src, raw in got if src == MINE)
         block, me = docs_of(left), me_of(left)
-        other = Block([g[1] for g in got if g[0][0] == 4])
+        other = Block([raw for src, raw in got if src != MINE])
         theirs = _features(other, size)
         good = np.zeros(len(a), bool)
         last, mine = -1, None
@@ -332,23 +323,23 @@ def near_classes(docs: DataFrame, size: int = 5, threshold: float = 0.8, bands:
         copy = np.flatnonzero(ids != ids[rep])
         x = np.concatenate([ids[a[good]], ids[copy]])
         y = np.concatenate([b[good], ids[rep[copy]]])
-        return _table([state_row(int(keys[me]), me, x, y), (int(keys[me]), IDS, pack(ids)), (int(keys[me]), OPEN, pack(*rest)), (int(keys[me]), TEXTS, _texts(block, _rows_of(block.ids, np.unique(rest[1]))[0]))])
+        return post(me, [], [state_row(me, x, y), (IDS, pack(ids)), (OPEN, pack(*rest)), (TEXTS, _texts(block, _rows_of(block.ids, np.unique(rest[1]))[0]))])
 
     def scatter(table: pa.Table) -> pa.Table:
-        by = dict(zip(table.column("src").to_pylist(), payloads(table), strict=True))
+        by = dict(mail(table))
         key, ids, prints = unpack(by[OPEN])
         label = label_of(ids, by.get(STATE))
-        return _table([(int(keys[to]), 0, pack(key[i], ids[i], prints[i], label[i])) for to, i in deal(shard_of(key, n), n)])
+        return post(me_of(table), [(to, pack(key[i], ids[i], prints[i], label[i])) for to, i in deal(shard_of(key, n), n)])
 
     def crowd(table: pa.Table) -> pa.Table:
-        key, ids, prints, label = (np.concatenate(x) for x in zip(*map(unpack, payloads(table)), strict=True))
+        key, ids, prints, label = (np.concatenate(x) for x in zip(*(unpack(raw) for _, raw in mail(table)), strict=True))
         # Of equal texts of a bucket one is compared, the others hang on it.
         order = np.lexsort((ids, prints, key))
         key, ids, prints, label = (x[order] for x in (key, ids, prints, label))
         new = firsts((key, prints))
         head = np.flatnonzero(new)[np.cumsum(new) - 1]
         copy = np.flatnonzero(label != label[head])
-        out = [(int(keys[to]), EDGES, pack(ids[copy[i]], ids[head[copy[i]]])) for to, i in deal(block_of(ids[copy], n), n)]
+        out = [(to, pack(np.int8([EDGES]), ids[copy[i]], ids[head[copy[i]]])) for to, i in deal(block_of(ids[copy], n), n)]
         key, ids, label = key[new], ids[new], label[new]
         cut = np.flatnonzero(firsts((key,)))
         count = np.diff(np.append(cut, len(key)))
@@ -365,18 +356,19 @@ def near_classes(docs: DataFrame, size: int = 5, threshold: float = 0.8, bands:
                         side.append(np.full(len(at), k, np.int8))
         if who:
             at, job_, side_ = (np.concatenate(x) for x in (who, job, side))
-            out += [(int(keys[to]), 0, pack(job_[i], ids[at[i]], label[at[i]], side_[i])) for to, i in deal(block_of(ids[at], n), n)]
-        return _table(out)
+            out += [(to, pack(np.int8([0]), job_[i], ids[at[i]], label[at[i]], side_[i])) for to, i in deal(block_of(ids[at], n), n)]
+        return post(me_of(table), out)
 
     def ship(left: pa.Table, right: pa.Table) -> pa.Table:
-        if not left.num_rows or not right.num_rows:
-            return _table([])
+        jobs = [got[1:] for _, raw in mail(right) if (got := unpack(raw))[0][0] == 0]
+        if not left.num_rows or not jobs:
+            return post(0, [])
         block = docs_of(left)
-        job, ids, label, side = (np.concatenate(x) for x in zip(*map(unpack, payloads(right)), strict=True))
-        return _table([(int(keys[to]), 0, pack(job[i], ids[i], label[i], side[i], _texts(block, _rows_of(block.ids, np.unique(ids[i]))[0]))) for to, i in deal(shard_of(job, n), n)])
+        job, ids, label, side = (np.concatenate(x) for x in zip(*jobs, strict=True))
+        return post(me_of(left), [(to, pack(job[i], ids[i], label[i], side[i], _texts(block, _rows_of(block.ids, np.unique(ids[i]))[0]))) for to, i in deal(shard_of(job, n), n)])
 
     def compare(table: pa.Table) -> pa.Table:
-        got = [unpack(p) for p in payloads(table)]
+        got = [unpack(raw) for _, raw in mail(table)]
         job, ids, label, side = (np.concatenate([g[k] for g in got]) for k in range(4))
         block = Block([g[4] for g in got])
         have = _features(block, size)
@@ -394,45 +386,49 @@ def near_classes(docs: DataFrame, size: int = 5, threshold: float = 0.8, bands:
             a.append(x)
             b.append(y)
         x, y = np.concatenate(a), np.concatenate(b)
-        return _table([(int(keys[to]), EDGES, pack(x[i], y[i])) for to, i in deal(block_of(x, n), n)])
+        return post(me_of(table), [(to, pack(np.int8([EDGES]), x[i], y[i])) for to, i in deal(block_of(x, n), n)])
 
     def again(table: pa.Table) -> pa.Table:
-        key, state, x, y = int(table.column("key")[0].as_py()), None, [], []
-        for src, raw in zip(table.column("src").to_pylist(), payloads(table), strict=True):
+        own = label = np.zeros(0, np.int64)
+        x, y = [], []
+        for src, raw in mail(table):
             got = unpack(raw)
-            if src == EDGES:
-                x.append(got[0])
-                y.append(got[1])
-            else:
-                state = got
-        own, label = state[5:7]
-        on = own != label
-        return _table([state_row(key, int(state[0][0]), np.concatenate([own[on], *x]), np.concatenate([label[on], *y]))])
-
-    asked = dealt.groupBy("key").applyInArrow(ask, PACKED).repartition(n, "key")
-    judged = asked.groupBy("key").applyInArrow(judge, PACKED).repartition(n, "key")
-    linked = asked.groupBy("key").cogroup(judged.groupBy("key")).applyInArrow(link, PACKED).repartition(n, "key")
-    served = dealt.groupBy("key").cogroup(linked.groupBy("key")).applyInArrow(serve, PACKED)
-    told = linked.union(served.repartition(n, "key"))
+            if src == STATE:
+                own, label = got[5:7]
+            elif got[0][0] == EDGES:
+                x.append(got[1])
+                y.append(got[2])
+        on, me = own != label, me_of(table)
+        return post(me, [], [state_row(me, np.concatenate([own[on], *x]), np.concatenate([label[on], *y]))])
+
+    go = to_all.exchange
+    asked = go(dealt.groupBy("key").applyInArrow(ask, PACKED))
+    judged = go(asked.groupBy("key").applyInArrow(judge, PACKED))
+    linked = go(asked.groupBy("key").cogroup(judged.groupBy("key")).applyInArrow(link, PACKED))
+    served = go(dealt.groupBy("key").cogroup(linked.groupBy("key")).applyInArrow(serve, PACKED))
+    told = linked.where(F.col("src") == MINE).union(served)
     state = dealt.groupBy("key").cogroup(told.groupBy("key")).applyInArrow(verify, PACKED)
     first = written(few(state, docs))
-    final = components(first.where(F.col("src") == STATE), keys, docs).where(F.col("src") == STATE)
+    final_ = components(first.where(F.col("src") == STATE), to_all, docs)
+    final = final_.where(F.col("src") == STATE)
 
     # What the leaders have not joined.
-    rest = final.union(first.where(F.col("src") == OPEN)).repartition(n, "key").groupBy("key").applyInArrow(scatter, PACKED)
-    crowded = written(few(rest.repartition(n, "key").groupBy("key").applyInArrow(crowd, PACKED), docs))
+    rest = go(final.union(first.where(F.col("src") == OPEN)).repartition(n, "key").groupBy("key").applyInArrow(scatter, PACKED))
+    crowded = written(few(rest.groupBy("key").applyInArrow(crowd, PACKED), docs))
     if not crowded.isEmpty():
-        jobs = crowded.where(F.col("src") == 0)
+        mine = go(crowded)
         texts = first.where(F.col("src") == TEXTS).repartition(n, "key")
-        shipped = texts.groupBy("key").cogroup(jobs.repartition(n, "key").groupBy("key")).applyInArrow(ship, PACKED)
-        found = shipped.repartition(n, "key").groupBy("key").applyInArrow(compare, PACKED)
-        edges = written(few(crowded.where(F.col("src") == EDGES).union(found), docs))
-        if not edges.isEmpty():
-            state = final.union(edges).repartition(n, "key").groupBy("key").applyInArrow(again, PACKED)
-            final = components(written(few(state, docs)), keys, docs).where(F.col("src") == STATE)
+        found = go(texts.groupBy("key").cogroup(mine.groupBy("key")).applyInArrow(ship, PACKED)).groupBy("key").applyInArrow(compare, PACKED)
+        edges = written(few(found, docs))
+        state = written(few(final.repartition(n, "key").union(mine).union(go(edges)).groupBy("key").applyInArrow(again, PACKED), docs))
+        release(edges)
+        release(final_)
+        final = components(state, to_all, docs).where(F.col("src") == STATE)
+        release(state)
+    release(crowded)
 
     def result(table: pa.Table) -> pa.Table:
-        by = dict(zip(table.column("src").to_pylist(), payloads(table), strict=True))
+        by = dict(mail(table))
         (ids,) = unpack(by[IDS])
         return pa.table([id_column(ids), id_column(label_of(ids, by.get(STATE)))], names=["doc_id", "class_id"])
 
@@ -450,7 +446,7 @@ def _pick(order: np.ndarray, ids: np.ndarray, cut: np.ndarray, count: np.ndarray
     return np.minimum.reduceat(np.where(best, ids, np.iinfo(np.int64).max), cut)
 
 
-def _bucket_rows(key: np.ndarray, ids: np.ndarray, me: int, keys: np.ndarray, bands: int) -> list[tuple[int, int, bytes]]:
+def _bucket_rows(key: np.ndarray, ids: np.ndarray, n: int, bands: int) -> list[tuple[int, bytes]]:
     """To each shard the distinct band keys of a block, each with the two ids that would lead here, and how many are here."""
     if not len(ids):
         return []
@@ -464,5 +460,4 @@ def _bucket_rows(key: np.ndarray, ids: np.ndarray, me: int, keys: np.ndarray, ba
     p = _salted(who, band)
     low, high = _pick(p, who, cut, count, np.minimum), _pick(p, who, cut, count, np.maximum)
     flat, band = flat[cut], band[cut].astype(np.int16)
-    return [(int(keys[to]), me, pack(np.int8([0]), flat[i], low[i], high[i], band[i], count[i])) for to, i in deal(shard_of(flat, len(keys)), len(keys))]
-
+    return [(to, pack(flat[i], low[i], high[i], band[i], count[i])) for to, i in deal(shard_of(flat, n), n)]

@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, langid, lines, lm, minhash, packing, repeats, rules, topk
+from . import bpe, langid, lines, lm, minhash, packing, rules, suffixes, superkmers, topk
 
 
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -20,12 +20,12 @@ def _sha(col: str, name: str):
 
 
 def op5_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    got = repeats.remove_repeated_bytes(_documents(spark, sf_dir))
+    got = suffixes.remove_repeated_bytes(_documents(spark, sf_dir))
     return got.select("doc_id", "n_bytes", "n_removed", F.size("starts").cast("long").alias("n_spans"), _sha("kept", "kept_sha256"))
 
 
 def op6_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return repeats.remove_repeated_words(_documents(spark, sf_dir)).select("doc_id", "n_words", "n_removed", _sha("kept", "kept_sha256"))
+    return superkmers.remove_repeated_words(_documents(spark, sf_dir)).select("doc_id", "n_words", "n_removed", _sha("kept", "kept_sha256"))
 
 
 def tokenizer_path(name: str = "word_bpe_49k.json") -> str:

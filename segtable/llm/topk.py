@@ -9,8 +9,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 
-from .base import PACKED, even_keys, mix, pack, parts, payloads, unpack
-from .windows import _table
+from .base import PACKED, even_keys, mix, pack, parts, payloads, table_of, unpack
 
 SCHEMA = "query_id long, rank int, vec_id long, score long"
 _U = np.uint64
@@ -118,7 +117,7 @@ def top_k(vectors: DataFrame, queries: Column, k: int = 5, query_rows: int = 819
                         payload = pack(np.int64([d, as_query]), ids[at], small.ravel())
                         out += [(int(keys[(int(a) * shards + b) if as_query else (b * shards + int(a))]), (int(a) * shards + b) if as_query else (b * shards + int(a)), payload) for b in range(others)]
                 if out:
-                    yield from _table(out).to_batches()
+                    yield from table_of(out).to_batches()
 
         return run
 
@@ -148,9 +147,9 @@ def top_k(vectors: DataFrame, queries: Column, k: int = 5, query_rows: int = 819
                     lists.append((np.broadcast_to(q_ids[a : a + 512, None], at.shape)[on], c_ids[b : b + 4096][at[on]], score[on]))
                 found.append(merged(lists, k))
         if not found:
-            return _table([])
+            return table_of([])
         group, shard = divmod(src, shards)
-        return _table([(group * level_size[0] + shard // fan, shard // fan, pack(*(np.concatenate(x) for x in zip(*found, strict=True))))])
+        return table_of([(group * level_size[0] + shard // fan, shard // fan, pack(*(np.concatenate(x) for x in zip(*found, strict=True))))])
 
     def merge(level: int):
         def run(table: pa.Table) -> pa.Table:
@@ -158,7 +157,7 @@ def top_k(vectors: DataFrame, queries: Column, k: int = 5, query_rows: int = 819
             key = int(table.column("key")[0].as_py())
             got = merged([tuple(unpack(p)) for p in payloads(table)], k)
             group = key // level_size[level]
-            return _table([(group * level_size[level + 1] + node // fan, node // fan, pack(*got))])
+            return table_of([(group * level_size[level + 1] + node // fan, node // fan, pack(*got))])
 
         return run
 

@@ -6,15 +6,15 @@ from collections import Counter
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute  # noqa: F401
 import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from segtable.llm import bpe, components, langid, lines, lm, minhash, packing, registry, repeats, rules
+from segtable.llm import base, bpe, components, langid, lines, lm, minhash, packing, registry, rules, suffixes, superkmers
 from segtable.llm.base import block_of, even_keys
 from segtable.llm.components import state_row
 from segtable.llm.cuckoo import CuckooFilter
-from segtable.llm.windows import _table
 
 from ..conftest import SF
 from . import brute
@@ -61,26 +61,126 @@ def test_lines(docs, none):
 
 
 def test_bytes(docs, none):
-    found = got(repeats.remove_repeated_bytes(docs), "doc_id", "n_bytes", "n_removed", F.size("starts"), "kept")
+    found = got(suffixes.remove_repeated_bytes(docs), "doc_id", "n_bytes", "n_removed", F.size("starts"), "kept")
     want = [(*x[:4], bytearray(x[4])) for x in brute.repeats(odd(), 50, False)]
     assert found == sorted(want, key=repr)
-    assert repeats.remove_repeated_bytes(none).count() == 0
+    assert suffixes.remove_repeated_bytes(none).count() == 0
 
 
 def test_words(docs, none):
-    found = got(repeats.remove_repeated_words(docs), "doc_id", "n_words", "n_removed", "kept")
+    found = got(superkmers.remove_repeated_words(docs), "doc_id", "n_words", "n_removed", "kept")
     assert found == sorted(((*x[:3], x[4]) for x in brute.repeats(odd(), 20, True)), key=repr)
-    assert repeats.remove_repeated_words(none).count() == 0
+    assert superkmers.remove_repeated_words(none).count() == 0
 
 
-def test_crowded_bucket(spark, monkeypatch):
-    """A bucket of very many contents goes by single windows."""
+def test_crowded_bucket(spark):
+    """A bucket of very many strings goes by single windows."""
     rng = random.Random(9)
     hot = " ".join(f"hot{k}" for k in range(18))
     rows = [(k, f"w{rng.randrange(99)} {hot} v{rng.randrange(9)} u{rng.randrange(3)}") for k in range(900)]
     df = spark.createDataFrame(rows, "doc_id long, text string")
-    found = got(repeats.remove_repeated_words(df), "doc_id", "n_words", "n_removed", "kept")
-    assert found == sorted(((*x[:3], x[4]) for x in brute.repeats(rows, 20, True)), key=repr)
+    for spread in (64, 4096):
+        found = got(superkmers.remove_repeated_words(df, spread=spread), "doc_id", "n_words", "n_removed", "kept")
+        assert found == sorted(((*x[:3], x[4]) for x in brute.repeats(rows, 20, True)), key=repr)
+        found = got(suffixes.remove_repeated_bytes(df, spread=spread), "doc_id", "n_bytes", "n_removed", F.size("starts"), "kept")
+        assert found == sorted(((*x[:4], bytearray(x[4])) for x in brute.repeats(rows, 50, False)), key=repr)
+
+
+@pytest.mark.parametrize("length, gram", [(100, 20), (150, 20), (50, 50), (7, 3), (8, 8), (1, 1), (33, 4)])
+def test_lengths_of_bytes(spark, length, gram):
+    """Other lengths, on texts that share parts of all sizes with changed letters."""
+    rng = random.Random(length)
+    source = "".join(rng.choice("ab cd") for _ in range(900))
+    rows = []
+    for k in range(60):
+        a = rng.randrange(700)
+        x = list(source[a : a + rng.randrange(60, 400)])
+        for _ in range(rng.randrange(4)):
+            x[rng.randrange(len(x))] = rng.choice("xyz")
+        rows.append((k, "".join(x)))
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    for spread in (3, 4096):
+        found = got(suffixes.remove_repeated_bytes(df, length, gram, spread), "doc_id", "n_bytes", "n_removed", F.size("starts"), "kept")
+        assert found == sorted(((*x[:4], bytearray(x[4])) for x in brute.repeats(rows, length, False)), key=repr)
+    with pytest.raises(ValueError):
+        suffixes.remove_repeated_bytes(df, 5, 6)
+
+
+@pytest.mark.parametrize("length, gram", [(70, 4), (2, 1), (1, 1), (9, 9)])
+def test_lengths_of_words(spark, length, gram):
+    rng = random.Random(length)
+    source = [f"w{rng.randrange(40)}" for _ in range(400)]
+    rows = [(k, " ".join(source[a : a + rng.randrange(80, 200)] + [f"x{k}"] + source[a : a + 90])) for k, a in enumerate(rng.randrange(200) for _ in range(30))]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    for spread in (3, 4096):
+        found = got(superkmers.remove_repeated_words(df, length, gram, spread=spread), "doc_id", "n_words", "n_removed", "kept")
+        assert found == sorted(((*x[:3], x[4]) for x in brute.repeats(rows, length, True)), key=repr)
+
+
+def test_hash_collisions(monkeypatch):
+    """Super-windows with equal hashes but other symbols are contents of their own."""
+    from segtable.llm import buckets, kernels
+
+    rng = random.Random(2)
+    texts = [" ".join(f"w{rng.randrange(50)}" for _ in range(60)).encode() for _ in range(40)]
+    raw = base.pack(np.arange(40), np.array([len(t) for t in texts], np.uint32), b"".join(texts))
+    shape = buckets.Shape(20, 4, True, True)
+    want = buckets.Supers(base.Block([raw]), shape, 64)
+    real = kernels.Rolling.of
+    monkeypatch.setattr(kernels.Rolling, "of", lambda self, a, b: real(self, a, b) & np.uint64(1))
+    found = buckets.Supers(base.Block([raw]), shape, 64)
+    assert len(found.lead) == len(want.lead) and sorted(found.texts(np.arange(len(found.lead)))) == sorted(want.texts(np.arange(len(want.lead))))
+
+
+def test_many_blocks(spark, docs):
+    """Many more blocks than the session has partitions, with routers between them, give the same results."""
+    small = docs.where("doc_id is null or doc_id not in (42, 43)")
+    spark.conf.set("segtable.llm.direct", "3")
+    try:
+        some = base.Net(23, even_keys(23), 3, 1 << 30)
+        assert got(lines.drop_repeated_lines(docs, net_=some), "doc_id", "n_lines", "n_dropped", "kept") == sorted(brute.lines(odd()), key=repr)
+        want = [(i, t) for i, t in odd() if t is None or len(t) < 50_000]
+        assert got(minhash.near_classes(small, net_=some), "doc_id", "class_id") == sorted(brute.classes(want), key=repr)
+        # Four partitions of the session, but routers.
+        found = got(superkmers.remove_repeated_words(docs), "doc_id", "n_words", "n_removed", "kept")
+        assert found == sorted(((*x[:3], x[4]) for x in brute.repeats(odd(), 20, True)), key=repr)
+        found = got(suffixes.remove_repeated_bytes(docs), "doc_id", "n_bytes", "n_removed", F.size("starts"), "kept")
+        assert found == sorted(((*x[:4], bytearray(x[4])) for x in brute.repeats(odd(), 50, False)), key=repr)
+        routed = sorted(lm.score_documents(docs).select("doc_id", "n_known", "base_score").collect(), key=repr)
+    finally:
+        spark.conf.unset("segtable.llm.direct")
+    assert routed == sorted(lm.score_documents(docs).select("doc_id", "n_known", "base_score").collect(), key=repr)
+
+
+def test_blocks_follow_the_input(spark):
+    """The number of blocks grows with the bytes of the input, and batches of letters stay bounded."""
+    d = spark.read.parquet(f"{SF.replace('0.001', '0.01')}/documents.parquet")
+    size = base.input_bytes(d)
+    assert base.net(d).n == 4 and base.net(d, size // 50).n in (50, 51)
+    held = base.blocks(d, base.net(d, size // 50)).groupBy("key").agg(F.sum(F.length("payload")).alias("b"))
+    assert held.agg(F.max("b")).first()[0] < size // 4 and held.count() >= 50
+    assert base.input_bytes(spark.createDataFrame([(1,)], "a int").where("a > 0")) is None or base.net(spark.createDataFrame([(1,)], "a int")).n == 4
+    for n, direct in ((4, 9), (5, 2), (23, 3)):
+        some = base.Net(n, even_keys(n), direct, 0)
+        got_ = {k: [] for k in range(n)}
+        sent = [some.post(me, [(to, b"%d>%d" % (me, to)) for to in range(n)]) for me in range(n)]
+        for step in range(2 if n > direct else 1):
+            everything = pa.concat_tables(sent)
+            assert everything.num_rows <= n * (n if n <= direct else some.width)
+            sent = []
+            for key in some.keys.tolist():
+                mine = everything.filter(pa.compute.equal(everything["key"], key))
+                if step == 0 and n > direct:
+                    sent.append(some.route(mine))
+                else:
+                    got_[some.number(key)] += list(base.mail(mine))
+        assert all(sorted(v) == [(me, b"%d>%d" % (me, k)) for me in range(n)] for k, v in got_.items())
+
+
+def test_batches_are_bounded(monkeypatch):
+    monkeypatch.setattr(base, "BATCH_BYTES", 1000)
+    t = base.table_of([(k, 0, b"x" * 400) for k in range(10)] + [(11, 0, b"y" * 5000)])
+    assert t.num_rows == 11 and max(b.nbytes for b in t.to_batches()) < 5200 and len(t.to_batches()) > 4
 
 
 def test_near(docs, none):
@@ -157,21 +257,21 @@ def test_prob_jaccard():
     assert (sig > 0).all() and abs((sig[0] == sig[1]).mean() - 0.5) < 0.1
 
 
-@pytest.mark.parametrize("kind", ["random", "star", "path"])
-def test_components(spark, kind):
+@pytest.mark.parametrize("kind, direct", [("random", 9), ("star", 9), ("path", 9), ("random", 1)])
+def test_components(spark, kind, direct):
     rng = np.random.default_rng(2)
     n = 400
     edges = {"random": rng.integers(0, n, (150, 2)), "star": np.stack([np.arange(1, n), np.zeros(n - 1, int)], 1), "path": np.stack([np.arange(60), np.arange(1, 61)], 1)}[kind].astype(np.int64)
-    keys = even_keys(4)
+    some = base.Net(4, even_keys(4), direct, 0)
     home = block_of(edges[:, 0].copy(), 4)
-    rows = [state_row(int(keys[k]), k, edges[home == k, 0], edges[home == k, 1]) for k in range(4)]
-    final = components.components(spark.createDataFrame(_table(rows).to_pandas()), keys, spark.range(10))
+    rows = [(int(some.keys[k]), *state_row(k, edges[home == k, 0], edges[home == k, 1])) for k in range(4)]
+    final = components.components(spark.createDataFrame(base.table_of(rows).to_pandas()), some, spark.range(10))
     by = {r["key"]: bytes(r["payload"]) for r in final.where(F.col("src") == components.STATE).collect()}
     ids = np.arange(n, dtype=np.int64)
     found = np.full(n, -1)
     for k in range(4):
         mine = ids[block_of(ids, 4) == k]
-        found[mine] = components.label_of(mine, by[int(keys[k])])
+        found[mine] = components.label_of(mine, by[int(some.keys[k])])
     assert (found == components.joined(ids, edges[:, 0], edges[:, 1])).all()
 
 
@@ -287,13 +387,33 @@ def test_cuckoo():
 
 
 def test_line_index(spark, docs):
-    """What was put in and taken out leaves the counts from before."""
-    first, more = docs.where("doc_id < 32"), docs.where("doc_id >= 31")
+    """What was put in and taken out leaves the counts and the filters from before; the index drops lines as the query does."""
+    cols = "k1", "k2", "n_docs", "max_doc"
+    first, more = docs.where("doc_id < 32"), docs.where("doc_id > 31 or doc_id is null")
     index = lines.LineIndex.empty(docs).insert(first)
-    before = got(index.counts(1), "k1", "k2", "n_docs", "max_doc")
-    both = index.insert(more.where("doc_id > 31"))
-    assert got(both.counts(1), "k1", "k2", "n_docs", "max_doc") == got(lines.LineIndex.empty(docs).insert(docs.where("doc_id is not null")).counts(1), "k1", "k2", "n_docs", "max_doc")
-    assert got(both.delete(more.where("doc_id > 31").select("doc_id")).counts(1), "k1", "k2", "n_docs", "max_doc") == before
+    before, keys = got(index.counts(1), *cols), index.filter_keys()
+    both = index.insert(more)
+    once = lines.LineIndex.empty(docs).insert(docs)
+    assert got(both.counts(1), *cols) == got(once.counts(1), *cols) and keys < both.filter_keys() == once.filter_keys() == once.counts(1).count()
+    assert got(both.drop(docs), "doc_id", "n_lines", "n_dropped", "kept") == sorted(brute.lines(odd()), key=repr)
+    back = both.delete(more.select("doc_id")).delete(docs.where("false").select("doc_id"))
+    assert got(back.counts(1), *cols) == got(index.compact().counts(1), *cols) == before and back.filter_keys() == keys
+    rest = [(i, t) for i, t in odd() if i is not None and i <= 31]
+    assert got(back.drop(first), "doc_id", "n_lines", "n_dropped", "kept") == sorted(brute.lines(rest), key=repr)
+    assert back.delete(docs.select("doc_id")).filter_keys() == 0
+
+
+def test_line_index_touches_little(spark):
+    """An update writes rows for its own blocks and their shards only."""
+    spark.conf.set("segtable.llm.block_bytes", "20000")
+    try:
+        d = spark.read.parquet(f"{SF.replace('0.001', '0.01')}/documents.parquet")
+        index = lines.LineIndex.empty(d).insert(d)
+        assert index.net.n > 20
+        after = index.delete(d.orderBy("doc_id").limit(1).select("doc_id"))
+        assert after.blocks.count() == index.blocks.count() + 1 and after.shards.count() < 2 * index.shards.count()
+    finally:
+        spark.conf.unset("segtable.llm.block_bytes")
 
 
 def test_pipeline(spark, docs, none, tmp_path):
@@ -313,7 +433,9 @@ def test_pipeline(spark, docs, none, tmp_path):
                     group = dict(brute.classes(before))
                     want = [(i, t) for i, t in before if group[i] == i]
                 elif k == 3:
-                    want = [(i, t) for i, _, _, _, t in brute.repeats(before, 20, True)]
+                    cut = brute.repeats(before, 20, True)
+                    assert all(h[1] == b[1] for h, b, c in zip(sorted(have, key=repr), sorted(before, key=repr), sorted(cut, key=repr), strict=True) if not c[2] and c[1])
+                    want, have = [(i, t) for i, _, _, _, t in cut], [(i, " ".join(brute.WORD.findall(t))) for i, t in have]
                 assert k == 0 or sorted(have, key=repr) == sorted(want, key=repr)
                 before = have
     assert corpus_pipeline.run(spark, SF).count() > 0
@@ -329,4 +451,4 @@ def test_sql(spark, duck):
 
 def test_empty_blocks():
     assert json.dumps(even_keys(5).tolist()) and len(set(even_keys(5).tolist())) == 5
-    assert pa.types.is_int64(_table([]).schema.field("key").type)
+    assert pa.types.is_int64(base.table_of([]).schema.field("key").type)
