@@ -6,27 +6,22 @@ reread as the next stage's docs.  All but the last keep the columns of ``documen
 
 from __future__ import annotations
 
-import uuid
-
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from segtable.llm import langid, lines, minhash, packing, repeats
-from segtable.llm.base import shared_dir
+from segtable.llm import langid, lines, minhash, packing, superkmers
+from segtable.llm.base import release, written
 
 
-def _carried(docs: DataFrame):
-    """All columns but doc_id and text, as one string that travels with the document."""
-    return F.to_json(F.struct(*(F.col(f"`{c}`") for c in docs.columns if c not in ("doc_id", "text"))))
+def _carried(docs: DataFrame) -> Column | None:
+    """All columns but doc_id and text, as they are; they travel with the document."""
+    rest = [c for c in docs.columns if c not in ("doc_id", "text")]
+    return F.struct(*(F.col(f"`{c}`") for c in rest)) if rest else None
 
 
 def _restored(docs: DataFrame, got: DataFrame) -> DataFrame:
     """``got`` (doc_id, kept, carry) with the columns of ``docs``; n_chars counts the new text."""
-    rest = [f for f in docs.schema if f.name not in ("doc_id", "text")]
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rest)
-    if rest:
-        got = got.withColumn("carry", F.from_json("carry", schema))
-    cols = {f.name: F.col(f"carry.`{f.name}`") for f in rest} | {"doc_id": F.col("doc_id"), "text": F.col("kept")}
+    cols = {c: F.col(f"carry.`{c}`") for c in docs.columns if c not in ("doc_id", "text")} | {"doc_id": F.col("doc_id"), "text": F.col("kept")}
     if "n_chars" in cols:
         cols["n_chars"] = F.length("kept").cast("long")
     return got.select(*(cols[c].alias(c) for c in docs.columns))
@@ -55,8 +50,8 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 
 def drop_repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without the passages of 20 words or more that occur earlier."""
-    return _restored(docs, repeats.remove_repeated_words(docs, carry=_carried(docs)))
+    """Documents without the passages of 20 words or more that occur earlier; all else of a text stays as it is."""
+    return _restored(docs, superkmers.remove_repeated_words(docs, carry=_carried(docs), spacing=True))
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -76,12 +71,16 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages on the documents of ``sf_dir``; each but the last is written to the shared folder."""
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    top = f"{shared_dir(spark)}/pipeline-{uuid.uuid4().hex}"
+    """All stages on the documents of ``sf_dir``; each but the last is written to the shared folder.
+
+    What a stage has read is deleted once its own result is written; the last is read by the result.
+    """
+    docs = before = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for k, (_, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)
         if k < len(STAGES) - 1:
-            docs.write.parquet(f"{top}/{k}")
-            docs = spark.read.schema(docs.schema).parquet(f"{top}/{k}")
+            docs = written(docs)
+            if k:
+                release(before)
+            before = docs
     return docs
