@@ -8,7 +8,7 @@ agree in a register with probability J_P.  Generation ends as soon as no later a
 change a register.
 
 Registers form bands.  In each band's bucket two documents lead, those of least and of largest
-hash of (doc_id, band), so leaders differ from band to band; every other document of the bucket is
+hash of (doc_id, band modulo 4), so leaders differ, but are few for a group of copies; every other document of the bucket is
 verified against both with the exact J_P of whole shingle counts.  That is linear in a bucket's
 size, and joins most of what belongs together.
 
@@ -37,6 +37,7 @@ _HASH_BITS = 48
 IDS, OPEN, TEXTS, MINE = -2, -3, -5, -6  # in column src, like STATE: a block's doc_ids, its members that don't lead, these members' texts, what it keeps
 EDGES = -4  # the first number of a letter with links
 TILE = 512
+SALTS = 4  # of so many orders each band has one; a group of copies has up to twice as many leaders, whose texts travel
 
 
 def shingle_counts(block: Block, a: int, b: int, size: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -437,7 +438,7 @@ def near_classes(docs: DataFrame, size: int = 5, threshold: float = 0.8, bands:
 
 def _salted(ids: np.ndarray, band: np.ndarray) -> np.ndarray:
     """The order of leaders in a band."""
-    return mix(ids.view(_U) + mix(band.astype(_U) + _U(1)))
+    return mix(ids.view(_U) + mix((band % SALTS).astype(_U) + _U(1)))
 
 
 def _pick(order: np.ndarray, ids: np.ndarray, cut: np.ndarray, count: np.ndarray, least: np.ufunc) -> np.ndarray:

@@ -235,6 +235,27 @@ def test_crowded_near(spark, kind):
     assert found == sorted(enumerate(label), key=repr)
 
 
+def test_near_recall(spark):
+    """Of the real links of 0.8 or more that are no exact copies all are found, and little else is joined."""
+    d = spark.read.parquet(f"{SF.replace('0.001', '0.01')}/documents.parquet")
+    shingles, where = {}, {}
+    for i, t in d.select("doc_id", "text").collect():
+        w = brute.WORD.findall(t or "")
+        if w:
+            shingles[i] = Counter(tuple(w[k : k + 5]) for k in range(max(1, len(w) - 4)))
+            for g in shingles[i]:
+                where.setdefault(g, []).append(i)
+    pairs = {(a, b) for ids in where.values() for b in ids for a in ids if a < b}
+    pairs = {(a, b) for a, b in pairs if 2 * len(shingles[a].keys() & shingles[b].keys()) > max(len(shingles[a]), len(shingles[b]))}
+    number: dict = {}
+    rows = {i: tuple(np.array(x) for x in zip(*sorted((number.setdefault(g, len(number)), n) for g, n in c.items()), strict=True)) for i, c in shingles.items()}
+    links = {p for p in pairs if minhash.prob_jaccard(*rows[p[0]], *rows[p[1]]) >= 0.8}
+    other = [p for p in links if shingles[p[0]] != shingles[p[1]]]
+    classes = dict(got(minhash.near_classes(d), "doc_id", "class_id"))
+    assert len(other) > 5 and all(classes[a] == classes[b] for a, b in links)
+    assert sum(classes[a] == classes[b] for a, b in pairs - links) <= len(links) // 20
+
+
 def test_upper_bounds():
     rng = random.Random(4)
     some = [Counter(rng.choices(range(30), k=rng.randrange(1, 60))) for _ in range(40)] + [Counter(rng.sample(range(30), 20)) for _ in range(10)]
