@@ -22,7 +22,7 @@ def brute(rows, k=5):
     return sorted(out)
 
 
-@pytest.mark.parametrize("sizes", [dict(), dict(query_rows=3, shard_rows=40, fan=2)])
+@pytest.mark.parametrize("sizes", [dict(), dict(query_bytes=96, shard_bytes=1280, fan=2)])
 def test_top_k(spark, sizes):
     rng = random.Random(6)
     rows = [(k, [rng.choice([-1.5, 0.25, 0.3, 1.0]) for _ in range(4)], "x") for k in range(400)]
@@ -35,7 +35,25 @@ def test_top_k(spark, sizes):
     assert topk.top_k(two, F.col("vec_id") % 50 == 0).count() == 1
 
 
-def test_large_components(spark):
-    df = spark.createDataFrame([(0, [3e15, 1.0]), (1, [3e15, -1.0]), (2, [-3e15, 2.0]), (50, [1e30, 1.0])], "vec_id long, embedding array<double>")
-    got = topk.top_k(df, F.col("vec_id") % 50 == 0).collect()
-    assert [(r["query_id"], r["vec_id"]) for r in sorted(got, key=lambda r: r["rank"])] == [(0, 1), (0, 2)]
+@pytest.mark.parametrize("sizes", [dict(), dict(query_bytes=8, shard_bytes=64, fan=2)])
+def test_large_components(spark, sizes):
+    """Components and scores of any size are compared exactly; scores beyond a long are given as the nearest."""
+    rng = random.Random(8)
+    big = [0.5, -3.0, 1e17, -1e17, 1e17 + 64, 2.0**200, -(2.0**200), 1e306, 3e15]
+    rows = [(k, [rng.choice(big) for _ in range(3)]) for k in range(0, 200, 5)] + [(1000 + k, [float(rng.randrange(-9, 9)) for _ in range(3)]) for k in range(30)]
+    rows += [(50, [1e17, 1.0, 2.0]), (50, [1.0, 1.0, 2.0]), (7, [float("inf"), 1.0, 1.0])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>").repartition(3)
+    got = sorted(tuple(r) for r in topk.top_k(df, F.col("vec_id") % 50 == 0, **sizes).collect())
+    whole = lambda x: int(x) * 256 if abs(x) >= 2.0**53 else int(np.floor(x * 256))
+    ok = [(i, [whole(x) for x in v]) for i, v in rows if all(map(np.isfinite, v))]
+    want = []
+    for q in sorted({i for i, _ in ok if i % 50 == 0}):
+        mine = min(v for i, v in ok if i == q)
+        scored = sorted((-sum(a * b for a, b in zip(mine, v, strict=True)), i) for i, v in ok if i != q)[:5]
+        want += [(q, n + 1, i, max(-(2**63), min(2**63 - 1, -s))) for n, (s, i) in enumerate(scored)]
+    assert got == want
+
+
+def test_copies_go_in_bounded_batches():
+    some = list(topk.bounded(((k, k, b"x" * 10) for k in range(100)), 35))
+    assert max(map(len, some)) == 3 and sum(map(len, some)) == 100
