@@ -11,7 +11,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import kernels as K
-from .base import text_parts
+from .base import few, text_parts, written
+from .buckets import spans
 
 SCHEMA = "doc_id long, piece long, start long, length long, bin_id long, bin_capacity long, bin_offset long"
 
@@ -47,13 +48,18 @@ def _fill(room: int, left: dict[int, int], mask: int) -> int:
     return start - room
 
 
-def best_fit(lengths: Sequence[int], capacities: Sequence[int], overhead: int) -> tuple[list[int], list[int], list[int]]:
+def bin_cost(capacity: int, overhead: int, attention: float) -> float:
+    """What a sequence costs: its tokens, a fixed part, and attention, which grows with the square of its length."""
+    return capacity + overhead + attention * capacity * capacity
+
+
+def best_fit(lengths: Sequence[int], capacities: Sequence[int], overhead: int, attention: float = 0.0) -> tuple[list[int], list[int], list[int]]:
     """Bins for lengths in descending order: each item's bin and offset, and each bin's capacity.
 
-    An item goes to the open bin that it leaves the least room in.  If none has room, a bin is
-    opened: of the capacities that hold the item, the one with the least cost (capacity and
-    ``overhead``) for what it can be filled with from the items to come; of equal ones the
-    smaller.  In the end each bin is cut to the smallest capacity that holds its contents.
+    An item goes to the open bin that it leaves the least room in; of equal ones to that which got its
+    last item latest.  If none has room, a bin is opened: of the capacities that hold the item, the one
+    with the least ``bin_cost`` for what it can be filled with from the items to come; of equal
+    ones the smaller.  In the end each bin is cut to the smallest capacity that holds its contents.
     """
     left: dict[int, int] = {}
     for x in lengths:
@@ -75,7 +81,7 @@ def best_fit(lengths: Sequence[int], capacities: Sequence[int], overhead: int) -
             if not rooms[room]:
                 open_mask &= ~(1 << room)
         else:
-            cost = lambda c: (c + overhead) / max(1, x + _fill(c - x, left, mask))  # noqa: E731,B023
+            cost = lambda c: bin_cost(c, overhead, attention) / max(1, x + _fill(c - x, left, mask))  # noqa: E731,B023
             size.append(min((c for c in capacities if c >= x), key=lambda c: (cost(c), c)))
             b, room = len(used), size[-1]
             used.append(0)
@@ -87,13 +93,31 @@ def best_fit(lengths: Sequence[int], capacities: Sequence[int], overhead: int) -
     return bins, offsets, [min(c for c in capacities if c >= u) for u in used]
 
 
-def pack_sequences(lengths: DataFrame, capacities: Sequence[int] = (512, 1024, 2048), overhead: int = 16, shard_docs: int = 16384) -> DataFrame:
-    """Pack documents (doc_id, n) into sequences of the permitted lengths.
+def cheapest(lengths: Sequence[int], capacities: Sequence[int], overhead: int, attention: float) -> tuple[list[int], list[int], list[int]]:
+    """The least-cost ``best_fit`` of all sets of permitted capacities that have the largest.
+
+    A bin's capacity is chosen for the items to come, which a greedy choice can misjudge; so the
+    choice among all capacities also competes with those among fewer.  Of equal ones the larger set.
+    """
+    caps = sorted(capacities)
+    sets = sorted(([*(c for k, c in enumerate(caps[:-1]) if mask >> k & 1), caps[-1]] for mask in range(1 << (len(caps) - 1))), key=len, reverse=True)
+    packed = [best_fit(lengths, some, overhead, attention) for some in sets]
+    for k, (bins, offsets, _) in enumerate(packed):
+        used = [0] * (max(bins) + 1 if bins else 0)
+        for b, o, x in zip(bins, offsets, lengths, strict=True):
+            used[b] = max(used[b], o + x)
+        packed[k] = bins, offsets, [min(c for c in caps if c >= u) for u in used]  # cut to any permitted one
+    return min(packed, key=lambda p: sum(bin_cost(c, overhead, attention) for c in p[2]))
+
+
+def pack_sequences(lengths: DataFrame, capacities: Sequence[int] = (512, 1024, 2048), overhead: int = 16, attention: float = 2.0**-13, shard_docs: int = 16384) -> DataFrame:
+    """Pack documents (doc_id, n) into sequences of the permitted lengths, at the least ``bin_cost``.
 
     A document longer than the largest capacity is cut into pieces of that size, which fill a
     bin each; what remains of it is packed like a short one.  Documents are dealt by a hash of
-    doc_id into shards of about ``shard_docs``, each packed on its own (best fit, longest first, ties by
-    doc_id), so work and memory of a task don't grow with the table.
+    their row into shards of about ``shard_docs``, each packed on its own (best fit, longest first, ties by
+    doc_id), so work and memory of a task don't grow with the table, however often a doc_id is repeated.
+    ``lengths`` is written once; the same files give the same bins.
 
     One row per piece: its place in the document, its bin and the bin's capacity, and its
     place in the bin.  A document of length 0 or null is one piece of length 0.  Repeated rows
@@ -101,38 +125,30 @@ def pack_sequences(lengths: DataFrame, capacities: Sequence[int] = (512, 1024, 2
     """
     caps = sorted(set(capacities))
     top = caps[-1]
-    shards = max(1, math.ceil(lengths.count() / shard_docs))
+    given = written(few(lengths.select("doc_id", "n"), lengths))
+    shards = max(1, math.ceil(given.count() / shard_docs))
 
     def run(table: pa.Table) -> pa.Table:
-        shard = int(table.column("shard")[0].as_py())
-        raw = table.column("doc_id").to_pylist()
-        n = np.array([x or 0 for x in table.column("n").to_pylist()], np.int64)
-        order = sorted(range(len(raw)), key=lambda i: (-(n[i] % top if n[i] % top or not n[i] else 0), raw[i] is None, raw[i] or 0, n[i]))
-        whole, rest = n // top, n % top
-        docs, pieces, starts, sizes, bins, caps_of, at = ([] for _ in range(7))
-        packed = [i for i in order if rest[i] or not n[i]]
-        b, o, c = best_fit([int(rest[i]) for i in packed], caps, overhead)
-        base = shard << 32
-        for i, bin_, off in zip(packed, b, o, strict=True):
-            docs.append(raw[i])
-            pieces.append(int(whole[i]))
-            starts.append(int(whole[i]) * top)
-            sizes.append(int(rest[i]))
-            bins.append(base + bin_)
-            caps_of.append(c[bin_])
-            at.append(off)
-        next_ = len(c)
-        for i in order:
-            for p in range(int(whole[i])):
-                docs.append(raw[i])
-                pieces.append(p)
-                starts.append(p * top)
-                sizes.append(top)
-                bins.append(base + next_)
-                caps_of.append(top)
-                at.append(0)
-                next_ += 1
-        return pa.table([pa.array(x, pa.int64()) for x in (docs, pieces, starts, sizes, bins, caps_of, at)], names=["doc_id", "piece", "start", "length", "bin_id", "bin_capacity", "bin_offset"])
-
-    dealt = lengths.select("doc_id", "n", F.pmod(F.xxhash64("doc_id", F.lit("shard")), F.lit(shards)).alias("shard"))
+        base = int(table.column("shard")[0].as_py()) << 32
+        raw = table.column("doc_id")
+        missing = raw.is_null().to_numpy()
+        ids = raw.fill_null(0).to_numpy()
+        n = table.column("n").fill_null(0).to_numpy()
+        rest = n % top
+        short = np.flatnonzero((rest > 0) | (n == 0))
+        short = short[np.lexsort((n[short], ids[short], missing[short], -rest[short]))]
+        bins, offsets, of = cheapest(rest[short].tolist(), caps, overhead, attention)
+        long = np.flatnonzero(n >= top)
+        long = long[np.lexsort((n[long], ids[long], missing[long]))]
+        place = spans(np.zeros(len(long), np.int64), n[long] // top)
+        long = np.repeat(long, n[long] // top)
+        row, piece = np.concatenate([short, long]), np.concatenate([n[short] // top, place])
+        bin_ = np.concatenate([np.array(bins, np.int64), len(of) + np.arange(len(long))])
+        columns = [
+            pa.array(ids[row], pa.int64(), mask=missing[row]), piece, piece * top, np.concatenate([rest[short], np.full(len(long), top)]), base + bin_,
+            np.array([*of, *[top] * len(long)], np.int64)[bin_], np.concatenate([np.array(offsets, np.int64), np.zeros(len(long), np.int64)]),
+        ]
+        return pa.table([pa.array(x, pa.int64()) for x in columns], names=["doc_id", "piece", "start", "length", "bin_id", "bin_capacity", "bin_offset"])
+
+    dealt = given.select("doc_id", "n", F.pmod(F.xxhash64("doc_id", "n", F.monotonically_increasing_id()), F.lit(shards)).alias("shard"))
     return dealt.groupBy("shard").applyInArrow(run, SCHEMA)

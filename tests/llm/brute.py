@@ -100,3 +100,46 @@ def quality(text):
         if windows[tuple(w[k : k + 8])] > 1:
             covered |= set(range(k, k + 8))
     return len(w), sum(map(len, w)), sum(c in "#*$%&|<>" for c in text), dup, len(covered), len(w) < 20 or 100 * len(covered) > 30 * len(w)
+
+
+def best_fit(lengths, capacities, overhead, attention):
+    """The rule of best fit, item by item; bins are [capacity, time of the last item, lengths]."""
+    cost = lambda c: c + overhead + attention * c * c
+    bins, out = [], []
+    for k, x in enumerate(lengths):
+        rooms = [(c - sum(items), -time, b) for b, (c, time, items) in enumerate(bins) if c - sum(items) >= x]
+        if rooms:
+            b = min(rooms)[2]
+        else:
+
+            def rate(c):
+                room, filled = c - x, x
+                for y in lengths[k + 1 :]:
+                    if y <= room:
+                        room, filled = room - y, filled + y
+                return cost(c) / max(1, filled)
+
+            b = len(bins)
+            bins.append([min((c for c in capacities if c >= x), key=lambda c: (rate(c), c)), 0, []])
+        out.append((b, sum(bins[b][2])))
+        bins[b][2].append(x)
+        bins[b][1] = k
+    return [b for b, _ in out], [o for _, o in out], [min(c for c in capacities if c >= sum(items)) for _, _, items in bins]
+
+
+def least_cost(lengths, capacities, overhead, attention):
+    """The least cost of any packing, by trying all."""
+    cost = lambda u: min(c + overhead + attention * c * c for c in capacities if c >= u)
+    best = [float("inf")]
+
+    def place(k, bins):
+        if k == len(lengths):
+            best[0] = min(best[0], sum(map(cost, bins)))
+            return
+        for b in range(len(bins)):
+            if bins[b] + lengths[k] <= max(capacities):
+                place(k + 1, [*bins[:b], bins[b] + lengths[k], *bins[b + 1 :]])
+        place(k + 1, [*bins, lengths[k]])
+
+    place(0, [])
+    return best[0]

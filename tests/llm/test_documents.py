@@ -315,22 +315,59 @@ def test_language_accuracy(spark):
     assert r.select(F.avg((F.col("lang") == F.col("lang_pred")).cast("int"))).first()[0] > 0.98
 
 
-def test_packing(docs, none):
-    rows = packing.pack_sequences(packing.word_counts(docs), (64, 128, 512)).toPandas()
-    size = {}
-    for i, t in odd():
-        size.setdefault(i, []).append(len(brute.WORD.findall(t or "")))
-    assert sorted(rows.groupby(rows.doc_id.map(lambda x: None if x != x else int(x)), dropna=False).length.sum().to_dict().items(), key=repr)
-    assert rows.length.sum() == sum(map(sum, size.values()))
-    for _, b in rows.groupby("bin_id"):
-        assert b.bin_capacity.nunique() == 1
-        cap, used = int(b.bin_capacity.iloc[0]), int(b.length.sum())
-        assert used <= cap and cap == min(c for c in (64, 128, 512) if c >= used)
-        some = b[b.length > 0].sort_values("bin_offset")
-        assert (some.bin_offset.to_numpy() == np.concatenate([[0], np.cumsum(some.length.to_numpy())[:-1]])).all() if len(some) else True
+def test_packing(spark, docs, none):
+    caps, overhead, attention = (64, 128, 512), 16, 2.0**-13
+    rows = packing.pack_sequences(packing.word_counts(docs), caps, overhead, attention).toPandas()
+    given = [(i, len(brute.WORD.findall(t or ""))) for i, t in odd()]
+    # All rows fit into one shard, so the result is that of the rule.
+    key = lambda r: (r[0] is None, r[0] or 0, r[1])
+    short = sorted((r for r in given if r[1] % 512 or not r[1]), key=lambda r: (-(r[1] % 512), *key(r)))
+    want = []
+    found = [packing.best_fit([n % 512 for _, n in short], some, overhead, attention) for some in (caps, (64, 512), (128, 512), (512,))]
+    assert found[0] == tuple(brute.best_fit([n % 512 for _, n in short], caps, overhead, attention))
+    bins, offsets, of = packing.cheapest([n % 512 for _, n in short], caps, overhead, attention)
+    want = [(i, n // 512, n // 512 * 512, n % 512, b, of[b], o) for (i, n), b, o in zip(short, bins, offsets, strict=True)]
+    k = len(of)
+    for i, n in sorted((r for r in given if r[1] >= 512), key=key):
+        for p in range(n // 512):
+            want.append((i, p, p * 512, 512, k, 512, 0))
+            k += 1
+    have = [tuple(None if x != x else int(x) for x in r) for r in rows.itertuples(index=False)]
+    assert sorted(have, key=repr) == sorted(want, key=repr)
+    sums = Counter()
+    for i, n in given:
+        sums[i] += n
+    assert {i: sum(r[3] for r in have if r[0] == i) for i in sums} == sums
     assert packing.pack_sequences(packing.word_counts(none)).count() == 0
-    bins, offsets, caps = packing.best_fit([60, 50, 40, 30, 10], (64, 100), 0)
-    assert sum(caps) <= 228 and len(bins) == 5 and offsets[0] == 0
+    # Nulls, ties and repeated rows of lengths; many shards.
+    odd_ = [(None, None), (None, 7), (None, 7), (1, 0), (1, 7), (1, 7), (2, 1300), (2, 1024), (3, None)] * 40
+    table = spark.createDataFrame(odd_, "doc_id long, n long").repartition(3)
+    for shard in (10, 16384):
+        some = packing.pack_sequences(table, (256, 1024), shard_docs=shard).toPandas()
+        assert Counter(None if x != x else int(x) for x in some[some.piece == 0].doc_id) == Counter(i for i, _ in odd_)
+        assert some.length.sum() == sum(n or 0 for _, n in odd_)
+        for _, b in some.groupby("bin_id"):
+            used = b[b.length > 0].sort_values("bin_offset")
+            assert b.bin_capacity.nunique() == 1 and (used.bin_offset.to_numpy() == np.cumsum(used.length.to_numpy()) - used.length.to_numpy()).all()
+            assert int(b.bin_capacity.iloc[0]) == min(c for c in (256, 1024) if c >= b.length.sum())
+
+
+def test_best_fit():
+    """The rule item by item, its cost against the least of all packings, and against one capacity only."""
+    rng = random.Random(5)
+    ratio = []
+    for _ in range(150):
+        caps = sorted(rng.sample(range(10, 60), 3))
+        lengths = sorted((rng.randrange(caps[-1] + 1) for _ in range(rng.randrange(1, 8))), reverse=True)
+        overhead, attention = rng.choice([0, 4]), rng.choice([0.0, 0.02])
+        assert packing.best_fit(lengths, caps, overhead, attention) == tuple(brute.best_fit(lengths, caps, overhead, attention))
+        cost = lambda p: sum(packing.bin_cost(c, overhead, attention) for c in p[2])  # noqa: B023, E731
+        joint = packing.cheapest(lengths, caps, overhead, attention)
+        assert cost(joint) <= cost(packing.best_fit(lengths, caps, overhead, attention)) and cost(joint) <= cost(packing.best_fit(lengths, caps[-1:], overhead, attention))
+        ratio.append(cost(joint) / brute.least_cost(lengths, caps, overhead, attention))
+    assert min(ratio) >= 1 - 1e-9 and max(ratio) < 1.6 and sum(ratio) / len(ratio) < 1.05
+    many = sorted((rng.randrange(1, 900) for _ in range(600)), reverse=True)
+    assert packing.best_fit(many, (512, 1024, 2048), 16, 2.0**-13) == tuple(brute.best_fit(many, (512, 1024, 2048), 16, 2.0**-13))
 
 
 def test_bpe(docs, none):
