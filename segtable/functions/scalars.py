@@ -1,11 +1,10 @@
 """Values as bytes and back: the letters of formats, hexadecimal, variable-length integers.
 
-All but the encoding of floating-point numbers are Column expressions that stay in the JVM.
+All are Column expressions that stay in the JVM.
 """
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -26,28 +25,29 @@ def _swapped(digits: Column, width: int) -> Column:
     return F.concat(*(F.substring(digits, 2 * k + 1, 2) for k in reversed(range(width))))
 
 
-def _number(col: Column, width: int) -> Column:
-    """The unsigned little-endian number in the first ``width`` bytes; an error if there are fewer."""
-    short = F.raise_error(F.concat(F.lit(f"a value of {width} bytes is expected, not of "), F.octet_length(col).cast("string")))
-    digits = F.hex(F.substring(col, 1, width))
-    value = F.conv(_swapped(digits, width), 16, 10).cast("decimal(20,0)")
-    return F.when(col.isNull(), F.lit(None)).when(F.octet_length(col) < width, short.cast("decimal(20,0)")).otherwise(value)
+def _short(col: Column, width: int) -> Column:
+    return F.raise_error(F.concat(F.lit(f"a value of {width} bytes is expected, not of "), F.octet_length(col).cast("string")))
 
 
 def decode_integer(col: Column, letter: str) -> Column:
     """A little-endian integer; bytes beyond its width are not looked at, fewer are an error."""
     width, signed, kind = INTEGERS[letter]
-    value = _number(col, width)
-    if signed:
-        half, whole = (F.lit(str(1 << k)).cast("decimal(20,0)") for k in (8 * width - 1, 8 * width))
-        value = F.when(value >= half, value - whole).otherwise(value)
-    return value.cast(kind)
+    digits = _swapped(F.hex(F.substring(col, 1, width)), width)
+    if letter == "Q":
+        value = F.conv(digits, 16, 10).cast(kind)
+    elif letter == "q":
+        value = F.conv(digits, 16, -10).cast("long")
+    else:
+        value = F.conv(digits, 16, 10).cast("long")
+        if signed:
+            half = F.lit(1 << (8 * width - 1)).cast("long")
+            value = value.bitwiseXOR(half) - half
+    return F.when(col.isNull(), F.lit(None)).when(F.octet_length(col) < width, _short(col, width).cast(kind)).otherwise(value.cast(kind))
 
 
 def decode_float(col: Column, letter: str) -> Column:
     """A little-endian IEEE number, put together from its sign, exponent and fraction."""
     kind, exponent_bits, fraction_bits, width = FLOATS[letter]
-    short = F.raise_error(F.concat(F.lit(f"a value of {width} bytes is expected, not of "), F.octet_length(col).cast("string")))
     digits = _swapped(F.hex(F.substring(col, 1, width)), width)
     # The bits beside the sign fit into a long.
     top = F.conv(F.substring(digits, 1, 1), 16, 10).cast("int")
@@ -62,7 +62,7 @@ def decode_float(col: Column, letter: str) -> Column:
         .when(exponent == 0, fraction * F.lit(2.0 ** (1 - bias - fraction_bits)))
         .otherwise(F.pow(F.lit(2.0), (exponent - bias).cast("double")) * (fraction / F.lit(float(1 << fraction_bits)) + 1.0))
     )
-    return F.when(col.isNull(), F.lit(None)).when(F.octet_length(col) < width, short.cast("double")).otherwise(sign * size).cast(kind)
+    return F.when(col.isNull(), F.lit(None)).when(F.octet_length(col) < width, _short(col, width).cast("double")).otherwise(sign * size).cast(kind)
 
 
 def decode(col: Column, letter: str) -> Column:
@@ -86,26 +86,43 @@ def to_hex(col: Column) -> Column:
 def encode_integer(col: Column, letter: str) -> Column:
     """The little-endian bytes of an integer; an error if it doesn't fit."""
     width, signed, _ = INTEGERS[letter]
-    low, high = (-(1 << (8 * width - 1)), (1 << (8 * width - 1)) - 1) if signed else (0, (1 << (8 * width)) - 1)
-    wide = col.cast("decimal(20,0)")
-    bits = F.when(wide > F.lit(str((1 << 63) - 1)).cast("decimal(20,0)"), wide - F.lit(str(1 << 64)).cast("decimal(20,0)")).otherwise(wide).cast("long")
+    if letter == "Q":
+        wide = col.cast("decimal(20,0)")
+        number = lambda n: F.lit(str(n)).cast("decimal(20,0)")
+        bits = F.when(wide > number((1 << 63) - 1), wide - number(1 << 64)).otherwise(wide).cast("long")
+        fits = (wide >= number(0)) & (wide <= number((1 << 64) - 1))
+    else:  # what is no long is an error of the cast
+        wide = bits = col.cast("long")
+        low, high = (-(1 << (8 * width - 1)), (1 << (8 * width - 1)) - 1) if signed else (0, (1 << (8 * width)) - 1)
+        fits = F.lit(True) if width == 8 else (wide >= F.lit(low).cast("long")) & (wide <= F.lit(high).cast("long"))
     digits = F.substring(F.lpad(F.hex(bits), 16, "0"), 17 - 2 * width, 2 * width)
     wrong = F.raise_error(F.concat(F.lit(f"out of range for {letter}: "), wide.cast("string"))).cast("binary")
-    fits = (wide >= F.lit(str(low)).cast("decimal(20,0)")) & (wide <= F.lit(str(high)).cast("decimal(20,0)"))
     return F.when(col.isNull(), F.lit(None)).when(fits, F.unhex(_swapped(digits, width))).otherwise(wrong)
 
 
 def encode_float(col: Column, letter: str) -> Column:
-    """The little-endian bytes of a floating-point number.  SQL has no view of its bits: an Arrow UDF."""
-
-    width = FLOATS[letter][3]
-
-    def run(values: pd.Series) -> pd.Series:
-        raw = values.to_numpy(dtype=f"<f{width}").tobytes()  # a null, as NaN, is put right below
-        return pd.Series([raw[k : k + width] for k in range(0, len(raw), width)], dtype=object)
-
-    got = F.pandas_udf(run, "binary")(col.cast("double" if letter == "d" else "float"))
-    return F.when(col.isNotNull(), got)
+    """The little-endian bytes of a floating-point number, put together from its hexadecimal notation."""
+    kind, exponent_bits, fraction_bits, width = FLOATS[letter]
+    text = F.format_string("%a", col.cast(kind).cast("double"))
+    part = lambda pattern: F.regexp_extract(text, pattern, 1)
+    power = F.coalesce(F.nullif(part("p(-?[0-9]+)$"), F.lit("")).cast("int"), F.lit(0))
+    normal = part("0x([01])") == "1"
+    # 52 bits behind the leading one; a float has the upper 23 of them.
+    fraction = F.coalesce(F.conv(F.rpad(part(r"\.([0-9a-f]+)p"), 13, "0"), 16, 10).cast("long"), F.lit(0).cast("long"))
+    bias, full, least = (1 << (exponent_bits - 1)) - 1, (1 << exponent_bits) - 1, 2 - (1 << (exponent_bits - 1))
+    top = F.shiftright(fraction, 52 - fraction_bits)
+    shift = F.greatest(F.lit(0), F.least(F.lit(60), F.lit(least) - power))
+    small = F.floor((top + F.lit(1 << fraction_bits)) / F.pow(F.lit(2.0), shift)).cast("long")  # a subnormal float, exact in a double
+    size = (
+        F.when(F.contains(text, F.lit("Inf")), F.lit(full << fraction_bits).cast("long"))
+        .when(F.contains(text, F.lit("NaN")), F.lit(full << fraction_bits | 1 << (fraction_bits - 1)).cast("long"))
+        .when(normal & (power >= least), F.shiftleft((power + bias).cast("long"), fraction_bits).bitwiseOR(top))
+        .when(normal, small)
+        .otherwise(top)
+    )
+    sign = F.when(F.startswith(text, F.lit("-")), F.shiftleft(F.lit(1).cast("long"), 8 * width - 1)).otherwise(F.lit(0).cast("long"))
+    digits = F.substring(F.lpad(F.hex(size.bitwiseOR(sign)), 16, "0"), 17 - 2 * width, 2 * width)
+    return F.when(col.isNotNull(), F.unhex(_swapped(digits, width)))
 
 
 def encode(col: Column, letter: str) -> Column:

@@ -79,83 +79,98 @@ def _at(row: Column, path: tuple[str, ...]) -> Column:
     return row
 
 
+def _let(value: Column, body) -> Column:
+    """``body`` of a value that is computed once."""
+    return F.transform(F.array(value), body)[0]
+
+
 def shred(df: DataFrame, record: str, key: str) -> DataFrame:
     """Streams of the records in column ``record``, told apart by ``key``.
 
-    Each list level is exploded once, and all its scalars come from that one pass.  Null lists
+    The cells of all list levels come from one pass over the records, without a shuffle.  Null lists
     count as empty.  A missing struct's scalars are null.
     """
     kind = df.schema[record].dataType
     if not isinstance(kind, T.StructType):
         raise ValueError("a record is a struct")
-    out: list[DataFrame] = []
-
-    def level(rows: DataFrame, kind: T.DataType, start: int, letter: str | None) -> None:
-        """``rows``: key, pos, r with r of this type."""
-        if isinstance(kind, T.StructType):
-            leaves = list(_leaves(kind, start))
-        else:
-            leaves = [(start, (), kind, letter, False)]
-        leaves = [x for x in leaves if not x[4]]
-        cells = []
-        for i, path, t, x, _ in leaves:
-            value = _at(F.col("r"), path)
-            size = F.when(value.isNull(), 0).otherwise(F.size(value)) if isinstance(t, T.ArrayType) else None
-            stored = scalars.encode_integer(size, "Q") if size is not None else _encode(value, t, x)
-            cells.append(F.struct(F.lit(i).cast("long").alias("id"), stored.alias("v")))
-        if cells:
-            out.append(rows.select("key", "pos", F.inline(F.array(*cells))))
-        for i, path, t, x, _ in leaves:
+    none = "array<struct<id:bigint,pos:array<int>,v:binary>>"
+
+    def element(kind: T.DataType, start: int, letter: str | None, pos: Column):
+        return lambda e, n: cells(e, kind, start, letter, F.concat(pos, F.array(n)))
+
+    def cells(value: Column, kind: T.DataType, start: int, letter: str | None, pos: Column) -> Column:
+        """All cells of a value of this type at a place: its scalars and counts, then those of its lists' elements."""
+        leaves = list(_leaves(kind, start)) if isinstance(kind, T.StructType) else [(start, (), kind, letter, False)]
+        here, below = [], []
+        for i, path, t, x, union in leaves:
+            if union:
+                continue
+            leaf = _at(value, path)
             if isinstance(t, T.ArrayType):
-                below = rows.select("key", F.col("pos"), F.posexplode(_at(F.col("r"), path)).alias("n", "e"))
-                level(below.select("key", F.concat("pos", F.array("n")).alias("pos"), F.col("e").alias("r")), t.elementType, i + 1, x)
+                stored = scalars.encode_integer(F.when(leaf.isNull(), 0).otherwise(F.size(leaf)), "Q")
+                below.append(F.flatten(F.transform(F.coalesce(leaf, F.array().cast(t)), element(t.elementType, i + 1, x, pos))))
+            else:
+                stored = _encode(leaf, t, x)
+            here.append(F.struct(F.lit(i).cast("long").alias("id"), pos.alias("pos"), stored.alias("v")))
+        return F.concat((F.array(*here) if here else F.array()).cast(none), *below)
 
-    level(df.select(F.col(key).alias("key"), F.array().cast("array<int>").alias("pos"), F.col(record).alias("r")), kind, 0, None)
-    got = out[0]
-    for more in out[1:]:
-        got = got.unionByName(more)
-    return got.select("key", "id", "pos", "v")
+    all_ = cells(F.col("r"), kind, 0, None, F.array().cast("array<int>"))
+    return df.select(F.col(key).alias("key"), F.col(record).alias("r")).select("key", F.inline(all_)).select("key", "id", "pos", "v")
 
 
 def assemble(streams: DataFrame, kind: T.StructType) -> DataFrame:
-    """Records (key, record) from their streams.
+    """Records (key, record) from their streams, which have a cell for each place as those of ``shred`` have.
 
-    Streams are dealt by record once.  From the innermost lists outwards, the cells of one place
-    become a value, and the values of one list an array: one aggregation for each list level,
-    linear in the cells.
+    One shuffle brings a record's cells together, in order of column and place; from the innermost lists
+    outwards the values of a level are put together by their order, and parted by their lists' counts.
     """
-    streams = streams.repartition("key")
 
-    def level(kind: T.DataType, letter: str | None, start: int, depth: int) -> DataFrame:
-        """Values (key, pos, value) of a type whose numbers begin at ``start`` and whose places have ``depth`` parts."""
+    def of(i: int, body) -> Column:
+        return F.transform(F.filter(F.col("cells"), lambda c: c["id"] == i), lambda c: body(c["v"]))
+
+    def scalar(kind: T.DataType, letter: str | None):
+        return lambda v: _decode(v, kind, letter)
+
+    def parted(values: Column, counts: Column) -> Column:
+        """Values in order as one list for each count."""
+
+        def split(s: Column) -> Column:
+            before = lambda k: F.aggregate(F.slice(s["n"], 1, k), F.lit(0).cast("long"), lambda a, n: a + n)
+            return F.transform(s["n"], lambda n, k: F.slice(s["v"], before(k).cast("int") + 1, n.cast("int")))
+
+        return _let(F.struct(values.alias("v"), counts.alias("n")), split)
+
+    def level(kind: T.DataType, letter: str | None, start: int, places: Column) -> Column:
+        """All values of a type whose numbers begin at ``start``, in order of their places, of which there are so many."""
         struct = isinstance(kind, T.StructType)
-        leaves = [x for x in (_leaves(kind, start) if struct else [(start, (), kind, letter, False)]) if not x[4]]
-        lists = {i: level(t.elementType, x, i + 1, depth + 1) for i, _, t, x, _ in leaves if isinstance(t, T.ArrayType)}
-        rows = streams.where(F.col("id").isin([i for i, *_ in leaves])).select("key", "pos", "id", "v")
-        for i, below in lists.items():
-            item = F.struct(F.element_at("pos", -1).alias("n"), "value").alias(f"list{i}")
-            rows = rows.unionByName(below.select("key", F.slice("pos", 1, depth).alias("pos"), F.lit(i).cast("long").alias("id"), item), allowMissingColumns=True)
-        cells = {
-            i: F.sort_array(F.collect_list(F.when(F.col("id") == i, F.col(f"list{i}")))) if i in lists else F.max(F.when(F.col("id") == i, F.col("v")))
-            for i, *_ in leaves
-        }
-        got = rows.groupBy("key", "pos").agg(*(c.alias(f"cell{i}") for i, c in cells.items()))
-        found = {}
-        for i, path, t, x, _ in leaves:
-            cell = F.col(f"cell{i}")
-            found[path] = F.transform(cell, lambda e: e["value"]) if i in lists else _decode(cell, t, x)
-
-        def value(kind: T.StructType, path: tuple[str, ...]) -> Column:
+        found: dict[tuple[str, ...], Column] = {}
+        for i, path, t, x, union in _leaves(kind, start) if struct else [(start, (), kind, letter, False)]:
+            if union:
+                continue
+            if isinstance(t, T.ArrayType):
+                counts = of(i, lambda v: scalars.decode_integer(v, "Q").cast("long"))
+                total = F.aggregate(counts, F.lit(0).cast("long"), lambda a, n: a + n)
+                found[path] = parted(level(t.elementType, x, i + 1, total), counts)
+            else:
+                found[path] = of(i, scalar(t, x))
+        if not struct:
+            return found[()]
+        names = {path: f"f{k}" for k, path in enumerate(found)}
+
+        def value(kind: T.StructType, path: tuple[str, ...], s: Column, k: Column) -> Column:
             fields = []
             for f in kind:
                 here = (*path, f.name)
-                if f.metadata.get("union") or isinstance(f.dataType, T.NullType):
-                    col = F.lit(None).cast(f.dataType)
+                if isinstance(f.dataType, T.StructType) and not f.metadata.get("union"):
+                    col = value(f.dataType, here, s, k)
                 else:
-                    col = value(f.dataType, here) if isinstance(f.dataType, T.StructType) else found[here]
+                    col = F.get(s[names[here]], k) if here in names else F.lit(None).cast(f.dataType)
                 fields.append(col.alias(f.name))
             return F.struct(*fields)
 
-        return got.select("key", "pos", (value(kind, ()) if struct else found[()]).alias("value"))
+        arrays = F.struct(*(c.alias(names[path]) for path, c in found.items()), F.lit(0).alias("_"))
+        numbers = F.when(places > 0, F.sequence(F.lit(0), (places - 1).cast("int"))).otherwise(F.array().cast("array<int>"))
+        return _let(arrays, lambda s: F.transform(numbers, lambda k: value(kind, (), s, k)))
 
-    return level(kind, None, 0, 0).select("key", F.col("value").alias("record"))
+    cells = F.sort_array(F.collect_list(F.struct("id", "pos", "v"))).alias("cells")
+    return streams.groupBy("key").agg(cells).select("key", level(kind, None, 0, F.lit(1))[0].alias("record"))

@@ -189,3 +189,30 @@ def test_pushed_filter(spark, tmp_path):
             assert [r[0] for r in values(read_segments(spark, path).where(test).select("c1"))] == want
     finally:
         spark.conf.unset("spark.sql.python.filterPushdown.enabled")
+
+
+def test_bits_of_floats(spark):
+    """Every kind of number, bit by bit: signs, zeros, subnormal, largest, infinite, none."""
+    import random
+
+    rng = random.Random(3)
+    some = [0.0, -0.0, 1.0, -2.5, 5e-324, -2.2250738585072014e-308, 1.7976931348623157e308, float("inf"), float("-inf"), float("nan"), 1e-45, 1.1754943508222875e-38, 3e-39, 3.4e38]
+    some += [struct.unpack("<d", rng.randbytes(8))[0] for _ in range(300)] + [struct.unpack("<f", rng.randbytes(4))[0] for _ in range(300)] + [rng.uniform(-1e4, 1e4) for _ in range(100)]
+    df = spark.createDataFrame([(k, v) for k, v in enumerate(some)], "k int, v double")
+    rows = df.select("v", scalars.encode(F.col("v"), "d").alias("d"), F.col("v").cast("float").alias("w"), scalars.encode(F.col("v"), "f").alias("f")).collect()
+    for r in rows:
+        if r["v"] == r["v"]:
+            assert bytes(r["d"]) == struct.pack("<d", r["v"]) and bytes(r["f"]) == struct.pack("<f", r["w"]), r["v"]
+        else:
+            assert bytes(r["d"]) == struct.pack("<d", float("nan")) and bytes(r["f"]) == struct.pack("<f", float("nan"))
+
+
+def test_shred_is_one_pass(spark):
+    """Without a shuffle, however many list levels; assembling takes one."""
+    kind = T.StructType([T.StructField("a", T.ArrayType(T.ArrayType(T.LongType()))), T.StructField("b", T.ArrayType(T.StringType()))])
+    df = spark.createDataFrame([(1, ([[1, 2], [], [3]], ["x", None]))], T.StructType([T.StructField("k", T.IntegerType()), T.StructField("r", kind)]))
+    streams = nested.shred(df, "r", "k")
+    plan = lambda d: d._jdf.queryExecution().sparkPlan().toString()
+    prepared = lambda d: d._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in prepared(streams) and "Union" not in plan(streams)
+    assert prepared(nested.assemble(streams, kind)).count("Exchange") == 1
