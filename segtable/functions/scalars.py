@@ -1,10 +1,11 @@
 """Values as bytes and back: the letters of formats, hexadecimal, variable-length integers.
 
-All are Column expressions that stay in the JVM.
+All but the encoding of floating-point numbers are Column expressions that stay in the JVM.
 """
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -20,19 +21,28 @@ INTEGERS = {
 FLOATS = {"d": ("double", 11, 52, 8), "f": ("float", 8, 23, 4)}
 
 
-def _swapped(digits: Column, width: int) -> Column:
+def _once(value: Column, body) -> Column:
+    """``body`` of a value that is computed once, for use within higher-order functions; elsewhere it ends generated code."""
+    return F.transform(F.array(value), body)[0]
+
+
+def _swapped(digits: Column, width: int, inner: bool = False) -> Column:
     """Hexadecimal digits of ``width`` bytes, last byte first."""
-    return F.concat(*(F.substring(digits, 2 * k + 1, 2) for k in reversed(range(width))))
+    swap = lambda d: F.concat(*(F.substring(d, 2 * k + 1, 2) for k in reversed(range(width))))
+    return _once(digits, swap) if inner else swap(digits)
 
 
 def _short(col: Column, width: int) -> Column:
     return F.raise_error(F.concat(F.lit(f"a value of {width} bytes is expected, not of "), F.octet_length(col).cast("string")))
 
 
-def decode_integer(col: Column, letter: str) -> Column:
-    """A little-endian integer; bytes beyond its width are not looked at, fewer are an error."""
+def decode_integer(col: Column, letter: str, inner: bool = False) -> Column:
+    """A little-endian integer; bytes beyond its width are not looked at, fewer are an error.
+
+    ``inner``: for use within higher-order functions.
+    """
     width, signed, kind = INTEGERS[letter]
-    digits = _swapped(F.hex(F.substring(col, 1, width)), width)
+    digits = _swapped(F.hex(F.substring(col, 1, width)), width, inner)
     if letter == "Q":
         value = F.conv(digits, 16, 10).cast(kind)
     elif letter == "q":
@@ -45,10 +55,16 @@ def decode_integer(col: Column, letter: str) -> Column:
     return F.when(col.isNull(), F.lit(None)).when(F.octet_length(col) < width, _short(col, width).cast(kind)).otherwise(value.cast(kind))
 
 
-def decode_float(col: Column, letter: str) -> Column:
-    """A little-endian IEEE number, put together from its sign, exponent and fraction."""
+def decode_float(col: Column, letter: str, inner: bool = False) -> Column:
+    """A little-endian IEEE number, put together from its sign, exponent and fraction.  ``inner``: within higher-order functions."""
+    width = FLOATS[letter][3]
+    digits = _swapped(F.hex(F.substring(col, 1, width)), width, inner)
+    return _once(digits, lambda d: _float_of(col, d, letter)) if inner else _float_of(col, digits, letter)
+
+
+def _float_of(col: Column, digits: Column, letter: str) -> Column:
+    """The number whose bytes have these digits, first byte first."""
     kind, exponent_bits, fraction_bits, width = FLOATS[letter]
-    digits = _swapped(F.hex(F.substring(col, 1, width)), width)
     # The bits beside the sign fit into a long.
     top = F.conv(F.substring(digits, 1, 1), 16, 10).cast("int")
     bits = F.conv(F.concat(F.hex(top.bitwiseAND(7).cast("long")), F.substring(digits, 2, 2 * width - 1)), 16, 10).cast("long")
@@ -83,8 +99,8 @@ def to_hex(col: Column) -> Column:
     return F.lower(F.hex(col))
 
 
-def encode_integer(col: Column, letter: str) -> Column:
-    """The little-endian bytes of an integer; an error if it doesn't fit."""
+def encode_integer(col: Column, letter: str, inner: bool = False) -> Column:
+    """The little-endian bytes of an integer; an error if it doesn't fit.  ``inner``: within higher-order functions."""
     width, signed, _ = INTEGERS[letter]
     if letter == "Q":
         wide = col.cast("decimal(20,0)")
@@ -97,32 +113,64 @@ def encode_integer(col: Column, letter: str) -> Column:
         fits = F.lit(True) if width == 8 else (wide >= F.lit(low).cast("long")) & (wide <= F.lit(high).cast("long"))
     digits = F.substring(F.lpad(F.hex(bits), 16, "0"), 17 - 2 * width, 2 * width)
     wrong = F.raise_error(F.concat(F.lit(f"out of range for {letter}: "), wide.cast("string"))).cast("binary")
-    return F.when(col.isNull(), F.lit(None)).when(fits, F.unhex(_swapped(digits, width))).otherwise(wrong)
+    return F.when(col.isNull(), F.lit(None)).when(fits, F.unhex(_swapped(digits, width, inner))).otherwise(wrong)
 
 
 def encode_float(col: Column, letter: str) -> Column:
-    """The little-endian bytes of a floating-point number, put together from its hexadecimal notation."""
+    """The little-endian bytes of a floating-point number.  SQL has no view of its bits: an Arrow UDF."""
+
+    width = FLOATS[letter][3]
+
+    def run(values: pd.Series) -> pd.Series:
+        raw = values.to_numpy(dtype=f"<f{width}").tobytes()  # a null, as NaN, is put right below
+        return pd.Series([raw[k : k + width] for k in range(0, len(raw), width)], dtype=object)
+
+    got = F.pandas_udf(run, "binary")(col.cast("double" if letter == "d" else "float"))
+    return F.when(col.isNotNull(), got)
+
+
+def float_bits(col: Column, letter: str) -> Column:
+    """What ``encode_float`` gives, where a UDF can't stand: within higher-order functions.
+
+    The number is scaled to its exponent, so that exponent and fraction are whole numbers.
+    """
     kind, exponent_bits, fraction_bits, width = FLOATS[letter]
-    text = F.format_string("%a", col.cast(kind).cast("double"))
-    part = lambda pattern: F.regexp_extract(text, pattern, 1)
-    power = F.coalesce(F.nullif(part("p(-?[0-9]+)$"), F.lit("")).cast("int"), F.lit(0))
-    normal = part("0x([01])") == "1"
-    # 52 bits behind the leading one; a float has the upper 23 of them.
-    fraction = F.coalesce(F.conv(F.rpad(part(r"\.([0-9a-f]+)p"), 13, "0"), 16, 10).cast("long"), F.lit(0).cast("long"))
     bias, full, least = (1 << (exponent_bits - 1)) - 1, (1 << exponent_bits) - 1, 2 - (1 << (exponent_bits - 1))
-    top = F.shiftright(fraction, 52 - fraction_bits)
-    shift = F.greatest(F.lit(0), F.least(F.lit(60), F.lit(least) - power))
-    small = F.floor((top + F.lit(1 << fraction_bits)) / F.pow(F.lit(2.0), shift)).cast("long")  # a subnormal float, exact in a double
-    size = (
-        F.when(F.contains(text, F.lit("Inf")), F.lit(full << fraction_bits).cast("long"))
-        .when(F.contains(text, F.lit("NaN")), F.lit(full << fraction_bits | 1 << (fraction_bits - 1)).cast("long"))
-        .when(normal & (power >= least), F.shiftleft((power + bias).cast("long"), fraction_bits).bitwiseOR(top))
-        .when(normal, small)
-        .otherwise(top)
-    )
-    sign = F.when(F.startswith(text, F.lit("-")), F.shiftleft(F.lit(1).cast("long"), 8 * width - 1)).otherwise(F.lit(0).cast("long"))
-    digits = F.substring(F.lpad(F.hex(size.bitwiseOR(sign)), 16, "0"), 17 - 2 * width, 2 * width)
-    return F.when(col.isNotNull(), F.unhex(_swapped(digits, width)))
+
+    def scaled(x: Column, e: Column) -> Column:
+        """x * 2**-e in two steps, as 2**-e may be no double; exact but for subnormal results."""
+        half = F.floor(e / 2)
+        return x / F.pow(F.lit(2.0), half.cast("double")) / F.pow(F.lit(2.0), (e - half).cast("double"))
+
+    def of_size(x: Column) -> Column:
+        """x is not negative, finite and not 0."""
+        guess = F.floor(F.log2(x)).cast("int")
+        guess = F.greatest(F.lit(least), F.least(F.lit(bias), guess))
+
+        def of_guess(e: Column) -> Column:
+            m = scaled(x, e)
+            right = F.when((m >= 2.0) & (e < bias), e + 1).when((m < 1.0) & (e > least), e - 1).otherwise(e)
+            return _once(right, of_exponent)
+
+        def of_exponent(e: Column) -> Column:
+            whole = _once(scaled(x, e), lambda m: F.when(m >= 1.0, ((m - 1.0) * float(1 << fraction_bits)).cast("long") + F.shiftleft((e + bias).cast("long"), fraction_bits)).otherwise((m * float(1 << fraction_bits)).cast("long")))
+            return whole
+
+        return _once(guess, of_guess)
+
+    def of_value(v: Column) -> Column:
+        x = F.abs(v)
+        size = (
+            F.when(F.isnan(v), F.lit(full << fraction_bits | 1 << (fraction_bits - 1)).cast("long"))
+            .when(x == float("inf"), F.lit(full << fraction_bits).cast("long"))
+            .when(x == 0.0, F.lit(0).cast("long"))
+            .otherwise(of_size(x))
+        )
+        minus = (v < 0.0) | (v.cast("string") == "-0.0")
+        sign = F.when(minus, F.shiftleft(F.lit(1).cast("long"), 8 * width - 1)).otherwise(F.lit(0).cast("long"))
+        return _once(size.bitwiseOR(sign), lambda b: _once(F.substring(F.lpad(F.hex(b), 16, "0"), 17 - 2 * width, 2 * width), lambda d: F.unhex(_swapped(d, width))))
+
+    return F.when(col.isNotNull(), _once(col.cast(kind).cast("double"), of_value))
 
 
 def encode(col: Column, letter: str) -> Column:

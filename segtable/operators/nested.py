@@ -50,7 +50,10 @@ def _letter(field: T.DataType, letter: str | None) -> str:
 def _encode(col: Column, kind: T.DataType, letter: str | None) -> Column:
     if isinstance(kind, T.BooleanType):
         return F.when(col, F.unhex(F.lit("01"))).when(~col, F.unhex(F.lit("00")))
-    return scalars.encode(col, _letter(kind, letter))
+    letter = _letter(kind, letter)
+    if letter in scalars.FLOATS:
+        return scalars.float_bits(col, letter)
+    return scalars.encode_integer(col, letter, True) if letter in scalars.INTEGERS else scalars.encode(col, letter)
 
 
 def _decode(col: Column, kind: T.DataType, letter: str | None) -> Column:
@@ -58,7 +61,10 @@ def _decode(col: Column, kind: T.DataType, letter: str | None) -> Column:
         return F.hex(col) != "00"
     if isinstance(kind, T.BinaryType):
         return col
-    return scalars.decode(col, _letter(kind, letter)).cast(kind)
+    letter = _letter(kind, letter)
+    if letter in scalars.INTEGERS:
+        return scalars.decode_integer(col, letter, True).cast(kind)
+    return (scalars.decode_float(col, letter, True) if letter in scalars.FLOATS else scalars.decode(col, letter)).cast(kind)
 
 
 def _leaves(kind: T.StructType, start: int, path: tuple[str, ...] = ()) -> Iterator[tuple[int, tuple[str, ...], T.DataType, str | None, bool]]:
@@ -107,7 +113,7 @@ def shred(df: DataFrame, record: str, key: str) -> DataFrame:
                 continue
             leaf = _at(value, path)
             if isinstance(t, T.ArrayType):
-                stored = scalars.encode_integer(F.when(leaf.isNull(), 0).otherwise(F.size(leaf)), "Q")
+                stored = scalars.encode_integer(F.when(leaf.isNull(), 0).otherwise(F.size(leaf)), "Q", True)
                 below.append(F.flatten(F.transform(F.coalesce(leaf, F.array().cast(t)), element(t.elementType, i + 1, x, pos))))
             else:
                 stored = _encode(leaf, t, x)
@@ -148,7 +154,7 @@ def assemble(streams: DataFrame, kind: T.StructType) -> DataFrame:
             if union:
                 continue
             if isinstance(t, T.ArrayType):
-                counts = of(i, lambda v: scalars.decode_integer(v, "Q").cast("long"))
+                counts = of(i, lambda v: scalars.decode_integer(v, "Q", True).cast("long"))
                 total = F.aggregate(counts, F.lit(0).cast("long"), lambda a, n: a + n)
                 found[path] = parted(level(t.elementType, x, i + 1, total), counts)
             else:

@@ -199,7 +199,7 @@ def test_bits_of_floats(spark):
     some = [0.0, -0.0, 1.0, -2.5, 5e-324, -2.2250738585072014e-308, 1.7976931348623157e308, float("inf"), float("-inf"), float("nan"), 1e-45, 1.1754943508222875e-38, 3e-39, 3.4e38]
     some += [struct.unpack("<d", rng.randbytes(8))[0] for _ in range(300)] + [struct.unpack("<f", rng.randbytes(4))[0] for _ in range(300)] + [rng.uniform(-1e4, 1e4) for _ in range(100)]
     df = spark.createDataFrame([(k, v) for k, v in enumerate(some)], "k int, v double")
-    rows = df.select("v", scalars.encode(F.col("v"), "d").alias("d"), F.col("v").cast("float").alias("w"), scalars.encode(F.col("v"), "f").alias("f")).collect()
+    rows = df.select("v", scalars.float_bits(F.col("v"), "d").alias("d"), F.col("v").cast("float").alias("w"), scalars.float_bits(F.col("v"), "f").alias("f")).collect()
     for r in rows:
         if r["v"] == r["v"]:
             assert bytes(r["d"]) == struct.pack("<d", r["v"]) and bytes(r["f"]) == struct.pack("<f", r["w"]), r["v"]
