@@ -6,7 +6,8 @@ tokens never seen in training, belong to one of ``TAILS`` classes by the ending
 
 *Model.*  P(token | history) = P(class | history) P(token | class, history).  Both factors are
 maximum-entropy models on hashed features of the history: the token before (bigram), the one
-before that (skip), and both together (trigram).  Within a tail class the counts of all its
+before that (skip), and both together (trigram).  The feature tables grow with the corpus
+(``table_rows``).  Within a tail class the counts of all its
 tokens decide, with one symbol for whatever is unknown, so all probabilities sum to one.
 
 *Training.*  Each worker gathers what follows each history in its share of the documents, takes
@@ -36,7 +37,8 @@ _U = np.uint64
 SCHEMA = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
 HEAD, WIDE, TAILS = 1024, 32, 64
 CLASSES = HEAD // WIDE + TAILS
-ROWS1, ROWS2 = 1 << 14, 1 << 15
+#: Feature tables have 2**LEAST_ROWS rows up to 2**27 training tokens, then twice as many for twice the tokens, up to 2**MOST_ROWS.
+LEAST_ROWS, MOST_ROWS = 14, 17
 BEGIN = HEAD + TAILS  # the symbol before a text
 SYMBOLS = BEGIN + 1
 STATS, CODED = -1, 0  # in column src of the coded table
@@ -69,6 +71,12 @@ def tokens(block: Block, a: int, b: int) -> tuple[np.ndarray, np.ndarray, np.nda
     return all_h, all_t, first + np.arange(b - a + 1)
 
 
+def table_rows(tokens: int) -> tuple[int, int]:
+    """Rows of the feature tables for classes and for members."""
+    bits = min(MOST_ROWS, max(LEAST_ROWS, int(tokens).bit_length() - 28 + LEAST_ROWS))
+    return 1 << bits, 1 << bits + 1
+
+
 class _Coded:
     """A block as numbers into its own dictionary."""
 
@@ -180,10 +188,13 @@ def vocabulary(table: DataFrame) -> Vocabulary:
     stats = table.where(F.col("src") == STATS)
 
     def sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        n, v = np.zeros(TAILS, np.int64), np.zeros(TAILS, np.int64)
         for batch in batches:
             for raw in batch.column(2).to_pylist():
-                n, v = unpack(raw)[:2]
-                yield pa.RecordBatch.from_arrays([pa.array(range(TAILS)), pa.array(n), pa.array(v)], names=["k", "n", "v"])
+                more = unpack(raw)
+                n += more[0]
+                v += more[1]
+        yield pa.RecordBatch.from_arrays([pa.array(range(TAILS)), pa.array(n), pa.array(v)], names=["k", "n", "v"])
 
     def tops(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -210,18 +221,18 @@ class Weights:
     members: np.ndarray
 
 
-def _rows1(context: np.ndarray) -> list[np.ndarray]:
+def _rows1(context: np.ndarray, rows: int) -> list[np.ndarray]:
     """Feature rows of a history, which is SYMBOLS * previous + one before."""
     s1, s2 = context // SYMBOLS, context % SYMBOLS
-    free = ROWS1 - 2 * SYMBOLS
+    free = rows - 2 * SYMBOLS
     both = 2 * SYMBOLS + (mix(context.astype(_U) + _U(3)) % _U(free)).astype(np.int64)
     return [s1, SYMBOLS + s2, both]
 
 
-def _rows2(context: np.ndarray, cls: np.ndarray) -> list[np.ndarray]:
+def _rows2(context: np.ndarray, cls: np.ndarray, rows: int) -> list[np.ndarray]:
     s1, s2 = context // SYMBOLS, context % SYMBOLS
     salt = cls.astype(_U) << _U(40)
-    return [(mix(x.astype(_U) + salt + _U(k << 56)) % _U(ROWS2)).astype(np.int64) for k, x in ((1, s1), (2, s2), (3, context))]
+    return [(mix(x.astype(_U) + salt + _U(k << 56)) % _U(rows)).astype(np.int64) for k, x in ((1, s1), (2, s2), (3, context))]
 
 
 def _logits(bias: np.ndarray, table: np.ndarray, rows: list[np.ndarray]) -> np.ndarray:
@@ -318,11 +329,11 @@ def train_share(share: _Share, words: Vocabulary, start: Weights, passes: int, r
     count = np.add.reduceat(n, first) if len(first) else n
     c, k = key[first] >> 11, cls[first]
     new = firsts((c,))
-    _descend(w.classes, np.cumsum(new) - 1, k, count, _rows1(c[new]), words.bias1, passes, rate, ridge)
+    _descend(w.classes, np.cumsum(new) - 1, k, count, _rows1(c[new], len(w.classes)), words.bias1, passes, rate, ridge)
     on = sym < HEAD
     c, sym, cls, n = key[on] >> 11, sym[on], cls[on], n[on]
     new = firsts((c, cls))
-    _descend(w.members, np.cumsum(new) - 1, sym % WIDE, n, _rows2(c[new], cls[new]), words.bias2[cls[new]], passes, rate, ridge)
+    _descend(w.members, np.cumsum(new) - 1, sym % WIDE, n, _rows2(c[new], cls[new], len(w.members)), words.bias2[cls[new]], passes, rate, ridge)
     return w
 
 
@@ -344,8 +355,9 @@ def train(table: DataFrame, words: Vocabulary, rounds: int = 2, passes: int = 1,
     spark = table.sparkSession
     groups = max(1, math.ceil(words.total / share_tokens))
     mine = table.where(F.col("src") == CODED)
-    w = Weights(np.zeros((ROWS1, CLASSES), np.float32), np.zeros((ROWS2, WIDE), np.float32))
-    flat = ROWS1 * CLASSES + ROWS2 * WIDE
+    rows1, rows2 = table_rows(words.total)
+    w = Weights(np.zeros((rows1, CLASSES), np.float32), np.zeros((rows2, WIDE), np.float32))
+    flat = rows1 * CLASSES + rows2 * WIDE
     edge = np.linspace(0, flat, SLICES + 1).astype(np.int64)
 
     def steps(shared):
@@ -373,7 +385,7 @@ def train(table: DataFrame, words: Vocabulary, rounds: int = 2, passes: int = 1,
         return table_of([(k * (groups + 1) + node // fan, int(weight.sum()), pack(total.astype(np.float32)))])
 
     for _ in range(rounds if words.total else 0):
-        shared = spark.sparkContext.broadcast((words, w))  # fixed numbers of rows and columns
+        shared = spark.sparkContext.broadcast((words, w))  # at most 2**MOST_ROWS rows of CLASSES and twice as many of WIDE
         got = mine.coalesce(groups).mapInArrow(steps(shared), PACKED)
         width = math.ceil(groups / fan)
         while True:
@@ -385,7 +397,7 @@ def train(table: DataFrame, words: Vocabulary, rounds: int = 2, passes: int = 1,
         for r in got.collect():  # one row for each slice of the weights
             k = r["key"] // (groups + 1)
             moved[edge[k] : edge[k + 1]] = unpack(bytes(r["payload"]))[0]
-        cut = ROWS1 * CLASSES
+        cut = rows1 * CLASSES
         w = Weights(w.classes + moved[:cut].reshape(w.classes.shape), w.members + moved[cut:].reshape(w.members.shape))
     return w
 
@@ -407,9 +419,9 @@ def log_probabilities(context: np.ndarray, sym: np.ndarray, words: Vocabulary, w
             out[at[some]] += z[np.repeat(np.arange(b - a), np.diff(cut[a : b + 1])), member[some]]
 
     every = np.arange(len(sym))
-    factor(every, context, _rows1, lambda k: words.bias1, w.classes, cls)
+    factor(every, context, lambda k: _rows1(k, len(w.classes)), lambda k: words.bias1, w.classes, cls)
     head = np.flatnonzero(sym < HEAD)
-    factor(head, context[head] << 5 | cls[head], lambda k: _rows2(k >> 5, k & 31), lambda k: words.bias2[k & 31], w.members, sym[head] % WIDE)
+    factor(head, context[head] << 5 | cls[head], lambda k: _rows2(k >> 5, k & 31, len(w.members)), lambda k: words.bias2[k & 31], w.members, sym[head] % WIDE)
     return out
 
 
