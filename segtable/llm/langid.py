@@ -103,8 +103,8 @@ def remainder(doc_id: str, divisor: int):
 def train(docs: DataFrame, per_lang: int = 500, landmarks: int = 192, ridge: float = 1e-3) -> Model:
     """Fit on a bounded sample of labelled documents: ``per_lang`` for each language.
 
-    The sample is those of smallest hash of doc_id; at most twice ``per_lang`` times the number
-    of languages.  Their whole texts count.  Rows without a text or a lang are not learned from.
+    The sample is those of smallest hash of doc_id, about 1.25 times ``per_lang`` of each language and at most
+    twice ``per_lang`` times the number of languages in all.  Their whole texts count.  Rows without a text or a lang are not learned from.
     """
     ok = docs.where("lang is not null and text is not null and length(text) > 0").select(F.col("lang").cast("string"), F.col("text").cast("string"), (F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) / float(1 << 30)).alias("h"))
     counts = {r["lang"]: r["n"] for r in ok.groupBy("lang").agg(F.count("*").alias("n")).collect()}
@@ -125,15 +125,15 @@ def train(docs: DataFrame, per_lang: int = 500, landmarks: int = 192, ridge: flo
 
 
 def predict(docs: DataFrame, model: Model, keep: bool = False) -> DataFrame:
-    """The language of each whole text, and how sure that is (0 to 1).
+    """The language of each whole text, how sure that is (``score``, 0 to 1), and by how much it leads (``margin``).
 
-    A null text, or one without a letter, is ``und`` with score 0; so is every text if the
+    A null text, or one without a letter, is ``und`` with score and margin 0; so is every text if the
     model has learned no language.  Rows are judged one by one and nothing is shuffled: repeated
     rows give repeated results, a null doc_id stays null.  With ``keep`` all columns of ``docs``
-    stay (of one named lang_pred or score the result takes the place), else doc_id alone.
+    stay (of one named lang_pred, score or margin the result takes the place), else doc_id alone.
     """
     shared = docs.sparkSession.sparkContext.broadcast(model)  # SLOTS times the number of languages
-    cols = [c for c in docs.columns if c not in ("lang_pred", "score")] if keep else ["doc_id"]
+    cols = [c for c in docs.columns if c not in ("lang_pred", "score", "margin")] if keep else ["doc_id"]
     schema = docs.select(*(F.col(f"`{c}`") for c in cols)).schema if keep else docs.select(F.col("doc_id").cast("long")).schema
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -143,18 +143,21 @@ def predict(docs: DataFrame, model: Model, keep: bool = False) -> DataFrame:
             raw = memoryview(np.ascontiguousarray(buf))
             langs: list[str] = []
             scores: list[float] = []
+            margins: list[float] = []
             a = 0
             while a < batch.num_rows:
                 b = min(a + 48, max(a + 1, int(np.searchsorted(off, off[a] + (1 << 20), "right")) - 1))
                 letters = [has_letter(bytes(raw[off[i] : off[i + 1]])) for i in range(a, b)]
                 s = m.scores(presence(buf[off[a] : off[b]], off[a : b + 1] - off[a])) if m.langs and any(letters) else np.zeros((b - a, 1))
                 top = s.argmax(1)
+                lead = s.max(1) - (np.partition(s, -2, 1)[:, -2] if s.shape[1] > 1 else 0)
                 for i, ok in enumerate(letters):
                     known = ok and bool(m.langs)
                     langs.append(m.langs[top[i]] if known else UNKNOWN)
                     scores.append(float(min(1.0, max(0.0, s[i, top[i]]))) if known else 0.0)
+                    margins.append(float(lead[i]) if known else 0.0)
                 a = b
-            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(langs, pa.string()), pa.array(scores, pa.float64())], names=[*cols, "lang_pred", "score"])
+            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(langs, pa.string()), pa.array(scores, pa.float64()), pa.array(margins, pa.float64())], names=[*cols, "lang_pred", "score", "margin"])
 
     given = [F.col(f"`{c}`") if keep else F.col(c).cast("long") for c in cols]
-    return docs.select(*given, F.col("text").cast("string").alias("text to judge")).mapInArrow(run, schema.add("lang_pred", "string").add("score", "double"))
+    return docs.select(*given, F.col("text").cast("string").alias("text to judge")).mapInArrow(run, schema.add("lang_pred", "string").add("score", "double").add("margin", "double"))

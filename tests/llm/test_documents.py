@@ -306,7 +306,7 @@ def test_language(spark, docs, none):
     assert langid.predict(none, model).count() == 0
     assert {r["lang_pred"] for r in langid.predict(docs, langid.train(none)).collect()} == {"und"}
     kept = langid.predict(docs, model, keep=True)
-    assert kept.columns == [*(c for c in docs.columns if c != "score"), "lang_pred", "score"] and kept.count() == len(odd())
+    assert kept.columns == [*(c for c in docs.columns if c != "score"), "lang_pred", "score", "margin"] and kept.count() == len(odd())
 
 
 def test_language_accuracy(spark):
