@@ -100,16 +100,18 @@ def remainder(doc_id: str, divisor: int):
     return F.crc32(F.coalesce(F.col(doc_id).cast("string"), F.lit("")).cast("binary")) % divisor
 
 
-def train(docs: DataFrame, per_lang: int = 500, landmarks: int = 192, ridge: float = 1e-3) -> Model:
+def train(docs: DataFrame, per_lang: int = 500, landmarks: int = 192, ridge: float = 1e-3, most_rows: int = 16384) -> Model:
     """Fit on a bounded sample of labelled documents: ``per_lang`` for each language.
 
     The sample is those of smallest hash of doc_id, about 1.25 times ``per_lang`` of each language and at most
-    twice ``per_lang`` times the number of languages in all.  Their whole texts count.  Rows without a text or a lang are not learned from.
+    twice ``per_lang`` times the number of languages in all; of more languages fewer documents each, so that
+    all are about ``most_rows`` (8 KB each).  Their whole texts count.  Rows without a text or a lang are not learned from.
     """
     ok = docs.where("lang is not null and text is not null and length(text) > 0").select(F.col("lang").cast("string"), F.col("text").cast("string"), (F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) / float(1 << 30)).alias("h"))
     counts = {r["lang"]: r["n"] for r in ok.groupBy("lang").agg(F.count("*").alias("n")).collect()}
     if not counts:
         return fit([], landmarks, ridge)
+    per_lang = max(1, min(per_lang, most_rows // (2 * len(counts))))
     share = F.create_map(*(F.lit(x) for lang, n in counts.items() for x in (lang, min(1.0, 1.25 * per_lang / n))))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

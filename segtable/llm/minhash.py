@@ -12,8 +12,8 @@ hash of (doc_id, band modulo 4), so leaders differ, but are few for a group of c
 verified against both with the exact J_P of whole shingle counts.  That is linear in a bucket's
 size, and joins most of what belongs together.
 
-The rest is settled exactly.  Where the members of a bucket that don't lead are not all in one
-component yet, they are compared with each other, in tiles of ``TILE`` by ``TILE`` documents that
+The rest is settled exactly.  Each block tells a bucket's shard the least and largest component of its
+members that don't lead; where these are not all in one component yet, they are compared with each other, in tiles of ``TILE`` by ``TILE`` documents that
 spread over all shards.  Products of count and presence matrices bound J_P from above; pairs of
 different components that pass the bound are verified.  Classes are the connected components
 of all verified links.
@@ -326,11 +326,37 @@ def near_classes(docs: DataFrame, size: int = 5, threshold: float = 0.8, bands:
         y = np.concatenate([b[good], ids[rep[copy]]])
         return post(me, [], [state_row(me, x, y), (IDS, pack(ids)), (OPEN, pack(*rest)), (TEXTS, _texts(block, _rows_of(block.ids, np.unique(rest[1]))[0]))])
 
-    def scatter(table: pa.Table) -> pa.Table:
+    def survey(table: pa.Table) -> pa.Table:
         by = dict(mail(table))
         key, ids, prints = unpack(by[OPEN])
         label = label_of(ids, by.get(STATE))
-        return post(me_of(table), [(to, pack(key[i], ids[i], prints[i], label[i])) for to, i in deal(shard_of(key, n), n)])
+        order = np.argsort(key, kind="stable")
+        key, ids, prints, label = (x[order] for x in (key, ids, prints, label))
+        cut = np.flatnonzero(firsts((key,)))
+        value, low, high = key[cut], *(f.reduceat(label, cut) if len(cut) else label for f in (np.minimum, np.maximum))
+        return post(me_of(table), [(to, pack(value[i], low[i], high[i])) for to, i in deal(shard_of(value, n), n)], [(MINE, pack(key, ids, prints, label))])
+
+    def differ(table: pa.Table) -> pa.Table:
+        got = [(src, unpack(raw)) for src, raw in mail(table) if src != MINE]
+        if not got:
+            return post(0, [])
+        key, low, high = (np.concatenate([g[k] for _, g in got]) for k in range(3))
+        order = np.argsort(key, kind="stable")
+        cut = np.flatnonzero(firsts((key[order],)))
+        several = np.minimum.reduceat(low[order], cut) != np.maximum.reduceat(high[order], cut)
+        say = np.empty(len(key), bool)
+        say[order] = np.repeat(several, np.diff(np.append(cut, len(key))))
+        at = np.cumsum([0, *(len(g[0]) for _, g in got)])
+        return post(me_of(table), [(src, pack(g[0][say[a:b]])) for (src, g), a, b in zip(got, at[:-1], at[1:], strict=True)])
+
+    def scatter(left: pa.Table, right: pa.Table) -> pa.Table:
+        mine = next((unpack(raw) for src, raw in mail(left) if src == MINE), None)
+        told = [unpack(raw)[0] for _, raw in mail(right)]
+        if mine is None or not told:
+            return post(0, [])
+        on = np.isin(mine[0], np.concatenate(told))
+        key, ids, prints, label = (x[on] for x in mine)
+        return post(me_of(left), [(to, pack(key[i], ids[i], prints[i], label[i])) for to, i in deal(shard_of(key, n), n)])
 
     def crowd(table: pa.Table) -> pa.Table:
         key, ids, prints, label = (np.concatenate(x) for x in zip(*(unpack(raw) for _, raw in mail(table)), strict=True))
@@ -414,7 +440,9 @@ def near_classes(docs: DataFrame, size: int = 5, threshold: float = 0.8, bands:
     final = final_.where(F.col("src") == STATE)
 
     # What the leaders have not joined.
-    rest = go(final.union(first.where(F.col("src") == OPEN)).repartition(n, "key").groupBy("key").applyInArrow(scatter, PACKED))
+    surveyed = go(final.union(first.where(F.col("src") == OPEN)).repartition(n, "key").groupBy("key").applyInArrow(survey, PACKED))
+    differing = go(surveyed.groupBy("key").applyInArrow(differ, PACKED))
+    rest = go(surveyed.groupBy("key").cogroup(differing.groupBy("key")).applyInArrow(scatter, PACKED))
     crowded = written(few(rest.groupBy("key").applyInArrow(crowd, PACKED), docs))
     if not crowded.isEmpty():
         mine = go(crowded)

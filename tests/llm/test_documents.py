@@ -510,6 +510,30 @@ def test_pipeline(spark, docs, none, tmp_path):
     assert corpus_pipeline.run(spark, SF).count() > 0
 
 
+def test_pipeline_carries_types(spark):
+    """Columns of all kinds come through the stages as they went in."""
+    import datetime as dt
+    import decimal
+
+    at = dt.datetime(2024, 3, 4, 5, 6, 5, 678912)
+    text = lambda k: " ".join(f"word{k}x{j}" for j in range(60))
+    rows = [(k, text(k), None if k == 3 else at, at, dt.date(1, 1, 2), decimal.Decimal("12345678901234567890.123456789"), b"\x00\xff", float("nan"), [1, None], {"a": 1.5}, (1, None)) for k in range(8)]
+    schema = "doc_id long, text string, t timestamp, `n t z` timestamp_ntz, d date, e decimal(38,9), b binary, f double, a array<int>, m map<string,double>, s struct<x:int,y:string>"
+    df = spark.createDataFrame(rows, schema)
+    for stage in (corpus_pipeline.drop_lines, corpus_pipeline.drop_repeated_passages):
+        out = stage(spark, df, SF)
+        assert out.schema.simpleString() == df.schema.simpleString() and sorted(map(repr, out.collect())) == sorted(map(repr, df.collect()))
+    only = df.select("doc_id", "text")
+    assert corpus_pipeline.drop_lines(spark, only, SF).columns == only.columns
+
+
+def test_spacing():
+    t = b" one two\n three\tfour five \n"
+    starts = np.array([1, 5, 10, 16, 21])
+    cut = lambda *gone: superkmers._without(t, starts, np.isin(np.arange(5), gone), len(gone))
+    assert cut() == t and cut(1) == b" one three\tfour five \n" and cut(0, 3) == b" two\n three\tfive \n" and cut(4) == b" one two\n three\tfour "
+
+
 def test_sql(spark, duck):
     """The registered queries against their SQL."""
     from ..compare import rows
