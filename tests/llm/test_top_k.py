@@ -57,3 +57,15 @@ def test_large_components(spark, sizes):
 def test_copies_go_in_bounded_batches():
     some = list(topk.bounded(((k, k, b"x" * 10) for k in range(100)), 35))
     assert max(map(len, some)) == 3 and sum(map(len, some)) == 100
+
+
+@pytest.mark.parametrize("sizes", [dict(), dict(query_bytes=8, shard_bytes=8, fan=2)])
+def test_empty_and_clashing(spark, sizes):
+    """Nothing, nothing usable, and columns named like the letters', through all levels."""
+    schema = "vec_id long, embedding array<float>, src string, payload int, rank string, score double, query_id int"
+    rows = [(k, v, "a", 1, "b", 0.5, 7) for k, v in enumerate([None, [], [None], [float("nan")]])]
+    for some in ([], rows, [(0, [1.0, 2.0], "a", 1, "b", 0.5, 7)]):
+        assert topk.top_k(spark.createDataFrame(some, schema), F.col("vec_id") % 50 == 0, **sizes).count() == 0
+    some = [(k, [float(k % 3), 1.0], "a", 1, "b", 0.5, 7) for k in range(60)]
+    got = sorted(tuple(r) for r in topk.top_k(spark.createDataFrame(some, schema), F.col("vec_id") % 50 == 0, **sizes).collect())
+    assert got == brute([r[:2] for r in some])
