@@ -10,11 +10,17 @@ before that (skip), and both together (trigram).  The feature tables grow with t
 (``table_rows``).  Within a tail class the counts of all its
 tokens decide, with one symbol for whatever is unknown, so all probabilities sum to one.
 
+*Pairs.*  Whole words are features too, however many there are: of each pair of neighbouring
+tokens the corpus count is gathered in blocks and shards.  Indicators of all pairs have the pairs' relative
+frequencies as their maximum-entropy weights, which need no steps; these are smoothed by a
+Dirichlet prior whose mean is the model above: (c(pair) + k P) / (c(token before) + k).  As the
+pairs of a token count up to its own count, all probabilities still sum to one.
+
 *Training.*  Each worker gathers what follows each history in its share of the documents, takes
 AdaGrad steps on these counts, and the workers' weights are averaged by a tree; the average
 starts the next round.  All training documents take part.
 
-*Scoring.*  Tokens of a block that share a history are scored together.
+*Scoring.*  Tokens of a block that share a history are scored together, then mixed with the pairs.
 """
 
 from __future__ import annotations
@@ -43,7 +49,10 @@ BEGIN = HEAD + TAILS  # the symbol before a text
 SYMBOLS = BEGIN + 1
 STATS, CODED = -1, 0  # in column src of the coded table
 END = _U(0x5E2D58D8B3BCDF1A)
+PAIR = _U(0x2B7E151628AED2A6)
 SLICES = 64
+PRIOR = 1000.0
+SCORED = pa.schema([("doc_id", pa.int64()), ("held_out", pa.bool_()), ("n_tokens", pa.int64()), ("n_known", pa.int64()), ("train_tokens", pa.int64()), ("base_score", pa.float64()), ("score", pa.float64())])
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
 _STOPS = np.isin(np.arange(256), list(b".,;:!?|"))
@@ -103,6 +112,18 @@ def _learned(block: Block, modulus: int, out: int) -> np.ndarray:
     return np.array([zlib.crc32(b"" if i == NULL_ID else b"%d" % i) % modulus != out for i in block.ids.tolist()], bool)
 
 
+def _summed(got: list[tuple[int, np.ndarray, np.ndarray]]) -> tuple[list[tuple[int, bytes]], np.ndarray, np.ndarray, np.ndarray]:
+    """Answers to blocks that told keys and their counts: each key's sum over all blocks.  Also the order of all keys, where each begins, and its sum."""
+    h, c = (np.concatenate(x) for x in zip(*(x[1:] for x in got), strict=True))
+    order = np.argsort(h)
+    cut = np.flatnonzero(firsts((h[order],)))
+    total = np.add.reduceat(c[order], cut) if len(cut) else c[:0]
+    each = np.empty(len(h), np.int64)
+    each[order] = np.repeat(total, np.diff(np.append(cut, len(h))))
+    at = np.concatenate([[0], np.cumsum([len(x[1]) for x in got])])
+    return [(x[0], pack(each[at[k] : at[k + 1]])) for k, x in enumerate(got)], order, cut, total
+
+
 def coded(docs: DataFrame, modulus: int, out: int, net_: Net | None = None) -> DataFrame:
     """The documents as dictionary numbers with corpus counts, and each shard's statistics; written."""
     to_all = net_ or net(docs)
@@ -118,15 +139,9 @@ def coded(docs: DataFrame, modulus: int, out: int, net_: Net | None = None) -> D
         got = [(src, unpack(raw)) for src, raw in mail(table)]
         if not got:
             return to_all.post(0, [])
-        h, c, t = (np.concatenate(x) for x in zip(*(x for _, x in got), strict=True))
-        order = np.argsort(h)
-        cut = np.flatnonzero(firsts((h[order],)))
-        total = np.add.reduceat(c[order], cut)
-        size = np.diff(np.append(cut, len(h)))
-        each = np.empty(len(h), np.int64)
-        each[order] = np.repeat(total, size)
-        at = np.concatenate([[0], np.cumsum([len(g[0]) for _, g in got])])
-        letters = [(src, pack(each[at[k] : at[k + 1]])) for k, (src, _) in enumerate(got)]
+        t = np.concatenate([x[2] for _, x in got])
+        letters, order, cut, total = _summed([(src, *x[:2]) for src, x in got])
+        h = np.concatenate([x[0] for _, x in got])
         known = total > 0
         lead, tail, total = h[order[cut]][known], t[order[cut]][known], total[known]
         top = np.lexsort((lead, -total))[:HEAD]
@@ -152,6 +167,57 @@ def coded(docs: DataFrame, modulus: int, out: int, net_: Net | None = None) -> D
     return written(few(dealt.groupBy("key").cogroup(judged.groupBy("key")).applyInArrow(close, PACKED), docs))
 
 
+class _Pairs:
+    """The distinct pairs of neighbouring tokens of a coded block.
+
+    Where all that is learned of one of the two tokens is in this block, the block's own count
+    of the pair is the corpus count; the others (``asked``) are asked for.
+    """
+
+    def __init__(self, raw: bytes):
+        _, learn, size, code, h, total, _ = unpack(raw)
+        seen = np.repeat(learn > 0, size)
+        own = np.bincount(code[seen], minlength=len(h))
+        follows = np.ones(len(code), bool)
+        follows[np.cumsum(size[:-1], dtype=np.int64)] = False
+        follows[:1] = False
+        self.at = np.flatnonzero(follows)
+        pair = code[self.at - 1].astype(np.int64) * len(h) + code[self.at]
+        order = np.argsort(pair)
+        new = firsts((pair[order],))
+        self.number = np.empty(len(pair), np.int32)
+        self.number[order] = np.cumsum(new) - 1
+        left, right = np.divmod(pair[order[new]], max(1, len(h)))
+        self.count = np.bincount(self.number[seen[self.at]], minlength=len(left)).astype(np.int64)
+        more = total > own
+        self.asked = np.flatnonzero(more[left] & more[right])
+        self.hash = mix(h[left[self.asked]] + PAIR) ^ h[right[self.asked]]
+
+    def counts(self, n_tokens: int) -> np.ndarray:
+        """Each token's corpus count together with the token before, 0 for first ones."""
+        out = np.zeros(n_tokens, np.int64)
+        out[self.at] = self.count[self.number]
+        return out
+
+
+def paired(table: DataFrame, to_all: Net) -> DataFrame:
+    """Answers to each block of a coded table: corpus counts of the pairs it asks for."""
+
+    def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for key, raw in zip(batch.column(0).to_pylist(), batch.column(2).to_pylist(), strict=True):
+                p = _Pairs(raw)
+                count = p.count[p.asked]
+                yield from to_all.post(to_all.number(key), [(k, pack(p.hash[i], count[i])) for k, i in deal(shard_of(p.hash, to_all.n), to_all.n)]).to_batches()
+
+    def judge(some: pa.Table) -> pa.Table:
+        got = [(src, *unpack(raw)) for src, raw in mail(some)]
+        return to_all.post(to_all.me(some), _summed(got)[0] if got else [])
+
+    asked = to_all.exchange(table.where(F.col("src") == CODED).mapInArrow(ask, PACKED))
+    return to_all.exchange(asked.groupBy("key").applyInArrow(judge, PACKED))
+
+
 @dataclass
 class Vocabulary:
     """N, V, the head by descending count, and per tail class its tokens and distinct tokens besides the head."""
@@ -338,7 +404,7 @@ def train_share(share: _Share, words: Vocabulary, start: Weights, passes: int, r
 
 
 def _share_rows(raw: bytes, words: Vocabulary, chunk: int = 1 << 18) -> Iterator[tuple]:
-    """A coded block in chunks of documents: first document, ids, learned, tokens' offsets, codes, symbols, counts."""
+    """A coded block in chunks of documents: ids, learned, tokens' offsets, codes, symbols, the dictionary's symbols and counts, where the tokens are in the block."""
     ids, learn, size, code, h, total, tail = unpack(raw)
     sym = words.symbols(h, tail)
     off = np.concatenate([[0], np.cumsum(size, dtype=np.int64)])
@@ -346,7 +412,7 @@ def _share_rows(raw: bytes, words: Vocabulary, chunk: int = 1 << 18) -> Iterator
     while a < len(ids):
         b = max(a + 1, int(np.searchsorted(off, off[a] + chunk, "right")) - 1)
         mine = code[off[a] : off[b]]
-        yield ids[a:b], learn[a:b] > 0, off[a : b + 1] - off[a], mine, sym[mine], sym, total
+        yield ids[a:b], learn[a:b] > 0, off[a : b + 1] - off[a], mine, sym[mine], sym, total, slice(off[a], off[b])
         a = b
 
 
@@ -367,7 +433,7 @@ def train(table: DataFrame, words: Vocabulary, rounds: int = 2, passes: int = 1,
             share, (words_, start) = _Share(), shared.value
             for batch in batches:
                 for raw in batch.column(2).to_pylist():
-                    for _, learn, off, _, sym, _, _ in _share_rows(raw, words_):
+                    for _, learn, off, _, sym, _, _, _ in _share_rows(raw, words_):
                         on = np.repeat(learn, np.diff(off))
                         share.add(_histories(sym, off)[on], sym[on])
             if share.tokens:
@@ -425,25 +491,35 @@ def log_probabilities(context: np.ndarray, sym: np.ndarray, words: Vocabulary, w
     return out
 
 
-def score(table: DataFrame, words: Vocabulary, w: Weights) -> DataFrame:
-    """Base and model scores of each document of a coded table."""
+def score(table: DataFrame, words: Vocabulary, w: Weights, to_all: Net, prior: float = PRIOR) -> DataFrame:
+    """Base and model scores of each document of a coded table.  ``prior``: what the model counts beside the pairs after a token."""
     shared = table.sparkSession.sparkContext.broadcast((words, w))
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def run(left: pa.Table, right: pa.Table) -> pa.Table:
         v, weights = shared.value
         spread = v.tail_tokens + v.tail_distinct + 1.0
-        for batch in batches:
-            for raw in batch.column(2).to_pylist():
-                for ids, learn, off, code, sym, all_sym, total in _share_rows(raw, v):
-                    base = np.log10((total + 1.0) / (v.total + 1.0 * (v.distinct + 1)))
-                    within = np.where(all_sym < HEAD, 0.0, np.log((total + 1.0) / spread[np.maximum(all_sym - HEAD, 0)]))
-                    each = log_probabilities(_histories(sym, off), sym, v, weights) + within[code]
-                    known = (total > 0)[code]
-                    sums = [np.add.reduceat(x, off[:-1]) if len(off) > 1 else x[:0] for x in (known.astype(np.int64), base[code], each)]
-                    n = len(ids)
-                    yield pa.RecordBatch.from_arrays([id_column(ids), pa.array(~learn), pa.array(np.diff(off)), pa.array(sums[0]), pa.array(np.full(n, v.total, np.int64)), pa.array(sums[1]), pa.array(sums[2] / math.log(10))], names=["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"])
-
-    return table.where(F.col("src") == CODED).mapInArrow(run, SCHEMA)
+        answer, out = {src: unpack(raw)[0] for src, raw in mail(right)}, [SCORED.empty_table()]
+        for raw in payloads(left):
+            pairs = _Pairs(raw)
+            for k, i in deal(shard_of(pairs.hash, to_all.n), to_all.n):
+                pairs.count[pairs.asked[i]] = answer[k]
+            pair = pairs.counts(int(unpack(raw)[2].sum()))
+            del pairs
+            for ids, learn, off, code, sym, all_sym, total, place in _share_rows(raw, v):
+                base = np.log10((total + 1.0) / (v.total + 1.0 * (v.distinct + 1)))
+                within = np.where(all_sym < HEAD, 0.0, np.log((total + 1.0) / spread[np.maximum(all_sym - HEAD, 0)]))
+                each = log_probabilities(_histories(sym, off), sym, v, weights) + within[code]
+                before = np.concatenate([[0], total[code[:-1]]])
+                before[off[:-1]] = 0
+                each = np.log((pair[place] + prior * np.exp(each)) / (before + prior))
+                known = (total > 0)[code]
+                sums = [np.add.reduceat(x, off[:-1]) if len(off) > 1 else x[:0] for x in (known.astype(np.int64), base[code], each)]
+                n = len(ids)
+                out.append(pa.Table.from_arrays([id_column(ids), pa.array(~learn), pa.array(np.diff(off)), pa.array(sums[0]), pa.array(np.full(n, v.total, np.int64)), pa.array(sums[1]), pa.array(sums[2] / math.log(10))], schema=SCORED))
+        return pa.concat_tables(out)
+
+    mine = table.where(F.col("src") == CODED).repartition(to_all.n, "key")
+    return mine.groupBy("key").cogroup(paired(table, to_all).groupBy("key")).applyInArrow(run, SCHEMA)
 
 
 def score_documents(docs: DataFrame, modulus: int = 7, out: int = 2) -> DataFrame:
@@ -451,13 +527,14 @@ def score_documents(docs: DataFrame, modulus: int = 7, out: int = 2) -> DataFram
 
     Tokens: words with A-Z in lower case, and one end per document; a null or empty text has the
     end only.  ``base_score``: the sum over tokens of log10((c + 1) / (N + V + 1)).  ``score``: log10 of
-    the model's probability of the text.  Words are told apart by 64-bit hashes.
+    the model's probability of the text, of which the counts of whole pairs are part.  Words are told apart by 64-bit hashes.
 
     Repeated rows are learned from and scored each; a null doc_id counts as the empty text in the
     split.  Other columns are not looked at.  If nothing can be learned from, N and V are 0 and
     the model is uniform over its classes.  An empty table gives no rows.
     """
-    table = coded(docs, modulus, out)
+    to_all = net(docs)
+    table = coded(docs, modulus, out, to_all)
     words = vocabulary(table)
-    return score(table, words, train(table, words))
+    return score(table, words, train(table, words), to_all)
 

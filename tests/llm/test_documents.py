@@ -413,7 +413,8 @@ def test_lm(spark, docs, none):
 def test_lm_sums_to_one(spark):
     """The probabilities of all symbols after a history, and held-out texts gain over the base."""
     d = spark.read.parquet(f"{SF.replace('0.001', '0.01')}/documents.parquet")
-    table = lm.coded(d, 7, 2)
+    to_all = base.net(d)
+    table = lm.coded(d, 7, 2, to_all)
     words = lm.vocabulary(table)
     w = lm.train(table, words)
     for history in (0, 5 * lm.SYMBOLS + 9, lm.BEGIN * lm.SYMBOLS + lm.BEGIN):
@@ -421,11 +422,47 @@ def test_lm_sums_to_one(spark):
         every = every[(every >= lm.HEAD) | (every < len(words.head))]
         p = np.exp(lm.log_probabilities(np.full(len(every), history), every, words, w))
         assert p.sum() == pytest.approx(1, abs=1e-3)
-    means = lm.score(table, words, w).where("held_out").agg(F.sum("score"), F.sum("base_score")).first()
+    held = [lm.score(table, words, w, to_all, k).where("held_out").agg(F.sum("score")).first()[0] for k in (1e12, lm.PRIOR)]
+    assert held[1] > held[0] * 0.98  # pairs of whole words tell more
+    means = lm.score(table, words, w, to_all).where("held_out").agg(F.sum("score"), F.sum("base_score")).first()
     assert means[0] > means[1] * 0.97
     assert lm.table_rows(10**6) == (1 << 14, 1 << 15) and lm.table_rows(1 << 30)[0] == 1 << 17 > lm.table_rows(1 << 28)[0] > 1 << 14
 
 
+@pytest.mark.parametrize("direct", ["1024", "2"])
+def test_lm_pairs(spark, direct):
+    """With next to no prior, what follows the first token is scored by corpus counts of whole pairs."""
+    import math
+    import random
+    import zlib
+    from collections import Counter
+
+    rng = random.Random(3)
+    texts = [(k, " ".join(rng.choice(["alpha", "Beta", "beta", "ga", "x", f"rare{k % 40}"]) for _ in range(rng.randrange(9)))) for k in range(400)]
+    texts += [(400 + k, x) for k, x in enumerate(["", None, "alpha " * 3000, "alpha beta\nga"])] + texts[:5]
+    tokens = lambda t: [*(t or "").lower().split(), None]
+    learned = [tokens(t) for k, t in texts if zlib.crc32(str(k).encode()) % 7 != 2]
+    pairs, singles = Counter(p for t in learned for p in zip(t, t[1:])), Counter(w for t in learned for w in t)
+    assert all(sum(n for p, n in pairs.items() if p[0] == w) == singles[w] for w in singles if w is not None)
+    spark.conf.set("segtable.llm.direct", direct)
+    try:
+        d = spark.createDataFrame(texts, "doc_id long, text string").repartition(3)
+        to_all = base.net(d)
+        table = lm.coded(d, 7, 2, to_all)
+        words = lm.vocabulary(table)
+        got = {r["doc_id"]: r["score"] for r in lm.score(table, words, lm.train(table, words), to_all, 1e-12).collect()}
+    finally:
+        spark.conf.unset("segtable.llm.direct")
+    firsts: dict = {}
+    compared = 0
+    for k, t in texts:
+        each = list(zip(tokens(t), tokens(t)[1:]))
+        if all(pairs[p] for p in each):
+            firsts.setdefault(tokens(t)[0], set()).add(round(got[k] - sum(math.log10(pairs[p] / singles[p[0]]) for p in each), 5))
+            compared += 1
+    assert compared > 300 and len(firsts) > 5 and all(max(x) - min(x) < 1e-4 for x in firsts.values())
+
+
 def test_quality(docs, none):
     cols = ["doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed"]
     judged = rules.judge_quality(docs)
