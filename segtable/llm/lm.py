@@ -112,16 +112,17 @@ def _learned(block: Block, modulus: int, out: int) -> np.ndarray:
     return np.array([zlib.crc32(b"" if i == NULL_ID else b"%d" % i) % modulus != out for i in block.ids.tolist()], bool)
 
 
-def _summed(got: list[tuple[int, np.ndarray, np.ndarray]]) -> tuple[list[tuple[int, bytes]], np.ndarray, np.ndarray, np.ndarray]:
-    """Answers to blocks that told keys and their counts: each key's sum over all blocks.  Also the order of all keys, where each begins, and its sum."""
-    h, c = (np.concatenate(x) for x in zip(*(x[1:] for x in got), strict=True))
+def _summed(got: list[tuple[np.ndarray, np.ndarray]]) -> tuple[list[tuple[np.ndarray, np.ndarray]], np.ndarray, np.ndarray, np.ndarray]:
+    """For blocks that told distinct keys and counts, each key's sum over all blocks and whether several told it.  Also the order of all keys, where each begins, and its sum."""
+    h, c = (np.concatenate(x) for x in zip(*got, strict=True))
     order = np.argsort(h)
     cut = np.flatnonzero(firsts((h[order],)))
     total = np.add.reduceat(c[order], cut) if len(cut) else c[:0]
-    each = np.empty(len(h), np.int64)
-    each[order] = np.repeat(total, np.diff(np.append(cut, len(h))))
-    at = np.concatenate([[0], np.cumsum([len(x[1]) for x in got])])
-    return [(x[0], pack(each[at[k] : at[k + 1]])) for k, x in enumerate(got)], order, cut, total
+    size = np.diff(np.append(cut, len(h)))
+    each, several = np.empty(len(h), np.int64), np.empty(len(h), bool)
+    each[order], several[order] = np.repeat(total, size), np.repeat(size > 1, size)
+    at = np.cumsum([len(x[0]) for x in got])[:-1]
+    return list(zip(np.split(each, at), np.split(several, at), strict=True)), order, cut, total
 
 
 def coded(docs: DataFrame, modulus: int, out: int, net_: Net | None = None) -> DataFrame:
@@ -140,7 +141,8 @@ def coded(docs: DataFrame, modulus: int, out: int, net_: Net | None = None) -> D
         if not got:
             return to_all.post(0, [])
         t = np.concatenate([x[2] for _, x in got])
-        letters, order, cut, total = _summed([(src, *x[:2]) for src, x in got])
+        answers, order, cut, total = _summed([x[:2] for _, x in got])
+        letters = [(src, pack(each, several.astype(np.uint8))) for (src, _), (each, several) in zip(got, answers, strict=True)]
         h = np.concatenate([x[0] for _, x in got])
         known = total > 0
         lead, tail, total = h[order[cut]][known], t[order[cut]][known], total[known]
@@ -155,11 +157,11 @@ def coded(docs: DataFrame, modulus: int, out: int, net_: Net | None = None) -> D
             block = docs_of(left)
             learn = _learned(block, modulus, out)
             c = _Coded(block, learn)
-            total = np.zeros(len(c.hash), np.int64)
-            answer = {src: unpack(raw)[0] for src, raw in told if src >= 0}
+            total, several = np.zeros(len(c.hash), np.int64), np.zeros(len(c.hash), np.uint8)
+            answer = {src: unpack(raw) for src, raw in told if src >= 0}
             for k, i in deal(shard_of(c.hash, n), n):
-                total[i] = answer[k]
-            own.append((CODED, pack(block.ids, learn.astype(np.uint8), np.diff(c.off).astype(np.int32), c.code, c.hash, total, c.tail)))
+                total[i], several[i] = answer[k]
+            own.append((CODED, pack(block.ids, learn.astype(np.uint8), np.diff(c.off).astype(np.int32), c.code, c.hash, total, c.tail, several)))
         return to_all.post(me, [], own)
 
     asked = to_all.exchange(dealt.groupBy("key").applyInArrow(ask, PACKED))
@@ -170,14 +172,13 @@ def coded(docs: DataFrame, modulus: int, out: int, net_: Net | None = None) -> D
 class _Pairs:
     """The distinct pairs of neighbouring tokens of a coded block.
 
-    Where all that is learned of one of the two tokens is in this block, the block's own count
-    of the pair is the corpus count; the others (``asked``) are asked for.
+    Where one of the two tokens is in no other block, learned from or not, the block's own count
+    of the pair is the corpus count; the others (``asked``) are told and asked for.
     """
 
     def __init__(self, raw: bytes):
-        _, learn, size, code, h, total, _ = unpack(raw)
+        _, learn, size, code, h, total, _, several = unpack(raw)
         seen = np.repeat(learn > 0, size)
-        own = np.bincount(code[seen], minlength=len(h))
         follows = np.ones(len(code), bool)
         follows[np.cumsum(size[:-1], dtype=np.int64)] = False
         follows[:1] = False
@@ -189,7 +190,7 @@ class _Pairs:
         self.number[order] = np.cumsum(new) - 1
         left, right = np.divmod(pair[order[new]], max(1, len(h)))
         self.count = np.bincount(self.number[seen[self.at]], minlength=len(left)).astype(np.int64)
-        more = total > own
+        more = (several > 0) & (total > 0)
         self.asked = np.flatnonzero(more[left] & more[right])
         self.hash = mix(h[left[self.asked]] + PAIR) ^ h[right[self.asked]]
 
@@ -211,8 +212,9 @@ def paired(table: DataFrame, to_all: Net) -> DataFrame:
                 yield from to_all.post(to_all.number(key), [(k, pack(p.hash[i], count[i])) for k, i in deal(shard_of(p.hash, to_all.n), to_all.n)]).to_batches()
 
     def judge(some: pa.Table) -> pa.Table:
-        got = [(src, *unpack(raw)) for src, raw in mail(some)]
-        return to_all.post(to_all.me(some), _summed(got)[0] if got else [])
+        got = [(src, unpack(raw)) for src, raw in mail(some)]
+        answers = _summed([x for _, x in got])[0] if got else []
+        return to_all.post(to_all.me(some), [(src, pack(each)) for (src, _), (each, _) in zip(got, answers, strict=True)])
 
     asked = to_all.exchange(table.where(F.col("src") == CODED).mapInArrow(ask, PACKED))
     return to_all.exchange(asked.groupBy("key").applyInArrow(judge, PACKED))
@@ -405,7 +407,7 @@ def train_share(share: _Share, words: Vocabulary, start: Weights, passes: int, r
 
 def _share_rows(raw: bytes, words: Vocabulary, chunk: int = 1 << 18) -> Iterator[tuple]:
     """A coded block in chunks of documents: ids, learned, tokens' offsets, codes, symbols, the dictionary's symbols and counts, where the tokens are in the block."""
-    ids, learn, size, code, h, total, tail = unpack(raw)
+    ids, learn, size, code, h, total, tail, _ = unpack(raw)
     sym = words.symbols(h, tail)
     off = np.concatenate([[0], np.cumsum(size, dtype=np.int64)])
     a = 0
