@@ -102,7 +102,12 @@ class _Coded:
         new = firsts((h[order],))
         number = np.empty(len(h), np.int32)
         number[order] = np.cumsum(new) - 1
-        self.code, self.hash, self.tail = number, h[order[new]], t[order[new]]
+        lead = order[new]
+        by = np.argsort(-np.bincount(number, minlength=len(lead)), kind="stable")  # frequent tokens have small numbers, which pack well
+        rank = np.empty(len(by), np.int32)
+        rank[by] = np.arange(len(by))
+        number = rank[number]
+        self.code, self.hash, self.tail = number, h[lead[by]], t[lead[by]]
         seen = np.repeat(learn, np.diff(self.off))
         self.count = np.bincount(number[seen], minlength=len(self.hash)).astype(np.int64)
 
@@ -191,8 +196,10 @@ class _Pairs:
         left, right = np.divmod(pair[order[new]], max(1, len(h)))
         self.count = np.bincount(self.number[seen[self.at]], minlength=len(left)).astype(np.int64)
         more = (several > 0) & (total > 0)
-        self.asked = np.flatnonzero(more[left] & more[right])
-        self.hash = mix(h[left[self.asked]] + PAIR) ^ h[right[self.asked]]
+        asked = np.flatnonzero(more[left] & more[right])
+        hashes = mix(h[left[asked]] + PAIR) ^ h[right[asked]]
+        order = np.argsort(hashes)  # so that letters tell only differences
+        self.asked, self.hash = asked[order], hashes[order]
 
     def counts(self, n_tokens: int) -> np.ndarray:
         """Each token's corpus count together with the token before, 0 for first ones."""
@@ -209,11 +216,11 @@ def paired(table: DataFrame, to_all: Net) -> DataFrame:
             for key, raw in zip(batch.column(0).to_pylist(), batch.column(2).to_pylist(), strict=True):
                 p = _Pairs(raw)
                 count = p.count[p.asked]
-                yield from to_all.post(to_all.number(key), [(k, pack(p.hash[i], count[i])) for k, i in deal(shard_of(p.hash, to_all.n), to_all.n)]).to_batches()
+                yield from to_all.post(to_all.number(key), [(k, pack(np.diff(p.hash[i], prepend=_U(0)), count[i])) for k, i in deal(shard_of(p.hash, to_all.n), to_all.n)]).to_batches()
 
     def judge(some: pa.Table) -> pa.Table:
         got = [(src, unpack(raw)) for src, raw in mail(some)]
-        answers = _summed([x for _, x in got])[0] if got else []
+        answers = _summed([(np.cumsum(h, dtype=_U), c) for _, (h, c) in got])[0] if got else []
         return to_all.post(to_all.me(some), [(src, pack(each)) for (src, _), (each, _) in zip(got, answers, strict=True)])
 
     asked = to_all.exchange(table.where(F.col("src") == CODED).mapInArrow(ask, PACKED))
