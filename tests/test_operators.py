@@ -1,3 +1,4 @@
+import decimal
 import struct
 
 import pytest
@@ -216,3 +217,53 @@ def test_shred_is_one_pass(spark):
     prepared = lambda d: d._jdf.queryExecution().executedPlan().toString()
     assert "Exchange" not in prepared(streams) and "Union" not in plan(streams)
     assert prepared(nested.assemble(streams, kind)).count("Exchange") == 1
+
+
+def test_shred_works_on_columns(spark):
+    """No expression runs for a cell by itself, and what assembling shuffles is a row for a record, not for a cell."""
+    import random
+    from collections import Counter
+
+    rng = random.Random(5)
+    line = T.StructType([T.StructField("n", T.IntegerType(), True, {"letter": "H"}), T.StructField("x", T.DoubleType()), T.StructField("tags", T.ArrayType(T.StringType())), T.StructField("nothing", T.NullType())])
+    kind = T.StructType([
+        T.StructField("u", T.DecimalType(20, 0)),
+        T.StructField("b", T.BooleanType()),
+        T.StructField("f", T.FloatType()),
+        T.StructField("by_text", T.IntegerType(), True, {"letter": "q"}),
+        T.StructField("raw", T.BinaryType()),
+        T.StructField("lines", T.ArrayType(line)),
+        T.StructField("in", T.StructType([T.StructField("h", T.ShortType()), T.StructField("hex", T.StringType(), True, {"letter": "x"})])),
+    ])
+    maybe = lambda v: None if rng.random() < 0.2 else v
+
+    def record(lines):
+        got = [(maybe(rng.randrange(1 << 16)), maybe(rng.uniform(-9, 9)), [maybe("é" * rng.randrange(4)) for _ in range(rng.randrange(3))], None) for _ in range(lines)]
+        return (maybe(decimal.Decimal(rng.choice([0, 2**63, 2**64 - 1]))), maybe(rng.random() < 0.5), maybe(-0.5), maybe(-(2**31)), maybe(bytearray(rng.randbytes(rng.randrange(3)))), got, (maybe(-5), maybe("00ff")))
+
+    # The longest record is of several batches, and its cells and others' come in any order.
+    rows = [(k, record(rng.choice([0, 1, 5]))) for k in [float("nan"), None, *map(float, range(300))]] + [(-1.0, record(9000))]
+    schema = T.StructType([T.StructField("k", T.DoubleType()), T.StructField("r", kind)])
+    plain = lambda x: tuple(plain(y) for y in x) if isinstance(x, (tuple, list)) else bytes(x) if isinstance(x, bytearray) else x
+    want = Counter((str(k), plain(r)) for k, r in rows)
+    streams = nested.shred(spark.createDataFrame(rows, schema), "r", "k")
+    assert "lambda" not in streams._jdf.queryExecution().toString()
+    for some in (streams, streams.repartition(3, "v")):
+        assert Counter((str(r["key"]), plain(r["record"])) for r in nested.assemble(some, kind).collect()) == want
+    # Before: as many as there are cells.
+    packed = streams.mapInArrow(nested._packed, T.StructType([streams.schema["key"], *nested.PACK])).count()
+    assert packed < len(rows) + streams.count() / 1000 + 50
+    with pytest.raises(Exception, match="out of range for H"):
+        nested.shred(spark.createDataFrame([(1.0, (None,) * 5 + ([(1 << 16, None, [], None)], None))], schema), "r", "k").collect()
+    with pytest.raises(Exception, match="bytes is expected"):
+        nested.assemble(streams.withColumn("v", F.expr("substring(v, 1, 1)")), kind).collect()
+
+
+def test_assemble_takes_streams_that_lack_cells(spark):
+    """A place without a cell is null."""
+    kind = T.StructType([T.StructField("a", T.ArrayType(T.StructType([T.StructField("n", T.LongType()), T.StructField("s", T.StringType())]))), T.StructField("b", T.LongType())])
+    df = spark.createDataFrame([(1, ([(1, "x"), (2, "y")], 5)), (2, ([(3, "z")], 6))], T.StructType([T.StructField("k", T.IntegerType()), T.StructField("r", kind)]))
+    some = nested.shred(df, "r", "k").where("NOT (key = 1 AND (id = 3 OR id = 2 AND pos[0] = 1))")
+    got = {r["key"]: r["record"] for r in nested.assemble(some, kind).collect()}
+    assert [tuple(x) for x in got[1]["a"]] == [(1, "x"), (2, None)] and got[1]["b"] is None
+    assert [tuple(x) for x in got[2]["a"]] == [(3, "z")] and got[2]["b"] == 6
