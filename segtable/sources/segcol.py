@@ -23,9 +23,11 @@ from collections.abc import Iterable, Iterator, Sequence
 from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
 from io import BytesIO
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import datasource as D
 from pyspark.sql import types as T
@@ -37,6 +39,10 @@ from . import codec, files
 
 #: Bytes of a file that one task reads.
 SPLIT = 256 << 20
+#: A table of fewer ranges than the session has cores is cut into as many, but not into smaller ones than this.
+LEAST_SPLIT = 4 << 20
+#: Rows of a batch that is given to Spark.
+ROWS = 1 << 16
 ARROW_CELL = pa.struct([pa.field("id", pa.int64(), False), pa.field("v", pa.binary())])
 
 
@@ -50,6 +56,8 @@ def _paths(options) -> list[str]:
 
 def _wanted(options) -> list[int] | None:
     text = options.get("columns", "")
+    if text.strip() == "-":  # no column, rows only
+        return []
     return sorted({int(x) for x in text.split(",")}) if text.strip() else None
 
 
@@ -77,6 +85,25 @@ def exact_rows(columns: dict[int, pa.Array]) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(per_row)]).astype(np.int32)), cells, type=pa.list_(pa.field("element", ARROW_CELL, False)))
 
 
+def columns_of(rows: pa.ListArray) -> dict[int, pa.Array] | None:
+    """The columns of rows of (id, v), as ``SegmentWriter.put_row`` puts them: what is missing in between is null, and
+    rows without a cell leave nothing.  None if a row has one column twice."""
+    n = pc.list_value_length(rows).fill_null(0).to_numpy()
+    cells = rows.flatten()
+    ids, values = cells.field(0).to_numpy(), cells.field(1)
+    row = np.repeat(np.cumsum(n > 0) - 1, n)
+    out = {}
+    for i in np.unique(ids).tolist():
+        at = np.flatnonzero(ids == i)
+        where = row[at]
+        if len(where) > 1 and (np.diff(where) == 0).any():
+            return None
+        source, none = np.zeros(where[-1] + 1, np.int64), np.ones(where[-1] + 1, bool)
+        source[where], none[where] = at, False
+        out[i] = values.take(pa.array(source, mask=none if none.any() else None))
+    return out
+
+
 @dataclass
 class _Part(D.InputPartition):
     """A file's segments that start at a place or behind it, but before its end.
@@ -126,18 +153,19 @@ class _Reader(D.DataSourceReader):
     def __init__(self, options, schema: T.StructType):
         self.paths, self.wanted = _paths(options), _wanted(options)
         self.exact = options.get("mode", "wide") == "exact"
+        self.cores = int(options.get("cores", "0"))
         self.strict = options.get("strict", "false").lower() == "true"
         self.ids = self.wanted if self.exact else [i for f in schema if (i := model.number_of(f.name)) is not None]
         self.given = [] if self.exact else [_Test(i, kind, bytes.fromhex(v)) for i, kind, v in json.loads(options.get("tests", "[]"))]
         self.tests = self.given
 
     def partitions(self) -> list[D.InputPartition]:
-        out = []
-        for top in self.paths:
-            for path, size in files.sized(top):
-                first = len(codec.MAGIC)
-                cuts = [first, *range(SPLIT, size, SPLIT), max(size, first + 1)]
-                out += [_Part(path, a, b) for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
+        out, found = [], [x for top in self.paths for x in files.sized(top)]
+        split = min(SPLIT, max(LEAST_SPLIT, sum(size for _, size in found) // self.cores + 1)) if self.cores else SPLIT
+        for path, size in found:
+            first = len(codec.MAGIC)
+            cuts = [first, *range(split, size, split), max(size, first + 1)]
+            out += [_Part(path, a, b) for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
         return out
 
     def read(self, partition: _Part | None) -> Iterator[pa.RecordBatch]:
@@ -154,7 +182,9 @@ class _Reader(D.DataSourceReader):
 
     def _batches(self, f, segment: codec.Segment) -> Iterator[pa.RecordBatch]:
         if self.exact:
-            yield pa.RecordBatch.from_arrays([exact_rows(codec.read_segment(f, segment, self.ids))], names=["row"])
+            columns = codec.read_segment(f, segment, self.ids)
+            for k in range(0, max(map(len, columns.values()), default=0), ROWS):
+                yield pa.RecordBatch.from_arrays([exact_rows({i: a[k : k + ROWS] for i, a in columns.items()})], names=["row"])
             return
         stay = None
         for test in self.tests:
@@ -170,15 +200,18 @@ class _Reader(D.DataSourceReader):
             if not stay.any() and not any(t.of(None) for t in self.tests):
                 return
         if not self.ids:  # rows are counted by the lengths of runs, no value is made
-            rows = max((sum(n for n, _ in codec.runs(segment.read(f, i))) for i, _, _ in segment.columns), default=0)
-            yield pa.RecordBatch.from_struct_array(pa.array([{}] * rows, pa.struct([])))
+            rows = max((codec.count_values(segment.read(f, i)) for i, _, _ in segment.columns), default=0)
+            for k in range(0, rows, ROWS):
+                yield pa.RecordBatch.from_struct_array(pa.array([{}] * min(ROWS, rows - k), pa.struct([])))
             return
         # Rows are counted by the asked columns and the segment's first: headers hold no counts, and
         # what this source writes has columns of one length.
         columns = codec.read_segment(f, segment, {*self.ids, segment.columns[0][0]} if segment.columns else None)
         rows = max(map(len, columns.values()), default=0)
-        arrays = padded(columns, self.ids, rows)
-        yield pa.RecordBatch.from_arrays(arrays, names=[model.name(i) for i in self.ids])
+        names = [model.name(i) for i in self.ids]
+        for k in range(0, rows, ROWS):
+            some = {i: a[k : k + ROWS] for i, a in columns.items()}
+            yield pa.RecordBatch.from_arrays(padded(some, self.ids, min(ROWS, rows - k)), names=names)
 
 
 class _FilteringReader(_Reader):
@@ -221,26 +254,28 @@ class _Writer(D.DataSourceArrowWriter):
                 nonlocal held, size
                 if held:
                     table = pa.Table.from_batches(held)
-                    w.put_columns({i: table.column(k) for k, i in enumerate(self.ids)})
+                    if self.exact:
+                        rows = table.column(0).combine_chunks()
+                        columns = columns_of(rows)
+                        if columns is None:
+                            for row in rows.to_pylist():
+                                w.put_row((c["id"], c["v"]) for c in row)
+                            w.flush()
+                        else:
+                            w.put_columns(columns)
+                    else:
+                        w.put_columns({i: table.column(k) for k, i in enumerate(self.ids)})
                     held, size = [], 0
 
-            size += self._put(w, first, held)
-            for batch in iterator:
+            for batch in chain([first], iterator):
                 if size > self.segment_bytes:
                     flush()
-                size += self._put(w, batch, held)
+                held.append(batch)
+                size += batch.nbytes
             flush()
             w.finish()
         return _Written(path)
 
-    def _put(self, w: codec.SegmentWriter, batch: pa.RecordBatch, held: list[pa.RecordBatch]) -> int:
-        if self.exact:
-            for row in batch.column(0).to_pylist():
-                w.put_row((c["id"], c["v"]) for c in row)
-            return 0
-        held.append(batch)
-        return batch.nbytes
-
     def commit(self, messages) -> None:
         """With overwrite, what was there before goes once all parts are written."""
         new = {m.path for m in messages if m is not None and m.path}
@@ -306,13 +341,13 @@ def read_segments(spark: SparkSession, *paths: str, columns: Iterable[int] | Non
     rows come whole, so the caller filters again.
     """
     register(spark)
-    reader = spark.read.format("segcol").option("paths", json.dumps(list(paths))).option("mode", mode).option("strict", str(strict).lower())
+    reader = spark.read.format("segcol").option("paths", json.dumps(list(paths))).option("mode", mode).option("strict", str(strict).lower()).option("cores", str(spark.sparkContext.defaultParallelism))
     if spark.conf.get("spark.sql.python.filterPushdown.enabled", "false") == "true":
         reader = reader.option("push", "true")
     if tests:
         reader = reader.option("tests", json.dumps([(i, kind, v.hex()) for i, kind, v in tests]))
     if columns is not None:
-        reader = reader.option("columns", ",".join(map(str, sorted(set(columns)))))
+        reader = reader.option("columns", ",".join(map(str, sorted(set(columns)))) or "-")
     return reader.load()
 
 

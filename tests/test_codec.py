@@ -134,3 +134,54 @@ def test_errors():
             codec.decode_runs(run)
     with pytest.raises(SegmentError):
         codec.decompress(b"", 9)
+
+
+def _column(rng, n):
+    out = []
+    for _ in range(n):
+        r = rng.random()
+        out.append(None if r < 0.15 else out[-1] if r < 0.4 and out else b"stem" * rng.randrange(40) + rng.randbytes(rng.randrange(3)))
+    return out
+
+
+@pytest.mark.parametrize("once", [1, 3, 1 << 16])
+def test_runs_across_blocks(monkeypatch, once):
+    """Runs and prefixes go on where one block of values ends; blocks make no difference to the bytes, and both decoders agree."""
+    rng = random.Random(once)
+    for _ in range(200):
+        values = _column(rng, rng.randrange(40))
+        monkeypatch.setattr(codec, "AT_ONCE", 1 << 16)
+        want = codec.encode_runs(values)
+        monkeypatch.setattr(codec, "AT_ONCE", once)
+        assert codec.encode_runs(values) == want
+        assert codec.decode_runs(want).to_pylist() == values == [v for n, v in codec.runs(want) for _ in range(n)]
+        assert codec.count_values(want) == len(values)
+        runs = [v for _, v in codec.runs(want)]
+        assert all(a != b for a, b in zip(runs, runs[1:], strict=False))
+
+
+def test_work_is_not_by_value(monkeypatch):
+    """Runs of small numbers are read without a call for each, and no value becomes a Python object."""
+    values = [b"%07d" % k for k in range(5000)]
+    data = codec.encode_runs(values)
+    calls = []
+    one = codec.get_varint
+    monkeypatch.setattr(codec, "get_varint", lambda *a: calls.append(a) or one(*a))
+    assert codec.decode_runs(data).to_pylist() == values and len(calls) < 50
+
+
+def test_columns_of_rows():
+    """Whole columns of exact rows are what rows one by one would put."""
+    import pyarrow as pa
+
+    from segtable.sources import segcol
+
+    rng = random.Random(9)
+    for _ in range(100):
+        rows = [[(i, None if rng.random() < 0.3 else rng.randbytes(2)) for i in sorted(rng.sample(range(5), rng.randrange(4)))] for _ in range(rng.randrange(9))]
+        w = codec.SegmentWriter(BytesIO())
+        for row in rows:
+            w.put_row(row)
+        array = pa.array([[{"id": i, "v": v} for i, v in row] for row in rows], pa.list_(segcol.ARROW_CELL))
+        assert {i: v.to_pylist() for i, v in segcol.columns_of(array).items()} == w.columns
+    assert segcol.columns_of(pa.array([[{"id": 1, "v": b"a"}, {"id": 1, "v": b"b"}]], pa.list_(segcol.ARROW_CELL))) is None
