@@ -1,14 +1,16 @@
 """Values as bytes and back: the letters of formats, hexadecimal, variable-length integers.
 
-All but the encoding of floating-point numbers are Column expressions that stay in the JVM.
+All but floating-point numbers are Column expressions that stay in the JVM.
 """
 
 from __future__ import annotations
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from . import binary
+
 #: Letters of formats: bytes, whether signed, and the type that holds every value.
 INTEGERS = {
     "H": (2, False, "int"),
@@ -56,10 +58,20 @@ def decode_integer(col: Column, letter: str, inner: bool = False) -> Column:
 
 
 def decode_float(col: Column, letter: str, inner: bool = False) -> Column:
-    """A little-endian IEEE number, put together from its sign, exponent and fraction.  ``inner``: within higher-order functions."""
-    width = FLOATS[letter][3]
-    digits = _swapped(F.hex(F.substring(col, 1, width)), width, inner)
-    return _once(digits, lambda d: _float_of(col, d, letter)) if inner else _float_of(col, digits, letter)
+    """A little-endian IEEE number: an Arrow UDF.
+
+    ``inner``: within higher-order functions, where a UDF can't stand, it is put together from its sign, exponent and fraction.
+    """
+    kind, _, _, width = FLOATS[letter]
+    if not inner:
+        arrow = pa.float64() if letter == "d" else pa.float32()
+
+        def run(values: pa.Array) -> pa.Array:
+            return binary.decode(values, letter, arrow)
+
+        return F.arrow_udf(run, kind)(col)
+    digits = _swapped(F.hex(F.substring(col, 1, width)), width, True)
+    return _once(digits, lambda d: _float_of(col, d, letter))
 
 
 def _float_of(col: Column, digits: Column, letter: str) -> Column:
@@ -118,15 +130,10 @@ def encode_integer(col: Column, letter: str, inner: bool = False) -> Column:
 
 def encode_float(col: Column, letter: str) -> Column:
     """The little-endian bytes of a floating-point number.  SQL has no view of its bits: an Arrow UDF."""
+    def run(values: pa.Array) -> pa.Array:
+        return binary.encode(values, letter)
 
-    width = FLOATS[letter][3]
-
-    def run(values: pd.Series) -> pd.Series:
-        raw = values.to_numpy(dtype=f"<f{width}").tobytes()  # a null, as NaN, is put right below
-        return pd.Series([raw[k : k + width] for k in range(0, len(raw), width)], dtype=object)
-
-    got = F.pandas_udf(run, "binary")(col.cast("double" if letter == "d" else "float"))
-    return F.when(col.isNotNull(), got)
+    return F.arrow_udf(run, "binary")(col.cast("double" if letter == "d" else "float"))
 
 
 def float_bits(col: Column, letter: str) -> Column:

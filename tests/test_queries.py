@@ -65,3 +65,36 @@ def test_split_files(spark, tmp_path, monkeypatch):
     reader = segcol._Reader({"paths": f'["{path}"]'}, segcol.model.wide_schema([0]))
     some = reader.partitions()
     assert len(some) > 3 and sum(b.num_rows for p in some for b in reader.read(p)) == 1500
+
+
+def test_batches_are_small(spark, tmp_path, monkeypatch):
+    """A segment is given to Spark in parts, exact or not, and rows are counted without any value."""
+    from segtable.sources import codec, segcol
+
+    path = str(tmp_path / "t")
+    df = catalogue.as_bytes(catalogue.load(spark, SF, "orders").coalesce(1), catalogue.ORDERS)
+    segcol.write_segments(df, path)
+    monkeypatch.setattr(segcol, "ROWS", 400)
+    for options, schema in (({"mode": "exact"}, segcol.model.EXACT), ({"columns": "0,9"}, segcol.model.wide_schema([0, 9])), ({"columns": "-"}, segcol.model.wide_schema([]))):
+        if options.get("columns") == "-":
+            monkeypatch.setattr(codec, "decode_runs", None)
+        reader = segcol._Reader({"paths": f'["{path}"]'} | options, schema)
+        assert [b.num_rows for p in reader.partitions() for b in reader.read(p)] == [400, 400, 400, 300]
+    assert segcol.read_segments(spark, path, columns=[]).columns == []
+
+
+def test_few_files_are_cut(spark, tmp_path, monkeypatch):
+    """A table of one file is read by more than one task."""
+    from segtable.sources import segcol
+
+    path = str(tmp_path / "t")
+    segcol.write_segments(catalogue.as_bytes(catalogue.load(spark, SF, "part").coalesce(1), catalogue.PART), path, segment_bytes=1 << 12)
+    monkeypatch.setattr(segcol, "LEAST_SPLIT", 1000)
+    reader = segcol._Reader({"paths": f'["{path}"]', "cores": "4"}, segcol.model.wide_schema([0]))
+    assert len(reader.partitions()) == 4 and sum(b.num_rows for p in reader.partitions() for b in reader.read(p)) == 200
+
+
+def test_floats_are_decoded_at_once(spark):
+    """A float is no expression of its hexadecimal digits, which were made again and again for each."""
+    df = spark.range(1).select(catalogue.scalars.decode(catalogue.F.lit(b"\0" * 8), "d"))
+    assert "ArrowEvalPython" in _plan(df) and "conv(" not in _plan(df)
